@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonemill.functions.numeric import py_round
 from tonemill.lexicon import (
     DEFAULT_LEXICON,
     NEGATIVE,
@@ -139,5 +140,6 @@ def rules_sentiment(text, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
 
 
 def to_percent(confidence) -> Column:
-    """Confidence in 0..1 → percent with two decimals (half-even)."""
-    return F.bround(_col(confidence) * F.lit(100.0), 2)
+    """Confidence in 0..1 → percent with two decimals, rounded as Python's
+    ``round`` does (see :mod:`tonemill.functions.numeric`)."""
+    return py_round(_col(confidence) * F.lit(100.0), 2)

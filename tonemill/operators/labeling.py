@@ -51,10 +51,21 @@ def unpack_label(
     df: DataFrame, struct_col: str, label_col: str = "label", confidence_col: str = "confidence", percent: bool = True
 ) -> DataFrame:
     """Replace a ``struct<label, confidence>`` column by ``label`` and
-    ``confidence`` columns; confidence becomes a percent with 2 decimals."""
+    ``confidence`` columns; confidence becomes a percent with 2 decimals.
+
+    The two columns come out of a one-row ``inline`` (a Generate node). A
+    filter on them then stays above it: pushed below, the optimizer would
+    inline the whole labeler into the predicate and compute it twice."""
     conf = F.col(f"{struct_col}.confidence")
     conf = R.to_percent(conf) if percent else conf
-    return df.withColumns({label_col: F.col(f"{struct_col}.label"), confidence_col: conf}).drop(struct_col)
+    label = F.col(f"{struct_col}.label")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in (struct_col, label_col, confidence_col)]
+    pair = F.struct(label.alias(label_col), conf.alias(confidence_col))
+    out = df.select(*keep, F.inline(F.array(pair)))
+    # Keep the input's column order when label/confidence already existed.
+    order = [c for c in df.columns if c != struct_col]
+    order += [c for c in (label_col, confidence_col) if c not in order]
+    return out.select(*[F.col(f"`{c}`") for c in order])
 
 
 def label_rules(

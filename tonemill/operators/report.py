@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.functions.numeric import py_round
 from tonemill.functions.report import HIGH, LOW_BELOW, VERY_HIGH
 from tonemill.lexicon import LABELS
 
@@ -40,7 +41,7 @@ def report_metrics(
         _count_if(conf < LOW_BELOW).alias("low_count"),
     )
     mean = F.when(
-        F.col("__nconf") > 0, F.bround(F.col("__cents").cast("double") / F.col("__nconf") / F.lit(100.0), 2)
+        F.col("__nconf") > 0, py_round(F.col("__cents").cast("double") / F.col("__nconf") / F.lit(100.0), 2)
     )
     return out.withColumn("avg_confidence", mean).drop("__cents", "__nconf")
 
@@ -72,7 +73,7 @@ def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     args = ", ".join(f"'{l}', __n{i}" for i, l in enumerate(LABELS))
     long = wide.selectExpr("__total", f"stack({len(LABELS)}, {args}) as (label, n)")
     share = F.when(
-        F.col("__total") > 0, F.bround(F.col("n").cast("double") / F.col("__total") * F.lit(100.0), 1)
+        F.col("__total") > 0, py_round(F.col("n").cast("double") / F.col("__total") * F.lit(100.0), 1)
     ).otherwise(F.lit(0.0))
     return long.select("label", "n", share.alias("share"))
 

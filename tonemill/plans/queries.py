@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tonemill.lexicon import COVERAGE_LEXICON, DEFAULT_LEXICON
 from tonemill.operators import labeling, report
 from tonemill.plans.registry import query
-from tonemill.plans.sql import pct, rules_ctes
+from tonemill.plans.sql import pct, py_round_sql, rules_ctes
 from tonemill.sources.tables import load_table
 
 DOC_COLS = "doc_id, text, lang, source, n_chars"
@@ -62,11 +62,12 @@ def q_label_counts_coverage(spark, sf_dir):
 
 
 # --- A2-A5: report ----------------------------------------------------------
+_AVG = py_round_sql("CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0", 2)
+_SHARE = py_round_sql("CAST(n AS DOUBLE) / total * 100.0", 1)
 _STATS_SQL = """
 WITH {ctes}, l AS (SELECT {pct} AS confidence FROM r)
 SELECT CAST(count(*) AS BIGINT) AS total,
-       CASE WHEN count(confidence) > 0 THEN round_even(
-            CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0, 2) END
+       CASE WHEN count(confidence) > 0 THEN {avg} END
          AS avg_confidence,
        CAST(count_if(confidence >= 85.0) AS BIGINT) AS high_count,
        CAST(count_if(confidence >= 90.0) AS BIGINT) AS very_high_count,
@@ -74,7 +75,7 @@ SELECT CAST(count(*) AS BIGINT) AS total,
 FROM l"""
 
 
-@query("confidence_stats", _STATS_SQL.format(ctes=rules_ctes("documents").strip(), pct=pct("r_conf")))
+@query("confidence_stats", _STATS_SQL.format(ctes=rules_ctes("documents").strip(), pct=pct("r_conf"), avg=_AVG))
 def q_confidence_stats(spark, sf_dir):
     return report.confidence_stats(labeled_documents(spark, sf_dir))
 
@@ -85,10 +86,10 @@ WITH {ctes}, c AS (SELECT count(*) AS total,
 k AS (SELECT 'Positive' AS label, p AS n, total FROM c UNION ALL SELECT 'Negative', n, total FROM c
       UNION ALL SELECT 'Neutral', u, total FROM c)
 SELECT label, CAST(n AS BIGINT) AS n,
-       CASE WHEN total > 0 THEN round_even(CAST(n AS DOUBLE) / total * 100.0, 1) ELSE 0.0 END AS share
+       CASE WHEN total > 0 THEN {share} ELSE 0.0 END AS share
 FROM k"""
 
 
-@query("label_distribution", _DIST_SQL.format(ctes=rules_ctes("documents").strip()))
+@query("label_distribution", _DIST_SQL.format(ctes=rules_ctes("documents").strip(), share=_SHARE))
 def q_label_distribution(spark, sf_dir):
     return report.label_distribution(labeled_documents(spark, sf_dir))

@@ -69,5 +69,102 @@ def rules_ctes(src: str, text_expr: str = "text", lexicon: Lexicon = DEFAULT_LEX
 
 
 def pct(expr: str) -> str:
-    """Percent with two decimals, half-even."""
-    return f"round_even(({expr}) * {d(100.0)}, 2)"
+    """Percent with two decimals, rounded as Python's ``round``."""
+    return py_round_sql(f"({expr}) * {d(100.0)}", 2)
+
+
+VALENCE_TOKEN_SQL = "[\\p{L}\\p{N}]+(?:'[\\p{L}\\p{N}]+)*"
+
+
+def valence_ctes(src: str, key: str, lexicon_sql: str, text_expr: str = "text", p: str = "v") -> str:
+    """CTE chain ending in relation ``{p}``: all columns of ``src`` plus
+    ``{p}_compound`` and the valence result ``{p}_label``, ``{p}_conf``.
+
+    Tokens are the regex matches in the lower-cased text; every occurrence
+    counts; valences are summed in units of 1/10000."""
+    toks = f"regexp_extract_all(lower(coalesce(CAST({text_expr} AS VARCHAR), 'nan')), {q(VALENCE_TOKEN_SQL)}, 0)"
+    s = f"(CAST(coalesce({p}_sum, 0) AS DOUBLE) / {d(10000.0)})"
+    comp = py_round_sql(f"least(greatest({s} / sqrt({s} * {s} + {d(15.0)}), {d(-1.0)}), {d(1.0)})", 4)
+    c = f"{p}_compound"
+    conf = f"least((abs({c}) + {d(1.0)}) / {d(2.0)} + {d(0.2)}, {d(0.95)})"
+    return f"""
+{p}_tok AS (SELECT {key} AS {p}_key, unnest({toks}) AS {p}_token FROM {src}),
+{p}_hit AS (SELECT {p}_key, sum(CAST(round(lex.valence * {d(10000.0)}) AS BIGINT)) AS {p}_sum
+            FROM {p}_tok JOIN {lexicon_sql} ON lex.token = {p}_token GROUP BY {p}_key),
+{p}_c AS (SELECT s.*, {comp} AS {c} FROM {src} s LEFT JOIN {p}_hit h ON h.{p}_key = s.{key}),
+{p} AS (SELECT *,
+        CASE WHEN {c} >= {d(0.05)} THEN 'Positive' WHEN {c} <= {d(-0.05)} THEN 'Negative' ELSE 'Neutral' END
+          AS {p}_label,
+        CASE WHEN {c} >= {d(0.05)} OR {c} <= {d(-0.05)} THEN {conf} ELSE {d(0.65)} END AS {p}_conf
+        FROM {p}_c)"""
+
+
+def binary_sql(label: str, score: str) -> tuple[str, str]:
+    """Two-class classifier output → (label, confidence) SQL; NULLs if no label."""
+    up = f"upper({label})"
+    boosted = f"least({score} + {d(0.05)}, {d(0.98)})"
+    lab = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({up}, 'POS') THEN 'Positive' "
+           f"WHEN contains({up}, 'NEG') THEN 'Negative' ELSE 'Neutral' END")
+    conf = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({up}, 'POS') OR contains({up}, 'NEG') "
+            f"THEN {boosted} ELSE {score} END")
+    return lab, conf
+
+
+def ternary_sql(label: str, score: str) -> tuple[str, str]:
+    low = f"lower({label})"
+    boosted = f"least({score} + {d(0.02)}, {d(0.98)})"
+    lab = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({low}, 'positive') THEN 'Positive' "
+           f"WHEN contains({low}, 'negative') THEN 'Negative' ELSE 'Neutral' END")
+    conf = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({low}, 'positive') OR contains({low}, 'negative') "
+            f"THEN {boosted} ELSE least({score}, {d(0.90)}) END")
+    return lab, conf
+
+
+def scored_answer_sql(r: str) -> tuple[str, str]:
+    digits = f"regexp_replace({r}, '[^0-9]', '', 'g')"
+    lab = (f"CASE WHEN {r} IS NULL THEN NULL WHEN contains({r}, 'Positive') THEN 'Positive' "
+           f"WHEN contains({r}, 'Negative') THEN 'Negative' ELSE 'Neutral' END")
+    conf = (f"CASE WHEN {r} IS NULL THEN NULL WHEN {digits} = '' THEN {d(0.95)} "
+            f"ELSE least(greatest(CAST({digits} AS DOUBLE) / {d(100.0)}, {d(0.7)}), {d(0.98)}) END")
+    return lab, conf
+
+
+def plain_answer_sql(r: str) -> tuple[str, str]:
+    low = f"lower({r})"
+    lab = (f"CASE WHEN {r} IS NULL THEN NULL WHEN contains({low}, 'positive') THEN 'Positive' "
+           f"WHEN contains({low}, 'negative') THEN 'Negative' ELSE 'Neutral' END")
+    conf = (f"CASE WHEN {r} IS NULL THEN NULL WHEN contains({low}, 'positive') OR contains({low}, 'negative') "
+            f"THEN {d(0.96)} ELSE {d(0.85)} END")
+    return lab, conf
+
+
+def vote_sql(votes: str, key: str) -> str:
+    """Majority vote over a relation ``votes(key, ord, label, conf)``:
+    most votes, then the earliest first vote; mean of the winners, +0.1
+    (cap 0.98) when unanimous. Yields ``(key, e_label, e_conf)``."""
+    return f"""(
+  WITH g AS (SELECT {key}, label, count(*) AS n, min(ord) AS first, sum(conf) AS total FROM {votes}
+             GROUP BY {key}, label),
+  k AS (SELECT {key}, count(*) AS n_labels FROM g GROUP BY {key}),
+  w AS (SELECT g.*, row_number() OVER (PARTITION BY g.{key} ORDER BY n DESC, first ASC) AS rn FROM g)
+  SELECT w.{key}, w.label AS e_label,
+         CASE WHEN k.n_labels = 1 THEN least(w.total / w.n + {d(0.1)}, {d(0.98)}) ELSE w.total / w.n END AS e_conf
+  FROM w JOIN k ON k.{key} = w.{key} WHERE w.rn = 1)"""
+
+
+def py_round_sql(x: str, n: int = 2) -> str:
+    """Python's ``round(x, n)`` in SQL: only next to a rounding midpoint the
+    exact side is decided with error-free arithmetic (Veltkamp split)."""
+    s = d(10 ** (n + 1))
+    y = f"CAST({x} AS DOUBLE)"
+    t = f"round({y} * {s})"
+    c = f"({y} * {d(134217729.0)})"
+    hi = f"({c} - ({c} - {y}))"
+    lo = f"({y} - {hi})"
+    side = f"sign(({hi} * {s} - {t}) + {lo} * {s})"
+    down = f"(({t} - {d(5.0)}) / {s})"
+    up = f"(({t} + {d(5.0)}) / {s})"
+    lower_even = f"((CAST(({t} - {d(5.0)}) / {d(10.0)} AS BIGINT) % 2 + 2) % 2 = 0)"
+    return (f"(CASE WHEN {y} IS NULL THEN NULL WHEN ((CAST({t} AS BIGINT) % 10) + 10) % 10 = 5 THEN "
+            f"(CASE WHEN {side} > 0 THEN {up} WHEN {side} < 0 THEN {down} WHEN {lower_even} THEN {down} ELSE {up} END) "
+            f"ELSE round({y}, {n}) END)")
