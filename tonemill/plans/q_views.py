@@ -13,7 +13,7 @@ from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_
 from tonemill.sources.tables import load_table
 
 REVIEW_SRC = f"src AS ({review_view_sql()}),"
-REVIEW_LABELED = f"WITH {REVIEW_SRC} {rules_ctes('src').strip()}, lab AS (SELECT doc_id, text, lang, source, n_chars, r_label AS label, {pct('r_conf')} AS confidence FROM r)"
+REVIEW_LABELED = f"WITH {REVIEW_SRC} {rules_ctes('src').strip()}, lab AS MATERIALIZED (SELECT doc_id, text, lang, source, n_chars, r_label AS label, {pct('r_conf')} AS confidence FROM r)"
 LAB_COLS = "doc_id, text, lang, source, n_chars, label, confidence"
 
 
