@@ -81,7 +81,8 @@ def with_ensemble_struct(df: DataFrame, text_col: str = "text", out: str = "ense
         staged = staged.withColumn(val, F.col(rules))
     results = [F.col(rules), F.col(val)]
     if classifier is not None:
-        staged = with_scorer_struct(staged, classifier, normalise, text_col, cls, lexicon=lexicon, **scorer_kw)
+        staged = with_scorer_struct(staged, classifier, normalise, text_col, cls, lexicon=lexicon,
+                                    fallback_col=rules, **scorer_kw)
         results.append(F.col(cls))
     staged = staged.withColumn(out, ensemble_vote(*results))
     return staged.drop(rules, val, cls)

@@ -124,15 +124,18 @@ def score_texts(df: DataFrame, scorer: Callable, text_col: str = "text", n_chars
 
 def with_scorer_struct(df: DataFrame, scorer: Callable, normalise="ternary", text_col: str = "text",
                        out: str = "model", n_chars: int = M.CLASSIFIER_CHARS, distinct: bool = True,
-                       materialize: bool = True, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+                       materialize: bool = True, lexicon: Lexicon = DEFAULT_LEXICON,
+                       fallback_col: str | None = None) -> DataFrame:
     """Add ``out`` = normalised classifier result, rule result where the
-    classifier gave none."""
+    classifier gave none. ``fallback_col`` names a rule result the table
+    already has (so the rule labeler is not computed twice)."""
     norm = M.NORMALISERS[normalise] if isinstance(normalise, str) else normalise
     scored = score_texts(df, scorer, text_col, n_chars, distinct, materialize)
-    rules = "__tm_fallback"
-    staged = with_rules_struct(scored, text_col, lexicon, rules)
+    rules = fallback_col or "__tm_fallback"
+    staged = scored if fallback_col else with_rules_struct(scored, text_col, lexicon, rules)
     res = M.with_fallback(norm(F.col("model_label"), F.col("model_score")), F.col(rules))
-    return staged.withColumn(out, res).drop("model_label", "model_score", rules)
+    staged = staged.withColumn(out, res).drop("model_label", "model_score")
+    return staged if fallback_col else staged.drop(rules)
 
 
 def label_with_scorer(df: DataFrame, scorer: Callable, normalise="ternary", text_col: str = "text",

@@ -275,3 +275,26 @@ def q_label_dataset_gemini(spark, sf_dir):
 
 
 __all__ = ["d"]
+
+
+# Every registry entry through the dispatcher, with its resources.
+def _dataset_query(model, **resources):
+    def run(spark, sf_dir):
+        out = registry.label_dataset(review_view(spark, sf_dir).select("doc_id", "text"), model, **resources)
+        return out.select("doc_id", "label", "confidence")
+    return run
+
+
+_VAL_REV = (f"WITH {_REV}, {valence_ctes('rv', 'doc_id', demo_valence_sql()).strip()} "
+            f"SELECT doc_id, v_label AS label, {pct('v_conf')} AS confidence FROM v")
+
+query("label_dataset_vader", _VAL_REV)(_dataset_query("VADER (Social Media)", valence_lexicon=DEMO_VALENCE))
+query("label_dataset_distilbert", _scorer_sql(review_view_sql(), binary_sql))(
+    _dataset_query("DistilBERT (AI)", classifier=demo_classifier))
+query("label_dataset_roberta", _scorer_sql(review_view_sql(), ternary_sql))(
+    _dataset_query("RoBERTa (Best Free)", classifier=demo_classifier))
+query("label_dataset_openai", _answers_sql(review_view_sql(), demo_answer_sql(_USER), scored_answer_sql))(
+    _dataset_query("OpenAI GPT-3.5", api_key="demo", responder=demo_responder))
+query("label_dataset_ensemble_full", f"WITH {_ENS_BASE} SELECT doc_id, e_label AS label, {pct('e_conf')} AS confidence "
+                                     f"FROM {vote_sql('votes', 'doc_id')} e")(
+    _dataset_query("Ensemble (Hybrid)", valence_lexicon=DEMO_VALENCE, classifier=demo_classifier))
