@@ -5,8 +5,8 @@ Two forms with the same result:
 * wide (2-3 labelers, the default ensemble): every labeler is a column of
   the same row and the vote is a projection, so there is no shuffle;
 * long (any number): votes are rows ``(key, model, ord, label,
-  confidence)``; one shuffle on ``key`` places all votes of a row together,
-  after which both aggregation steps run without another exchange.
+  confidence)``, voted by two aggregations that each pre-aggregate inside
+  the tasks before shuffling.
 """
 
 from __future__ import annotations
@@ -43,22 +43,27 @@ def votes_long(key: str, labeled: Sequence[tuple[str, DataFrame]], label_col: st
     return out
 
 
-def ensemble_vote_long(votes: DataFrame, key: str, num_partitions: int | None = None) -> DataFrame:
+def ensemble_vote_long(votes: DataFrame, key: str, n_models: int | None = None) -> DataFrame:
     """Vote over vote rows: the most frequent label per key wins, ties go to
     the label whose first vote has the lowest ``ord``; confidence = mean of
-    the winning votes (in ``ord`` order), +0.1 capped at 0.98 if unanimous.
-    Returns ``(key, label, confidence)`` with confidence in 0..1."""
-    spread = votes.repartition(num_partitions, key) if num_partitions else votes.repartition(key)
-    # Votes per (key, label); each group holds at most one vote per model.
-    per_label = spread.groupBy(key, "label").agg(
+    the winning votes (summed in ``ord`` order), +0.1 capped at 0.98 if
+    unanimous. Returns ``(key, label, confidence)`` with confidence in 0..1.
+
+    Votes are ``(key, ord)``-unique. Both steps are plain aggregations with
+    partial aggregation before each shuffle, so a key holding many rows is
+    folded inside each task first; no group is collected into a list."""
+    if n_models is None:
+        n_models = int(votes.agg(F.max("ord")).first()[0]) + 1
+    ords = range(n_models)
+    per_label = votes.groupBy(key, "label").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("ord").alias("first"),
-        F.array_sort(F.collect_list(F.struct("ord", "confidence"))).alias("confs"),
-    )
-    per_label = per_label.withColumn(
-        "mean",
-        F.aggregate("confs", F.lit(0.0), lambda acc, x: acc + x.getField("confidence")) / F.col("n"),
+        *[F.max(F.when(F.col("ord") == i, F.col("confidence"))).alias(f"__tm_c{i}") for i in ords],
     )
+    total = F.lit(0.0)
+    for i in ords:  # model order, as the winners' confidences are summed
+        total = total + F.coalesce(F.col(f"__tm_c{i}"), F.lit(0.0))
+    per_label = per_label.withColumn("mean", total / F.col("n"))
     best = per_label.groupBy(key).agg(
         F.max(F.struct(F.col("n"), (-F.col("first")).alias("neg_first"), F.col("label"), F.col("mean"))).alias("b"),
         F.count(F.lit(1)).alias("n_labels"),

@@ -62,7 +62,13 @@ def with_row_index(df: DataFrame, order_by: str | Sequence[str], index_col: str
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = checkpointed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    # A per-row id breaks ties, so rows sharing a (hot) key value are spread
+    # over several ranges instead of landing in one task. It is stable on
+    # recompute for file scans, and the checkpoint fixes it afterwards.
+    tie = "__tm_tie"
+    order = [F.col(k) for k in keys] + [F.col(tie)]
+    tagged_in = df.withColumn(tie, F.monotonically_increasing_id())
+    ordered = checkpointed(tagged_in.repartitionByRange(n, *order).sortWithinPartitions(*order)).drop(tie)
     pid, local = "__tm_pid", "__tm_local"
     tagged = ordered.withColumn(pid, F.spark_partition_id()).withColumn(
         local, F.monotonically_increasing_id() - F.shiftleft(F.col(pid).cast("long"), 33)

@@ -229,7 +229,7 @@ def q_votes_long(spark, sf_dir):
 @query("ensemble_vote", f"WITH {_ENS_BASE} SELECT doc_id, e_label AS label, {pct('e_conf')} AS confidence "
                         f"FROM {vote_sql('votes', 'doc_id')} e")
 def q_ensemble_vote(spark, sf_dir):
-    out = ensemble.ensemble_vote_long(_votes(spark, sf_dir), "doc_id")
+    out = ensemble.ensemble_vote_long(_votes(spark, sf_dir), "doc_id", n_models=3)
     return out.select("doc_id", "label", to_percent(F.col("confidence")).alias("confidence"))
 
 
