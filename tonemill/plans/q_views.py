@@ -10,6 +10,7 @@ from tonemill.operators import labeling, report, schema, views
 from tonemill.plans.fixtures import review_view, review_view_sql
 from tonemill.plans.registry import query
 from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_ctes
+from tonemill.sinks.csv import keep_table
 from tonemill.sources.tables import load_table
 
 REVIEW_SRC = f"src AS ({review_view_sql()}),"
@@ -169,3 +170,20 @@ def q_label_conversations(spark, sf_dir):
 
 
 __all__ = ["F"]
+
+
+# --- Keep the labeled table, then report from the stored rows ---------------
+@query("kept_report", f"""{REVIEW_LABELED}
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count_if(label = 'Positive') AS BIGINT) AS positive,
+       CAST(count_if(label = 'Negative') AS BIGINT) AS negative,
+       CAST(count_if(label = 'Neutral') AS BIGINT) AS neutral,
+       CAST(count_if(confidence >= 85.0) AS BIGINT) AS high_count,
+       CAST(count_if(confidence >= 90.0) AS BIGINT) AS very_high_count,
+       CAST(count_if(confidence < 60.0) AS BIGINT) AS low_count,
+       {py_round_sql('CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0', 2)}
+         AS avg_confidence
+FROM lab""")
+def q_kept_report(spark, sf_dir):
+    kept = keep_table(labeled_reviews(spark, sf_dir))
+    return report.report_metrics(kept)

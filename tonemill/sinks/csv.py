@@ -19,6 +19,7 @@ from tonemill.functions.report import HIGH, VERY_HIGH, confidence_tier
 from tonemill.lexicon import LABELS
 from tonemill.operators.registry import export_name
 from tonemill.operators.views import label_filter
+from tonemill.session import scratch_path
 
 # The export file names.
 HIGH_NAME = "high_confidence_85plus.csv"
@@ -96,3 +97,16 @@ def read_tiers(spark: SparkSession, path: str, tiers: Iterable[str]) -> DataFram
     """Read some tiers of :func:`export_tiers` (partition pruning skips the
     other folders)."""
     return read_export(spark, path).filter(F.col(TIER_COLUMN).isin(list(tiers)))
+
+
+def keep_table(df: DataFrame, path: str | None = None, name: str = "labeled") -> DataFrame:
+    """Write a (labeled) table once as parquet — to ``path`` or below the
+    shared checkpoint folder — and return it read back.
+
+    This is where a labeled table lives between the report, preview, filter
+    and export steps: every later action reads the stored rows instead of
+    labeling again (a model would be called again), and the rows survive
+    the loss of the executors that computed them."""
+    target = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.parquet(target)
