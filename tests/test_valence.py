@@ -35,3 +35,39 @@ def test_lexicon_as_dataframe(spark):
     lex = spark.createDataFrame(list(LEX.items()), "token string, valence double")
     df = spark.createDataFrame([(1, "good bad great")], "id long, text string")
     assert valence_compound(df, lex).first().compound == brute("good bad great")
+
+
+def brute_rules(text, lex, rules):
+    toks = re.findall(r"[^\W_]+(?:'[^\W_]+)*", str(text if text is not None else "nan").lower())
+    s = 0.0
+    for i, t in enumerate(toks):
+        if t not in lex:
+            continue
+        v = lex[t]
+        for j in range(1, rules.window + 1):
+            if i - j < 0:
+                continue
+            p = toks[i - j]
+            if p in rules.boosters:
+                inc = rules.boosters[p] * rules.damping[j - 1]
+                v = v - inc if v < 0 else v + inc
+            if p in rules.negators:
+                v = v * rules.negation_scalar
+        s = s + v
+    if rules.exclamation_step:
+        e = min(str(text if text is not None else "nan").count("!"), rules.exclamation_max) * rules.exclamation_step
+        s = s + e if s > 0 else (s - e if s < 0 else s)
+    return round(max(-1.0, min(1.0, s / math.sqrt(s * s + 15))), 4)
+
+
+def test_context_rules_match_bruteforce(spark):
+    from tonemill.functions.valence import BOOSTER_INCREMENT, EXCLAMATION_STEP, ValenceRules
+
+    rules = ValenceRules(negators=("not", "never", "isn't"), boosters={"very": BOOSTER_INCREMENT,
+                         "barely": -BOOSTER_INCREMENT}, exclamation_step=EXCLAMATION_STEP)
+    texts = ["not very good", "very not good", "good", "isn't bad!!", "never, ever, so bad", "barely good!!!!!!",
+             "", None, "very very very", "not good not bad very great"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_rules(t, LEX, rules), t

@@ -38,12 +38,13 @@ def _py_round_value(y: Column, n: int) -> Column:
     up = (t + F.lit(5.0)) / F.lit(s)
     lower_even = F.pmod(((t - F.lit(5.0)) / F.lit(10.0)).cast("long"), F.lit(2)) == F.lit(0)
     exact = F.when(side > 0, up).when(side < 0, down).when(lower_even, down).otherwise(up)
-    return F.when(tie_candidate, exact).otherwise(F.bround(y, n))
+    # "+ 0.0" turns a negative zero into 0.0, so every engine prints 0.0.
+    return F.when(tie_candidate, exact).otherwise(F.bround(y, n)) + F.lit(0.0)
 
 
 def py_round(x, n: int = 2) -> Column:
     """``round(x, n)`` with Python's semantics, for doubles of moderate size
-    (|x| * 10^(n+1) well below 2^53).
+    (|x| * 10^(n+1) well below 2^53). A negative zero comes back as 0.0.
 
     The argument is bound once through a one-element lambda: the arithmetic
     refers to it a dozen times, and a filter pushed below the projection

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,85 @@ def label_from_compound(compound) -> Column:
     )
     confidence = F.when((c >= F.lit(THRESHOLD)) | (c <= F.lit(-THRESHOLD)), conf).otherwise(F.lit(NEUTRAL_CONFIDENCE))
     return F.struct(lab.alias("label"), confidence.alias("confidence"))
+
+
+@dataclass(frozen=True)
+class ValenceRules:
+    """Optional context rules of the valence scorer (all off by default).
+
+    For each lexicon hit, the up to ``window`` preceding tokens are visited
+    nearest first; at distance ``j`` a booster adds its increment (damped by
+    ``damping[j-1]``, sign-flipped while the running valence is negative) and
+    then a negator multiplies the running valence by ``negation_scalar``.
+    Each ``!`` in the text (at most ``exclamation_max``) pushes the sum
+    ``exclamation_step`` further from zero. The word lists are inputs; the
+    constants default to the published values of the valence-aware scorer.
+    """
+
+    negators: tuple[str, ...] = ()
+    boosters: dict = field(default_factory=dict)
+    window: int = 3
+    negation_scalar: float = -0.74
+    damping: tuple[float, ...] = (1.0, 0.95, 0.9)
+    exclamation_step: float = 0.0
+    exclamation_max: int = 4
+
+    @property
+    def active(self) -> bool:
+        return bool(self.negators or self.boosters or self.exclamation_step)
+
+
+# Published constants of the valence-aware scorer (used when asked for).
+BOOSTER_INCREMENT = 0.293
+EXCLAMATION_STEP = 0.292
+
+
+def rules_sum(tokens_col, hits_col, valences: Column, rules: ValenceRules, text=None) -> Column:
+    """Sum of rule-adjusted valences over the hits of a token array, in
+    token order (double); ``hits_col`` holds the distinct lexicon tokens of
+    the row and ``valences`` is the lexicon as a literal map. Both arrays
+    must be columns: an expression inside a lambda is evaluated again for
+    every element."""
+    toks = _col(tokens_col)
+    hits = _col(hits_col)
+    n = F.size(toks)
+    positions = F.filter(
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.array_contains(hits, F.element_at(toks, i)),
+    )
+    neg = F.array(*[F.lit(w) for w in rules.negators]) if rules.negators else None
+    boost = (F.create_map(*[x for k, v in rules.boosters.items() for x in (F.lit(k), F.lit(float(v)))])
+             if rules.boosters else None)
+
+    damp = F.array(*[F.lit(float(x)) for x in rules.damping[: rules.window]])
+    steps = F.sequence(F.lit(1), F.lit(rules.window))
+
+    def adjusted(i):
+        # The window is folded step by step (nearest token first), with the
+        # running valence as one lambda variable instead of a copied tree.
+        def step(v, j):
+            prev = F.when(i - j >= 1, F.element_at(toks, i - j))
+            if boost is not None:
+                inc = F.coalesce(F.element_at(boost, prev), F.lit(0.0)) * F.element_at(damp, j)
+                v = v + F.when(v < 0, -inc).otherwise(inc)
+            if neg is not None:
+                v = v * F.when(F.array_contains(neg, prev), F.lit(rules.negation_scalar)).otherwise(F.lit(1.0))
+            return v
+
+        base = F.element_at(valences, F.element_at(toks, i)).cast("double")
+        return F.aggregate(steps, base, step)
+
+    total = F.aggregate(F.transform(positions, adjusted), F.lit(0.0), lambda a, b: a + b)
+    if rules.exclamation_step and text is not None:
+        raw = F.coalesce(_col(text).cast("string"), F.lit(NULL_TEXT))
+        marks = F.least(F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit(""))), F.lit(rules.exclamation_max))
+        emph = marks.cast("double") * F.lit(rules.exclamation_step)
+        total = F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
+    return total
+
+
+def compound_from_double(s) -> Column:
+    """Normalise an (unscaled) valence sum to [-1, 1], 4 decimals."""
+    s = F.coalesce(_col(s), F.lit(0.0))
+    raw = s / F.sqrt(s * s + F.lit(ALPHA))
+    return py_round(F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)), COMPOUND_DECIMALS)

@@ -63,11 +63,18 @@ def valence_compound(
     key: str | None = None,
     strategy: str = "auto",
     inline_max: int = INLINE_MAX,
+    rules: V.ValenceRules | None = None,
 ) -> DataFrame:
     """Add ``out`` = compound score of ``text_col`` (4 decimals).
 
     ``key`` (a unique row key) is needed only by the ``join`` strategy.
+    ``rules`` (negation/booster windows, emphasis) need token positions and
+    run in the ``inline`` strategy.
     """
+    if rules is not None and rules.active:
+        if strategy == "join":
+            raise ValueError("context rules run in the inline strategy")
+        strategy = "inline"
     spark = df.sparkSession
     lex = lexicon_frame(spark, lexicon)
     n_entries = None
@@ -87,6 +94,12 @@ def valence_compound(
                 raise ValueError(f"lexicon repeats token {k!r}")
             seen[k] = v
         staged = df.withColumn(tok, V.valence_tokens(text_col))
+        if rules is not None and rules.active:
+            keys = F.array(*[F.lit(k) for k, _ in entries]) if entries else F.array().cast("array<string>")
+            vals = F.create_map(*[x for k, v in entries for x in (F.lit(k), F.lit(float(v)))])
+            staged = staged.withColumn("__tm_vhits", F.array_intersect(F.col(tok), keys))
+            total = V.rules_sum(tok, "__tm_vhits", vals, rules, text=F.col(text_col))
+            return staged.withColumn(out, V.compound_from_double(total)).drop(tok, "__tm_vhits")
         return staged.withColumn(out, V.compound_from_sum(_inline_sum(tok, entries))).drop(tok)
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")

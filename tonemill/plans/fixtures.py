@@ -140,3 +140,11 @@ def responses_table(spark, sf_dir):
 def demo_valence_sql() -> str:
     rows = ", ".join(f"({q(k)}, CAST({v!r} AS DOUBLE))" for k, v in DEMO_VALENCE.items())
     return f"(VALUES {rows}) AS lex(token, valence)"
+
+
+def demo_valence_rules():
+    """Context rules over pseudo-words frequent in the test prose."""
+    from tonemill.functions.valence import BOOSTER_INCREMENT, EXCLAMATION_STEP, ValenceRules
+
+    return ValenceRules(negators=("no", "by"), boosters={"as": BOOSTER_INCREMENT, "with": -BOOSTER_INCREMENT},
+                        exclamation_step=EXCLAMATION_STEP)

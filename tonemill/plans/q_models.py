@@ -16,6 +16,7 @@ from tonemill.plans.fixtures import (
     demo_classifier,
     demo_classifier_sql,
     demo_responder,
+    demo_valence_rules,
     demo_valence_sql,
     responses_table,
     review_view,
@@ -33,6 +34,7 @@ from tonemill.plans.sql import (
     scored_answer_sql,
     ternary_sql,
     valence_ctes,
+    valence_rules_sql,
     vote_sql,
 )
 from tonemill.sources.tables import load_table
@@ -298,3 +300,10 @@ query("label_dataset_openai", _answers_sql(review_view_sql(), demo_answer_sql(_U
 query("label_dataset_ensemble_full", f"WITH {_ENS_BASE} SELECT doc_id, e_label AS label, {pct('e_conf')} AS confidence "
                                      f"FROM {vote_sql('votes', 'doc_id')} e")(
     _dataset_query("Ensemble (Hybrid)", valence_lexicon=DEMO_VALENCE, classifier=demo_classifier))
+
+
+@query("valence_rules", valence_rules_sql("documents", "doc_id", DEMO_VALENCE, demo_valence_rules()))
+def q_valence_rules(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE,
+                                   rules=demo_valence_rules())
+    return out.select("doc_id", "compound")

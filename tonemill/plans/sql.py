@@ -167,4 +167,35 @@ def py_round_sql(x: str, n: int = 2) -> str:
     lower_even = f"((CAST(({t} - {d(5.0)}) / {d(10.0)} AS BIGINT) % 2 + 2) % 2 = 0)"
     return (f"(CASE WHEN {y} IS NULL THEN NULL WHEN ((CAST({t} AS BIGINT) % 10) + 10) % 10 = 5 THEN "
             f"(CASE WHEN {side} > 0 THEN {up} WHEN {side} < 0 THEN {down} WHEN {lower_even} THEN {down} ELSE {up} END) "
-            f"ELSE round({y}, {n}) END)")
+            f"ELSE round({y}, {n}) END + {d(0.0)})")
+
+
+def valence_rules_sql(src: str, key: str, lexicon: dict, rules, text_expr: str = "text") -> str:
+    """``SELECT key, compound`` with the context rules: for each hit, the up
+    to ``window`` preceding tokens nearest first (booster, then negator),
+    summed in token order, then the emphasis."""
+    keys = "[" + ", ".join(q(k) for k in lexicon) + "]"
+    val = "CASE toks[i] " + " ".join(f"WHEN {q(k)} THEN {d(v)}" for k, v in lexicon.items()) + " END"
+    v = f"({val})"
+    for j in range(1, rules.window + 1):
+        prev = f"(CASE WHEN i - {j} >= 1 THEN toks[i - {j}] END)"
+        if rules.boosters:
+            b = "CASE " + prev + " " + " ".join(f"WHEN {q(k)} THEN {d(x)}" for k, x in rules.boosters.items()) + " END"
+            inc = f"(coalesce({b}, {d(0.0)}) * {d(rules.damping[j - 1])})"
+            v = f"({v} + CASE WHEN {v} < 0 THEN -{inc} ELSE {inc} END)"
+        if rules.negators:
+            negs = ", ".join(q(w) for w in rules.negators)
+            v = f"(CASE WHEN {prev} IN ({negs}) THEN {v} * {d(rules.negation_scalar)} ELSE {v} END)"
+    low = f"lower(coalesce(CAST({text_expr} AS VARCHAR), 'nan'))"
+    raw = f"coalesce(CAST({text_expr} AS VARCHAR), 'nan')"
+    s0 = ("list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(pos, lambda i: " + v + ")), "
+          "lambda a, b: a + b)")
+    marks = f"least(length({raw}) - length(replace({raw}, '!', '')), {rules.exclamation_max})"
+    emph = f"(CAST({marks} AS DOUBLE) * {d(rules.exclamation_step)})"
+    s = "s0" if not rules.exclamation_step else \
+        f"(CASE WHEN s0 > 0 THEN s0 + {emph} WHEN s0 < 0 THEN s0 - {emph} ELSE s0 END)"
+    comp = py_round_sql(f"least(greatest({s} / sqrt({s} * {s} + {d(15.0)}), {d(-1.0)}), {d(1.0)})", 4)
+    return f"""WITH vt AS (SELECT {key}, {text_expr}, regexp_extract_all({low}, {q(VALENCE_TOKEN_SQL)}, 0) AS toks FROM {src}),
+vp AS (SELECT *, list_filter(range(1, len(toks) + 1), lambda i: list_contains({keys}, toks[i])) AS pos FROM vt),
+vs AS MATERIALIZED (SELECT *, {s0} AS s0 FROM vp)
+SELECT {key}, {comp} AS compound FROM vs"""
