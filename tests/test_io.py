@@ -113,3 +113,27 @@ def test_running_label_counts(spark, tmp_out):
     q.processAllAvailable()
     q.stop()
     assert {r.label: r.n for r in spark.table("tm_counts").collect()} == {"Positive": 4, "Negative": 2, "Neutral": 4}
+
+
+def test_keep_table_and_sample_export(spark, tmp_out):
+    labeled = label_rules(sample_reviews(spark))
+    kept = sinks.keep_table(labeled, os.path.join(tmp_out, "kept"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in labeled.collect())
+    # The ten demo reviews export and read back as they are.
+    path = sinks.export_csv(sample_reviews(spark), sinks.export_path(tmp_out, name="sample_data.csv"))
+    assert sorted(r.text for r in read_reviews(spark, path).collect()) == sorted(
+        r.text for r in sample_reviews(spark).collect())
+    assert sinks.export_path("/x", "OpenAI GPT-3.5") == "/x/labeled_openai_gpt-3.5.csv"
+
+
+def test_load_once_builds_once_per_process():
+    from tonemill.operators.scoring import load_once
+
+    built = []
+
+    def factory():
+        built.append(1)
+        return lambda batch: [len(x) for x in batch]
+
+    fn = load_once(factory, name="test-load-once")
+    assert fn(["ab", "c"]) == [2, 1] and fn(["abc"]) == [3] and len(built) == 1

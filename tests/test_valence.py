@@ -71,3 +71,13 @@ def test_context_rules_match_bruteforce(spark):
     got = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute_rules(t, LEX, rules), t
+
+
+def test_join_strategy_without_broadcast(spark, monkeypatch):
+    import tonemill.operators.valence as ov
+
+    monkeypatch.setattr(ov, "BROADCAST_MAX", 1)
+    texts = ["good good bad", "great great great don't", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join").collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from tonemill.functions import valence as V
 from tonemill.functions.rules import to_percent
-from tonemill.operators.labeling import unpack_label
 
 INLINE_MAX = 50_000       # lexicon entries folded into the plan as literals
 BROADCAST_MAX = 2_000_000  # lexicon entries broadcast to every task in the join strategy
@@ -111,11 +110,15 @@ def valence_compound(
     if n_entries <= BROADCAST_MAX:
         lex_side = F.broadcast(lex_side)
     exploded = df.select(F.col(key).alias("__tm_key"), F.explode(V.valence_tokens(text_col)).alias("token"))
-    sums = (
-        exploded.join(lex_side, "token", "inner")
-        .groupBy("__tm_key")
-        .agg(F.sum("__tm_sv").alias("__tm_sum"))
-    )
+    if n_entries <= BROADCAST_MAX:
+        hits = exploded.join(lex_side, "token", "inner").select("__tm_key", "__tm_sv")
+    else:
+        # Too big to broadcast: fold repeated tokens of a row inside each task
+        # before the token shuffle, and weight each hit by its count.
+        counted = exploded.groupBy("__tm_key", "token").agg(F.count(F.lit(1)).alias("__tm_n"))
+        hits = counted.join(lex_side, "token", "inner").select(
+            "__tm_key", (F.col("__tm_sv") * F.col("__tm_n")).alias("__tm_sv"))
+    sums = hits.groupBy("__tm_key").agg(F.sum("__tm_sv").alias("__tm_sum"))
     joined = df.join(sums, df[key] == sums["__tm_key"], "left")
     return joined.withColumn(out, V.compound_from_sum("__tm_sum")).drop("__tm_key", "__tm_sum")
 
@@ -142,5 +145,3 @@ def label_valence(
     out = staged.withColumns({label_col: res.getField("label"), confidence_col: to_percent(res.getField("confidence"))})
     return out if keep_compound else out.drop("compound")
 
-
-__all__ = ["label_valence", "lexicon_frame", "unpack_label", "valence_compound", "with_valence_struct"]

@@ -25,7 +25,6 @@ from tonemill.plans.fixtures import (
 from tonemill.plans.registry import query
 from tonemill.plans.sql import (
     binary_sql,
-    d,
     pct,
     plain_answer_sql,
     py_round_sql,
@@ -276,7 +275,6 @@ def q_label_dataset_gemini(spark, sf_dir):
     return out.select("doc_id", "label", "confidence")
 
 
-__all__ = ["d"]
 
 
 # Every registry entry through the dispatcher, with its resources.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tonemill.functions.report import confidence_band
 from tonemill.lexicon import COVERAGE_LEXICON
 from tonemill.operators import labeling, report, schema, views
@@ -169,8 +167,6 @@ def q_label_conversations(spark, sf_dir):
     return labeling.label_rules(conv).select("conv_id", "turn", "role", "label", "confidence")
 
 
-__all__ = ["F"]
-
 
 # --- Keep the labeled table, then report from the stored rows ---------------
 @query("kept_report", f"""{REVIEW_LABELED}

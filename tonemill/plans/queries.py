@@ -6,8 +6,6 @@ DataFrame; nothing is collected. Column names match the SQL's aliases.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tonemill.lexicon import COVERAGE_LEXICON, DEFAULT_LEXICON
 from tonemill.operators import labeling, report
 from tonemill.plans.registry import query
