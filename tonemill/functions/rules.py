@@ -60,6 +60,14 @@ def lexicon_hits(lowered, toks, words) -> Column:
     return total
 
 
+def lexicon_candidates(toks, lexicon: Lexicon) -> Column:
+    """Distinct tokens that are one-word entries of either list: the one
+    pass over the token array; the per-side counts then intersect this
+    short array only."""
+    words = tuple(dict.fromkeys(w for w in lexicon.positive + lexicon.negative if " " not in w))
+    return F.array_intersect(_col(toks), _str_array(words))
+
+
 def any_substring(lowered, needles) -> Column:
     """True when any of ``needles`` occurs anywhere in the text."""
     if not needles:

@@ -10,6 +10,7 @@ from tonemill.lexicon import DEFAULT_LEXICON, Lexicon
 
 _LOW = "__tm_low"
 _TOK = "__tm_tok"
+_HIT = "__tm_hit"
 _POS = "__tm_pos"
 _NEG = "__tm_neg"
 
@@ -23,16 +24,19 @@ def rule_features(
     """Add the four rule features: distinct positive and negative lexicon
     hits, the negation flag and the amplifier count."""
     staged = df.withColumn(_LOW, R.scoring_text(text_col)).withColumn(_TOK, R.tokens(_LOW))
+    # One pass over the tokens finds every one-word entry present; the two
+    # sides then count within that short array.
+    staged = staged.withColumn(_HIT, R.lexicon_candidates(_TOK, lexicon))
     pos_n, neg_n, flag_n, amp_n = names
     out = staged.withColumns(
         {
-            pos_n: R.lexicon_hits(_LOW, _TOK, lexicon.positive),
-            neg_n: R.lexicon_hits(_LOW, _TOK, lexicon.negative),
+            pos_n: R.lexicon_hits(_LOW, _HIT, lexicon.positive),
+            neg_n: R.lexicon_hits(_LOW, _HIT, lexicon.negative),
             flag_n: R.any_substring(_LOW, lexicon.negations),
             amp_n: R.count_substrings(_LOW, lexicon.amplifiers),
         }
     )
-    return out.drop(_LOW, _TOK)
+    return out.drop(_LOW, _TOK, _HIT)
 
 
 def with_rules_struct(
