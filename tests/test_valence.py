@@ -81,3 +81,17 @@ def test_join_strategy_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     got = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join").collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_context_rules_join_strategy(spark):
+    from tonemill.functions.valence import BOOSTER_INCREMENT, EXCLAMATION_STEP, ValenceRules
+
+    rules = ValenceRules(negators=("not", "never", "isn't"), boosters={"very": BOOSTER_INCREMENT,
+                         "barely": -BOOSTER_INCREMENT}, exclamation_step=EXCLAMATION_STEP)
+    texts = ["not very good", "very not good", "good x y z not bad", "isn't bad!!", "never, ever, so bad",
+             "barely good!!!!!!", "", None, "very very very", "not good not bad very great", "good a very b great"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join", rules=rules).collect()}
+    inline = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == inline[i] == brute_rules(t, LEX, rules), t

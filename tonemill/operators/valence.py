@@ -17,7 +17,7 @@ physical strategies give identical results:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions import valence as V
@@ -70,10 +70,6 @@ def valence_compound(
     ``rules`` (negation/booster windows, emphasis) need token positions and
     run in the ``inline`` strategy.
     """
-    if rules is not None and rules.active:
-        if strategy == "join":
-            raise ValueError("context rules run in the inline strategy")
-        strategy = "inline"
     spark = df.sparkSession
     lex = lexicon_frame(spark, lexicon)
     n_entries = None
@@ -106,6 +102,8 @@ def valence_compound(
         raise ValueError("the join strategy needs a unique row key")
     if n_entries is None:
         n_entries = lex.count()
+    if rules is not None and rules.active:
+        return _join_with_rules(df, lex, n_entries, key, text_col, out, rules)
     lex_side = lex.select("token", V.scaled_valence("valence").alias("__tm_sv"))
     if n_entries <= BROADCAST_MAX:
         lex_side = F.broadcast(lex_side)
@@ -123,6 +121,55 @@ def valence_compound(
     return joined.withColumn(out, V.compound_from_sum("__tm_sum")).drop("__tm_key", "__tm_sum")
 
 
+def _join_with_rules(df: DataFrame, lex: DataFrame, n_entries: int, key: str, text_col: str, out: str,
+                     rules: V.ValenceRules) -> DataFrame:
+    """Context rules with any lexicon size: tokens with their positions are
+    exploded, lexicon hits and rule words kept, and a window per row key
+    (ordered by position) looks back at the up to ``window`` previous kept
+    tokens; a row key's tokens are one document, so no window group is
+    larger than a text. Hit valences are summed in token order by a running
+    window sum, then joined back to every row."""
+    lex_side = lex.select("token", "valence")
+    if n_entries <= BROADCAST_MAX:
+        lex_side = F.broadcast(lex_side)
+    toks = df.select(F.col(key).alias("__tm_key"), F.posexplode(V.valence_tokens(text_col)).alias("pos", "token"))
+    rule_words = list(dict.fromkeys(list(rules.negators) + list(rules.boosters)))
+    tagged = toks.join(lex_side, "token", "left")
+    kept = tagged.filter(F.col("valence").isNotNull() | F.col("token").isin(rule_words))
+    w = Window.partitionBy("__tm_key").orderBy("pos")
+    for k in range(1, rules.window + 1):
+        kept = kept.withColumn(f"__tm_p{k}", F.lag("pos", k).over(w)).withColumn(f"__tm_t{k}", F.lag("token", k).over(w))
+    neg = F.array(*[F.lit(x) for x in rules.negators]) if rules.negators else None
+    boost = (F.create_map(*[x for k, v in rules.boosters.items() for x in (F.lit(k), F.lit(float(v)))])
+             if rules.boosters else None)
+    v = F.col("valence")
+    for k in range(1, rules.window + 1):  # nearest kept token first
+        dist = F.col("pos") - F.col(f"__tm_p{k}")
+        near = F.col(f"__tm_p{k}").isNotNull() & (dist <= rules.window)
+        prev = F.when(near, F.col(f"__tm_t{k}"))
+        if boost is not None:
+            damp = F.element_at(F.array(*[F.lit(float(x)) for x in rules.damping[: rules.window]]), dist.cast("int"))
+            inc = F.coalesce(F.element_at(boost, prev) * damp, F.lit(0.0))
+            v = F.when(v < 0, v - inc).otherwise(v + inc)
+        if neg is not None:
+            v = F.when(F.array_contains(neg, prev), v * F.lit(rules.negation_scalar)).otherwise(v)
+        kept = kept.withColumn("__tm_v", v)
+        v = F.col("__tm_v")
+    hits = kept.filter(F.col("valence").isNotNull())
+    # Running sum in token order, so the total adds up exactly as in the
+    # row-wise form; the last hit of a key carries it.
+    running = hits.withColumn("__tm_run", F.sum("__tm_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = running.groupBy("__tm_key").agg(F.max_by("__tm_run", "pos").alias("__tm_sum"))
+    joined = df.join(sums, df[key] == sums["__tm_key"], "left")
+    total = F.coalesce(F.col("__tm_sum"), F.lit(0.0))
+    if rules.exclamation_step:
+        raw = F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))
+        marks = F.least(F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit(""))), F.lit(rules.exclamation_max))
+        emph = marks.cast("double") * F.lit(rules.exclamation_step)
+        total = F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
+    return joined.withColumn(out, V.compound_from_double(total)).drop("__tm_key", "__tm_sum")
+
+
 def with_valence_struct(df: DataFrame, lexicon, text_col: str = "text", out: str = "valence", **kw) -> DataFrame:
     """Add ``out`` = ``struct<label, confidence>`` from the compound score."""
     comp = "__tm_compound"
