@@ -137,3 +137,13 @@ def test_load_once_builds_once_per_process():
 
     fn = load_once(factory, name="test-load-once")
     assert fn(["ab", "c"]) == [2, 1] and fn(["abc"]) == [3] and len(built) == 1
+
+
+def test_row_index_with_one_hot_key(spark):
+    # Every row shares one key value: positions stay dense and unique, and
+    # the rows are spread over several ranges instead of one task.
+    df = spark.range(0, 300).select(F.lit(7).alias("k"), F.col("id").alias("v")).repartition(6)
+    ix = with_row_index(df, "k", num_partitions=4)
+    assert sorted(r.row_idx for r in ix.collect()) == list(range(300))
+    per_part = [r[0] for r in ix.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(per_part) > 1 and max(per_part) < 300
