@@ -147,3 +147,14 @@ def test_row_index_with_one_hot_key(spark):
     assert sorted(r.row_idx for r in ix.collect()) == list(range(300))
     per_part = [r[0] for r in ix.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(per_part) > 1 and max(per_part) < 300
+
+
+def test_mixed_encodings_decoded_per_file(spark, tmp_out):
+    d = os.path.join(tmp_out, "mixed dir")
+    os.makedirs(d)
+    with open(os.path.join(d, "utf 8.csv"), "wb") as f:
+        f.write("id,text\n1,café good\n".encode())
+    with open(os.path.join(d, "latin.csv"), "wb") as f:
+        f.write(b"id,text\n2,caf\xe9 bad\n")
+    got = sorted(tuple(r) for r in read_reviews(spark, d).collect())
+    assert got == [("1", "café good"), ("2", "café bad")]

@@ -22,6 +22,8 @@ filter is an ordinary predicate on the parser's corrupt-record column.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,20 @@ def detect_encoding(spark: SparkSession, path: str, extensions=EXTENSIONS) -> st
     return "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
+def file_encodings(spark: SparkSession, path: str, extensions=EXTENSIONS) -> dict[str, list[str]]:
+    """Files grouped by encoding: ``UTF-8`` where every line is valid UTF-8,
+    ``ISO-8859-1`` otherwise. One distributed pass; the result has one row
+    per input file (metadata, bounded by the file count)."""
+    lines = spark.read.option("pathGlobFilter", _glob(extensions)).text(path)
+    flags = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    out: dict[str, list[str]] = {"UTF-8": [], "ISO-8859-1": []}
+    for row in flags.collect():
+        # The metadata path is URL-encoded; readers take the plain path.
+        out["UTF-8" if row["utf8"] else "ISO-8859-1"].append(unquote(row["file"]))
+    return out
+
+
 def mangle_header(names) -> list[str]:
     """Header names as a pandas-style reader makes them: empty names become
     ``Unnamed: i``, repeats get ``.1``, ``.2``; then names are stripped."""
@@ -94,7 +110,7 @@ def mangle_header(names) -> list[str]:
     return stripped
 
 
-def _first_line(spark: SparkSession, path: str, extensions) -> str | None:
+def _first_line(spark: SparkSession, path, extensions) -> str | None:
     # The first non-blank line of the first file split, i.e. a header line;
     # only used to choose the separator.
     reader = spark.read.option("pathGlobFilter", _glob(extensions))
@@ -102,7 +118,7 @@ def _first_line(spark: SparkSession, path: str, extensions) -> str | None:
     return None if row is None else row[0]
 
 
-def _header_fields(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool, extensions):
+def _header_fields(spark: SparkSession, path, sep: str, encoding: str, multi_line: bool, extensions):
     row = (
         spark.read.option("pathGlobFilter", _glob(extensions))
         .option("header", False).option("sep", sep).option("quote", '"').option("escape", '"')
@@ -115,7 +131,7 @@ def _header_fields(spark: SparkSession, path: str, sep: str, encoding: str, mult
 
 def read_reviews(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     *,
     sep: str | None = None,
     encoding: str | None = None,
@@ -126,12 +142,28 @@ def read_reviews(
 ) -> DataFrame:
     """Read delimited review files tolerantly (see the module docstring).
 
-    ``encoding=None`` runs the UTF-8 check; ``sep=None`` takes the separator
+    ``encoding=None`` runs the UTF-8 check per file (a folder may mix UTF-8
+    and Latin-1 files); ``sep=None`` takes the separator
     from the header line. ``multi_line`` allows quoted newlines but keeps
     each file in one task; pass ``False`` for huge single files without
     embedded newlines so Spark can split them.
     """
-    enc = encoding or detect_encoding(spark, path, extensions)
+    if encoding is None:
+        groups = {e: fs for e, fs in file_encodings(spark, path, extensions).items() if fs}
+        if not groups:
+            raise EmptyInputError(f"no input lines in {path}")
+        if len(groups) > 1:
+            # Files are decoded one by one, as each file would be on its own.
+            parts = [read_reviews(spark, fs, sep=sep, encoding=e, multi_line=multi_line, na_values=na_values,
+                                  extensions=extensions, check_nonempty=False) for e, fs in groups.items()]
+            if len({tuple(p.columns) for p in parts}) != 1:
+                raise ValueError("input files have different headers")
+            out = parts[0].unionByName(parts[1])
+            if check_nonempty and not out.select(F.col(f"`{out.columns[0]}`")).take(1):
+                raise EmptyInputError(f"no data rows in {path}")
+            return out
+        encoding = next(iter(groups))
+    enc = encoding
     if sep is None:
         first = _first_line(spark, path, extensions)
         if first is None:
