@@ -43,6 +43,17 @@ def votes_long(key: str, labeled: Sequence[tuple[str, DataFrame]], label_col: st
     return out
 
 
+def votes_from_results(df: DataFrame, key: str, results: Sequence[tuple[str, str]]) -> DataFrame:
+    """Vote rows from result columns of one table: ``[(model, struct_col),
+    ...]`` in model order. One pass with a Generate, no union of scans."""
+    votes = F.array(*[
+        F.struct(F.lit(name).alias("model"), F.lit(i).alias("ord"), F.col(f"{c}.label").alias("label"),
+                 F.col(f"{c}.confidence").cast("double").alias("confidence"))
+        for i, (name, c) in enumerate(results)
+    ])
+    return df.select(F.col(key), F.inline(votes))
+
+
 def ensemble_vote_long(votes: DataFrame, key: str, n_models: int | None = None) -> DataFrame:
     """Vote over vote rows: the most frequent label per key wins, ties go to
     the label whose first vote has the lowest ``ord``; confidence = mean of

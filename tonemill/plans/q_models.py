@@ -9,7 +9,7 @@ from tonemill.functions import models as M
 from tonemill.functions.numeric import py_round
 from tonemill.functions.rules import to_percent
 from tonemill.operators import ensemble, registry, scoring, valence
-from tonemill.operators.labeling import label_rules
+from tonemill.operators.labeling import with_rules_struct
 from tonemill.plans.fixtures import (
     DEMO_VALENCE,
     demo_answer_sql,
@@ -210,14 +210,12 @@ _ENS_BASE = (f"{_REV}, {valence_ctes('rv', 'doc_id', demo_valence_sql()).strip()
 
 
 def _votes(spark, sf_dir):
+    # All three labelers on one scan of the review view, then one row per vote.
     rv = review_view(spark, sf_dir).select("doc_id", "text")
-    rules = label_rules(rv, percent=False)
-    # Unrounded confidences go into the vote.
-    val = valence.with_valence_struct(rv, DEMO_VALENCE, out="v").select(
-        "doc_id", F.col("v.label").alias("label"), F.col("v.confidence").alias("confidence"))
-    cls = scoring.with_scorer_struct(rv, demo_classifier, "ternary", out="c").select(
-        "doc_id", F.col("c.label").alias("label"), F.col("c.confidence").alias("confidence"))
-    return ensemble.votes_long("doc_id", [("rules", rules), ("valence", val), ("classifier", cls)])
+    staged = with_rules_struct(rv, "text", out="r")
+    staged = valence.with_valence_struct(staged, DEMO_VALENCE, out="v")
+    staged = scoring.with_scorer_struct(staged, demo_classifier, "ternary", out="c", fallback_col="r")
+    return ensemble.votes_from_results(staged, "doc_id", [("rules", "r"), ("valence", "v"), ("classifier", "c")])
 
 
 @query("votes_long", f"WITH {_ENS_BASE} SELECT doc_id, model, ord, label, {py_round_sql("conf", 9)} AS confidence "
