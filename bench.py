@@ -1,7 +1,7 @@
 """Headline queries at one scale factor; prints one JSON line.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; the best run of each query is reported, after one
+BENCH_REPEAT (default 3; the best run of each query is reported, after one
 warm-up run of the first query that compiles the shared code paths).
 
 Each query runs end to end from the parquet files into a no-op sink, so the
@@ -36,7 +36,7 @@ HEADLINE = (
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus, app="tonemill-bench")
     checkpoint_dir(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
