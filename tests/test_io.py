@@ -12,8 +12,8 @@ from tonemill.sinks import csv as sinks
 from tonemill.sources.reviews import EmptyInputError, read_reviews, sample_reviews
 from tonemill.streaming.labels import label_files_once, running_label_counts
 
-# The shipped sample file of the labeled app (CRLF, one record too long).
-BASIC_CSV = (
+# A small review file: CRLF line ends, one record with an unquoted comma.
+SAMPLE_CSV = (
     "id,text\r\n1,I love this product!\r\n2,This is the worst experience ever.\r\n"
     "3,Delivery was okay, not great.\r\n4,Customer support helped me quickly.\r\n"
     "5,Website is too slow sometimes.\r\n6,This is one of the fucking project\r\n7,waste of money\r\n"
@@ -29,8 +29,8 @@ def _write(tmp, name, data: bytes):
     return d
 
 
-def test_basic_csv(spark, tmp_out):
-    df = read_reviews(spark, _write(tmp_out, "basic.csv", BASIC_CSV.encode()))
+def test_sample_csv(spark, tmp_out):
+    df = read_reviews(spark, _write(tmp_out, "sample.csv", SAMPLE_CSV.encode()))
     got = {r.id: (r.label, r.confidence) for r in label_rules(df).collect()}
     assert sorted(got, key=int) == ["1", "2", "4", "5", "6", "7", "8", "9", "10", "11"]
     assert got["1"] == ("Positive", 76.25) and got["2"] == ("Negative", 76.25)
