@@ -62,7 +62,7 @@ def test_sample_reviews_golden(spark):
     assert sorted(got) == sorted(SAMPLE_GOLDEN)
     stats = confidence_stats(df).first()
     assert stats.total == 10 and stats.high_count == 1 and stats.very_high_count == 0 and stats.low_count == 4
-    assert stats.avg_confidence == pytest.approx(69.07, abs=0.01)
+    assert stats.avg_confidence == pytest.approx(69.069, abs=1e-9) and stats.avg_confidence_display == 69.1
     counts = {r.label: r.n for r in label_counts(df).collect()}
     assert counts == {"Positive": 4, "Negative": 2, "Neutral": 4}
 

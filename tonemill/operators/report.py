@@ -40,16 +40,16 @@ def report_metrics(
         _count_if(conf >= VERY_HIGH).alias("very_high_count"),
         _count_if(conf < LOW_BELOW).alias("low_count"),
     )
-    mean = F.when(
-        F.col("__nconf") > 0, py_round(F.col("__cents").cast("double") / F.col("__nconf") / F.lit(100.0), 2)
-    )
-    return out.withColumn("avg_confidence", mean).drop("__cents", "__nconf")
+    # Exact mean (whole cents summed), and the 1-decimal value the report shows.
+    mean = F.when(F.col("__nconf") > 0, F.col("__cents").cast("double") / F.col("__nconf") / F.lit(100.0))
+    out = out.withColumn("avg_confidence", mean)
+    return out.withColumn("avg_confidence_display", py_round(F.col("avg_confidence"), 1)).drop("__cents", "__nconf")
 
 
 def confidence_stats(df: DataFrame, label_col: str = "label", confidence_col: str = "confidence") -> DataFrame:
     """Total rows, mean confidence, and the >= 85, >= 90 and < 60 counts."""
     return report_metrics(df, label_col, confidence_col).select(
-        "total", "avg_confidence", "high_count", "very_high_count", "low_count"
+        "total", "avg_confidence", "avg_confidence_display", "high_count", "very_high_count", "low_count"
     )
 
 

@@ -59,8 +59,10 @@ SELECT CAST(count(*) AS BIGINT) AS total,
        CAST(count_if(confidence >= 85.0) AS BIGINT) AS high_count,
        CAST(count_if(confidence >= 90.0) AS BIGINT) AS very_high_count,
        CAST(count_if(confidence < 60.0) AS BIGINT) AS low_count,
-       {py_round_sql('CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0', 2)}
-         AS avg_confidence
+       CASE WHEN count(confidence) > 0 THEN CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0 END
+         AS avg_confidence,
+       {py_round_sql('CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0', 1)}
+         AS avg_confidence_display
 FROM lab""")
 def q_report_reviews(spark, sf_dir):
     return report.report_metrics(labeled_reviews(spark, sf_dir))
@@ -177,8 +179,10 @@ SELECT CAST(count(*) AS BIGINT) AS total,
        CAST(count_if(confidence >= 85.0) AS BIGINT) AS high_count,
        CAST(count_if(confidence >= 90.0) AS BIGINT) AS very_high_count,
        CAST(count_if(confidence < 60.0) AS BIGINT) AS low_count,
-       {py_round_sql('CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0', 2)}
-         AS avg_confidence
+       CASE WHEN count(confidence) > 0 THEN CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0 END
+         AS avg_confidence,
+       {py_round_sql('CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0', 1)}
+         AS avg_confidence_display
 FROM lab""")
 def q_kept_report(spark, sf_dir):
     kept = keep_table(labeled_reviews(spark, sf_dir))

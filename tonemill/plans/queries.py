@@ -60,13 +60,13 @@ def q_label_counts_coverage(spark, sf_dir):
 
 
 # --- A2-A5: report ----------------------------------------------------------
-_AVG = py_round_sql("CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0", 2)
+_MEAN = "CAST(sum(CAST(round(confidence * 100.0) AS BIGINT)) AS DOUBLE) / count(confidence) / 100.0"
+_AVG = f"{_MEAN} END AS avg_confidence, CASE WHEN count(confidence) > 0 THEN {py_round_sql(_MEAN, 1)} END AS avg_confidence_display"
 _SHARE = py_round_sql("CAST(n AS DOUBLE) / total * 100.0", 1)
 _STATS_SQL = """
 WITH {ctes}, l AS (SELECT {pct} AS confidence FROM r)
 SELECT CAST(count(*) AS BIGINT) AS total,
-       CASE WHEN count(confidence) > 0 THEN {avg} END
-         AS avg_confidence,
+       CASE WHEN count(confidence) > 0 THEN {avg},
        CAST(count_if(confidence >= 85.0) AS BIGINT) AS high_count,
        CAST(count_if(confidence >= 90.0) AS BIGINT) AS very_high_count,
        CAST(count_if(confidence < 60.0) AS BIGINT) AS low_count
