@@ -121,3 +121,13 @@ def head(df: DataFrame, order_by: str | Sequence[str], n: int = 5) -> DataFrame:
     """First ``n`` rows in key order (a bounded top-n, no full sort)."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     return df.orderBy(*keys).limit(int(n))
+
+
+def page_after(df: DataFrame, order_by: str, last_key, size: int) -> DataFrame:
+    """Keyset paging: the ``size`` rows after ``last_key`` in key order
+    (``None`` for the first page). A filter plus a bounded top-n per task:
+    no index and no full sort, however deep the page."""
+    if size < 0:
+        raise ValueError("size must be >= 0")
+    rows = df if last_key is None else df.filter(F.col(order_by) > F.lit(last_key))
+    return rows.orderBy(order_by).limit(int(size))

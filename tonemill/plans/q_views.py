@@ -187,3 +187,12 @@ FROM lab""")
 def q_kept_report(spark, sf_dir):
     kept = keep_table(labeled_reviews(spark, sf_dir))
     return report.report_metrics(kept)
+
+
+KEYSET_AFTER = 500
+
+
+@query("page_after", f"{REVIEW_LABELED} SELECT {LAB_COLS} FROM lab WHERE doc_id > {KEYSET_AFTER} "
+                     f"ORDER BY doc_id LIMIT {PAGE_SIZE}")
+def q_page_after(spark, sf_dir):
+    return views.page_after(labeled_reviews(spark, sf_dir), "doc_id", KEYSET_AFTER, PAGE_SIZE)
