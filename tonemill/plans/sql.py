@@ -140,11 +140,13 @@ def plain_answer_sql(r: str) -> tuple[str, str]:
 
 def vote_sql(votes: str, key: str) -> str:
     """Majority vote over a relation ``votes(key, ord, label, conf)``:
-    most votes, then the earliest first vote; mean of the winners, +0.1
-    (cap 0.98) when unanimous. Yields ``(key, e_label, e_conf)``."""
+    most votes, then the earliest first vote; mean of the winners (summed in
+    model order), +0.1 (cap 0.98) when unanimous. Yields ``(key, e_label,
+    e_conf)``."""
     return f"""(
-  WITH g AS (SELECT {key}, label, count(*) AS n, min(ord) AS first, sum(conf) AS total FROM {votes}
-             GROUP BY {key}, label),
+  WITH g AS (SELECT {key}, label, count(*) AS n, min(ord) AS first,
+                    list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(conf ORDER BY ord)), lambda a, b: a + b) AS total
+             FROM {votes} GROUP BY {key}, label),
   k AS (SELECT {key}, count(*) AS n_labels FROM g GROUP BY {key}),
   w AS (SELECT g.*, row_number() OVER (PARTITION BY g.{key} ORDER BY n DESC, first ASC) AS rn FROM g)
   SELECT w.{key}, w.label AS e_label,
