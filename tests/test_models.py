@@ -116,3 +116,25 @@ def test_registry(spark):
     assert sorted(tuple(r) for r in label_dataset(df, "RoBERTa (Best Free)").collect()) == rules
     with pytest.raises(KeyError):
         label_dataset(df, "nope")
+
+
+def test_scores_are_not_recomputed_by_later_actions(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return demo_classifier(texts)
+
+    out = scoring.label_with_scorer(sample_reviews(spark), counting, "ternary")
+    out.count()
+    out.collect()
+    assert seen.value == 10
+
+
+def test_spread_only_touches_small_inputs(spark):
+    from tonemill.sources.tables import spread
+
+    big = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread(big, ["id"]) is big
+    small = spark.range(0, 100, numPartitions=1)
+    assert spread(small, ["id"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
