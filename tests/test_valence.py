@@ -19,8 +19,29 @@ def test_strategies_agree_with_bruteforce(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     inline = {r.id: r.compound for r in valence_compound(df, LEX, strategy="inline").collect()}
     joined = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join").collect()}
+    arrow = {r.id: r.compound for r in valence_compound(df, LEX, strategy="arrow").collect()}
     for i, t in enumerate(texts):
-        assert inline[i] == joined[i] == brute(t), t
+        assert inline[i] == joined[i] == arrow[i] == brute(t), t
+
+
+def test_arrow_strategy_keeps_columns_and_large_lexicons(spark):
+    # A lexicon far above the inline bound: auto picks the arrow strategy,
+    # which keeps every input column and its order.
+    big = dict(LEX)
+    big.update({f"w{i}": (i % 9 - 4) * 0.25 for i in range(5000)})
+    texts = ["w1 w1 w8 good", "W4000, w4000! bad", "", None, "w12'x w12 great"]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "id long, text string, src string")
+    out = valence_compound(df, big)
+    assert out.columns == ["id", "text", "src", "compound"]
+    got = {r.id: (r.src, r.compound) for r in out.collect()}
+
+    def ref(text):
+        toks = re.findall(r"[^\W_]+(?:'[^\W_]+)*", str(text if text is not None else "nan").lower())
+        s = sum(big.get(t, 0.0) for t in toks)
+        return round(max(-1.0, min(1.0, s / math.sqrt(s * s + 15))), 4)
+
+    for i, t in enumerate(texts):
+        assert got[i] == (f"s{i}", ref(t)), t
 
 
 def test_label_valence(spark):

@@ -184,6 +184,18 @@ def q_valence_compound(spark, sf_dir):
         "doc_id", "compound")
 
 
+@query("valence_compound_inline", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
+def q_valence_compound_inline(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="inline")
+    return out.select("doc_id", "compound")
+
+
+@query("valence_compound_arrow", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
+def q_valence_compound_arrow(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="arrow")
+    return out.select("doc_id", "compound")
+
+
 @query("valence_compound_join", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
 def q_valence_compound_join(spark, sf_dir):
     out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, key="doc_id",
