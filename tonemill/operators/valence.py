@@ -33,6 +33,8 @@ arrow, which moves every column through the Python worker.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -72,6 +74,26 @@ def _inline_sum(tokens_col: str, entries: list[tuple[str, float]]):
     return F.aggregate(hits, F.lit(0).cast("long"), add)
 
 
+_ARROW_LEXICONS: dict = {}
+
+
+def _lexicon_arrays(token: str, bc):
+    """The broadcast lexicon as (Arrow keys, numpy scaled valences), built
+    once per Python worker (workers are reused across tasks) and kept for
+    the last few lexicons only; ``token`` names the broadcast."""
+    got = _ARROW_LEXICONS.get(token)
+    if got is None:
+        import numpy as np
+        import pyarrow as pa
+
+        keys, vals = bc.value
+        got = (pa.array(keys, pa.string()), np.asarray(vals, dtype=np.int64))
+        if len(_ARROW_LEXICONS) >= 4:
+            _ARROW_LEXICONS.clear()
+        _ARROW_LEXICONS[token] = got
+    return got
+
+
 def _arrow_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str) -> DataFrame:
     """Replace ``tokens_col`` by ``out`` = scaled valence sum of the row's
     tokens (long), computed per Arrow batch against the broadcast lexicon.
@@ -83,6 +105,7 @@ def _arrow_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str) -> Data
     if len(set(keys)) != len(keys):
         raise ValueError("lexicon repeats a token")
     bc = df.sparkSession.sparkContext.broadcast((keys, [int(r[1]) for r in entries]))
+    token = uuid.uuid4().hex
     fields = [f for f in df.schema.fields if f.name != tokens_col]
     schema = StructType(fields + [StructField(out, LongType(), False)])
     names = [f.name for f in fields]
@@ -92,9 +115,9 @@ def _arrow_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str) -> Data
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        k, v = bc.value
-        key_arr = pa.array(k, pa.string())
-        scaled = np.asarray(v, dtype=np.int64)
+        from tonemill.operators.valence import _lexicon_arrays
+
+        key_arr, scaled = _lexicon_arrays(token, bc)
         for b in batches:
             toks = b.column(tokens_col)
             n = b.num_rows
