@@ -116,3 +116,19 @@ def test_context_rules_join_strategy(spark):
     inline = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules).collect()}
     for i, t in enumerate(texts):
         assert got[i] == inline[i] == brute_rules(t, LEX, rules), t
+
+
+def test_context_rules_arrow_strategy(spark):
+    from tonemill.functions.valence import BOOSTER_INCREMENT, EXCLAMATION_STEP, ValenceRules
+
+    rules = ValenceRules(negators=("not", "never", "isn't"), boosters={"very": BOOSTER_INCREMENT,
+                         "barely": -BOOSTER_INCREMENT}, exclamation_step=EXCLAMATION_STEP)
+    # Rows end and start with rule words so a look-back must not cross rows.
+    texts = ["good very", "not very good", "very not good", "good x y z not bad", "isn't bad!!", "not",
+             "bad never, ever, so bad", "barely good!!!!!!", "", None, "very very very",
+             "not good not bad very great", "good a very b great", "very", "great"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(1, "id")
+    arrow = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules, strategy="arrow").collect()}
+    inline = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules, strategy="inline").collect()}
+    for i, t in enumerate(texts):
+        assert arrow[i] == inline[i] == brute_rules(t, LEX, rules), t

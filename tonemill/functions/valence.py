@@ -135,6 +135,18 @@ def rules_sum(tokens_col, hits_col, valences: Column, rules: ValenceRules, text=
     return total
 
 
+def with_emphasis(total, text, rules: ValenceRules) -> Column:
+    """``total`` pushed ``exclamation_step`` further from zero per ``!`` in
+    the text (at most ``exclamation_max``); unchanged without the rule."""
+    total = _col(total)
+    if not rules.exclamation_step:
+        return total
+    raw = F.coalesce(_col(text).cast("string"), F.lit(NULL_TEXT))
+    marks = F.least(F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit(""))), F.lit(rules.exclamation_max))
+    emph = marks.cast("double") * F.lit(rules.exclamation_step)
+    return F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
+
+
 def compound_from_double(s) -> Column:
     """Normalise an (unscaled) valence sum to [-1, 1], 4 decimals."""
     s = F.coalesce(_col(s), F.lit(0.0))

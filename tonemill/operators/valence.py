@@ -9,7 +9,7 @@ physical strategies give identical results:
   is scored by a projection: a hash-based ``array_intersect`` finds the
   distinct hits, and each hit's occurrences are counted in the token array.
   No shuffle, input columns kept, works on streams.
-* ``arrow`` (the default without context rules; lexicons up to
+* ``arrow`` (the default above ``SMALL_LEXICON``, with or without context rules; up to
   ``BROADCAST_MAX`` entries, count-checked): tokens are extracted in the
   JVM, then ``mapInArrow`` looks every token up in the broadcast lexicon
   with one hashed ``index_in`` per Arrow batch and sums the hits per row
@@ -24,8 +24,9 @@ physical strategies give identical results:
 
 Measured at sf0.01 (``documents``, 4.7 MB of text) with lexicons of the most
 frequent corpus tokens: 100 entries inline 5.8 s / join 1.9 s; 2,000
-entries 13.3 s / 1.4 s; 10,000 entries 96.7 s / 1.5 s. Context rules need
-token positions and use ``inline`` (small lexicons) or ``join``. With a
+entries 13.3 s / 1.4 s; 10,000 entries 96.7 s / 1.5 s. Context rules look
+back from each hit along the row's tokens: inline in a lambda, arrow on the
+flat token array of a batch, join with a window per row key. With a
 lexicon of at most ``SMALL_LEXICON`` entries ``auto`` stays ``inline``: at
 sf0.1 with 10 entries the three-model vote took 5.3 s inline and 6.3 s
 arrow, which moves every column through the Python worker.
@@ -37,7 +38,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tonemill.functions import valence as V
 from tonemill.functions.rules import to_percent
@@ -87,7 +88,7 @@ def _lexicon_arrays(token: str, bc):
         import pyarrow as pa
 
         keys, vals = bc.value
-        got = (pa.array(keys, pa.string()), np.asarray(vals, dtype=np.int64))
+        got = (pa.array(keys, pa.string()), np.asarray(vals))
         if len(_ARROW_LEXICONS) >= 4:
             _ARROW_LEXICONS.clear()
         _ARROW_LEXICONS[token] = got
@@ -137,6 +138,69 @@ def _arrow_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str) -> Data
     return df.mapInArrow(run, schema)
 
 
+def _arrow_rules_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str, rules: V.ValenceRules) -> DataFrame:
+    """Replace ``tokens_col`` by ``out`` = sum of rule-adjusted valences
+    (double) in token order, per Arrow batch against the broadcast lexicon.
+
+    Every hit looks back at the ``window`` preceding tokens of its own row
+    on the flat token array (nearest first: booster, then negator), with
+    the same float operations in the same order as the inline form, and
+    ``bincount`` adds each row's values in token order from 0.0."""
+    entries = lex.select("token", "valence").collect()
+    keys = [r[0] for r in entries]
+    if len(set(keys)) != len(keys):
+        raise ValueError("lexicon repeats a token")
+    if len(rules.damping) < rules.window:
+        raise ValueError("damping needs one factor per window step")
+    bc = df.sparkSession.sparkContext.broadcast((keys, [float(r[1]) for r in entries]))
+    token = uuid.uuid4().hex
+    boost_keys, boost_vals = list(rules.boosters), [float(v) for v in rules.boosters.values()]
+    negators, window, scalar = list(rules.negators), rules.window, float(rules.negation_scalar)
+    damping = [float(x) for x in rules.damping[:window]]
+    fields = [f for f in df.schema.fields if f.name != tokens_col]
+    schema = StructType(fields + [StructField(out, DoubleType(), False)])
+    names = [f.name for f in fields]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from tonemill.operators.valence import _lexicon_arrays
+
+        key_arr, vals = _lexicon_arrays(token, bc)
+        b_keys, b_vals = pa.array(boost_keys, pa.string()), np.asarray(boost_vals, dtype=np.float64)
+        n_keys = pa.array(negators, pa.string())
+        for b in batches:
+            toks = b.column(tokens_col)
+            n = b.num_rows
+            sums = np.zeros(n, dtype=np.float64)
+            if len(vals) and n:
+                flat = pc.list_flatten(toks)
+                parent = pc.list_parent_indices(toks).to_numpy(zero_copy_only=False)
+                idx = pc.fill_null(pc.index_in(flat, value_set=key_arr), -1).to_numpy(zero_copy_only=False)
+                at = np.nonzero(idx >= 0)[0]
+                v = vals[idx[at]].astype(np.float64)
+                if len(b_keys):
+                    bi = pc.fill_null(pc.index_in(flat, value_set=b_keys), -1).to_numpy(zero_copy_only=False)
+                    inc_at = np.where(bi >= 0, b_vals[np.maximum(bi, 0)], 0.0)
+                if len(n_keys):
+                    is_neg = pc.is_in(flat, value_set=n_keys).to_numpy(zero_copy_only=False)
+                for j in range(1, window + 1):
+                    p = np.maximum(at - j, 0)
+                    near = (at - j >= 0) & (parent[p] == parent[at])
+                    if len(b_keys):
+                        inc = np.where(near, inc_at[p], 0.0) * damping[j - 1]
+                        v = v + np.where(v < 0, -inc, inc)
+                    if len(n_keys):
+                        v = v * np.where(near & is_neg[p], scalar, 1.0)
+                sums = np.bincount(parent[at], weights=v, minlength=n)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(sums, pa.float64())],
+                                             names=names + [out])
+
+    return df.mapInArrow(run, schema)
+
+
 def valence_compound(
     df: DataFrame,
     lexicon,
@@ -150,8 +214,7 @@ def valence_compound(
     """Add ``out`` = compound score of ``text_col`` (4 decimals).
 
     ``key`` (a unique row key) is needed only by the ``join`` strategy.
-    ``rules`` (negation/booster windows, emphasis) need token positions and
-    run in the ``inline`` strategy.
+    ``rules`` (negation/booster windows, emphasis) run in every strategy.
     """
     spark = df.sparkSession
     lex = lexicon_frame(spark, lexicon)
@@ -161,19 +224,21 @@ def valence_compound(
         n_entries = lex.count()
         if strategy == "inline" and n_entries > inline_max:
             raise ValueError(f"lexicon has {n_entries} entries, above inline_max={inline_max}")
-        if strategy == "arrow" and (with_rules or n_entries > BROADCAST_MAX):
-            raise ValueError("the arrow strategy takes no context rules and at most "
-                             f"{BROADCAST_MAX} lexicon entries (has {n_entries})")
+        if strategy == "arrow" and n_entries > BROADCAST_MAX:
+            raise ValueError(f"the arrow strategy takes at most {BROADCAST_MAX} lexicon entries (has {n_entries})")
         if strategy == "auto":
-            if with_rules:
-                strategy = "inline" if n_entries <= inline_max else "join"
-            elif n_entries <= min(SMALL_LEXICON, inline_max):
+            if n_entries <= min(SMALL_LEXICON, inline_max):
                 strategy = "inline"
             else:
                 strategy = "arrow" if n_entries <= BROADCAST_MAX else "join"
     tok = "__tm_vtok"
     if strategy == "arrow":
-        staged = _arrow_sum(df.withColumn(tok, V.valence_tokens(text_col)), lex, tok, "__tm_vsum")
+        staged = df.withColumn(tok, V.valence_tokens(text_col))
+        if with_rules:
+            staged = _arrow_rules_sum(staged, lex, tok, "__tm_vsum", rules)
+            total = V.with_emphasis(F.col("__tm_vsum"), F.col(text_col), rules)
+            return staged.withColumn(out, V.compound_from_double(total)).drop("__tm_vsum")
+        staged = _arrow_sum(staged, lex, tok, "__tm_vsum")
         return staged.withColumn(out, V.compound_from_sum("__tm_vsum")).drop("__tm_vsum")
     if strategy == "inline":
         # Bounded by the count check above.

@@ -322,3 +322,10 @@ def q_valence_rules_join(spark, sf_dir):
     out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, key="doc_id",
                                    strategy="join", rules=demo_valence_rules())
     return out.select("doc_id", "compound")
+
+
+@query("valence_rules_arrow", valence_rules_sql("documents", "doc_id", DEMO_VALENCE, demo_valence_rules()))
+def q_valence_rules_arrow(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="arrow",
+                                   rules=demo_valence_rules())
+    return out.select("doc_id", "compound")
