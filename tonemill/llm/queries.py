@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, token_counts
+from tonemill.llm import bpe, simhash, token_counts
 from tonemill.llm.ragged import table
 
 LLM_QUERIES: dict = {}
@@ -35,3 +35,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document (majority rule at boundaries)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary=bpe.default_vocabulary())
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and its component over links of 3 bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_duplicates(docs, shingle=3, max_bits=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
