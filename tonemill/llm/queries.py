@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, simhash, token_counts
-from tonemill.llm.ragged import table
+from tonemill.llm import bpe, quality, simhash, token_counts
+from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -43,3 +43,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.near_duplicates(docs, shingle=3, max_bits=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def held_out(folds: int, held: int):
+    return (~train_rows(F.col("doc_id"), folds, held)).alias("held_out")
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from the rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality.with_statistics(docs).select("doc_id", "statistics"), "statistics")
+    labels = table(spark, sf_dir, "labels").where(train_rows(F.col("doc_id"), 5, 0))
+    model = quality.fit(quality.labelled(stats, labels, "quality"))
+    return quality.with_score(stats, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
