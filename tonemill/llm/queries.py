@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, quality, simhash, token_counts
+from tonemill.llm import bpe, quality, simhash, token_counts, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -57,3 +57,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(train_rows(F.col("doc_id"), 5, 0))
     model = quality.fit(quality.labelled(stats, labels, "quality"))
     return quality.with_score(stats, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document's restored text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(train_rows(F.col("doc_id"), 5, 0))
+    model = toxicity.character_model(docs)
+    scorer = toxicity.fit(docs, labels, model)
+    return toxicity.with_score(docs, model, scorer).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
