@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, quality, simhash, token_counts, toxicity
+from tonemill.llm import bpe, langid, quality, simhash, token_counts, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -67,3 +67,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.character_model(docs)
     scorer = toxicity.fit(docs, labels, model)
     return toxicity.with_score(docs, model, scorer).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_langid")
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(train_rows(F.col("doc_id"), 4, 2)))
+    return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
