@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, langid, quality, simhash, token_counts, toxicity
+from tonemill.llm import bpe, langid, quality, simhash, suffix_dedup, token_counts, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -75,3 +75,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(train_rows(F.col("doc_id"), 4, 2)))
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left after repeated 400-byte strings are cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.strip_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -10,6 +10,7 @@ about a million bytes, so working arrays stay small whatever the batch holds
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written:
+    they go once the driver's garbage, which still names them, is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def train_rows(key, folds: int, held: int):
     """Column: true for rows to learn from (crc32 of the key's text, modulo)."""
     return F.crc32(key.cast("string").cast("binary")) % folds != held
@@ -74,24 +82,6 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` in each range ``offsets[i]:offsets[i + 1]`` (empty: 0)."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
-def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """``batch`` with columns added; one of the same name is replaced in place."""
-    names, arrays = list(batch.schema.names), list(batch.columns)
-    for name, array in new.items():
-        if name in names:
-            arrays[names.index(name)] = array
-        else:
-            names.append(name)
-            arrays.append(array)
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: dict[str, object]) -> DataFrame:
     """Add columns computed per Arrow batch (``new``: name -> Spark type).
 
