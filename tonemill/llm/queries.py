@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, langid, quality, simhash, suffix_dedup, token_counts, toxicity
+from tonemill.llm import bpe, decontam, langid, quality, simhash, suffix_dedup, token_counts, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -82,3 +82,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document left after repeated 400-byte strings are cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.strip_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op10_decontam")
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in its own or in other values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.matches(docs, table(spark, sf_dir, "benchmark"))
