@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, decontam, langid, quality, simhash, suffix_dedup, token_counts, toxicity
+from tonemill.llm import bpe, decontam, langid, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -89,3 +89,21 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, in its own or in other values."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
