@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, decontam, langid, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from tonemill.llm import bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -107,3 +107,32 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products of every hundredth vector against all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def license_sql() -> str:
+    """Plain SQL for the license scan: every line against every template."""
+    words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({i}, '{label}', '{body}')" for i, (label, body) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+phrases AS (SELECT string_split(col0, ' ') AS p, col1 AS label FROM (VALUES {phrases})),
+templates AS (SELECT col0 AS template, col1 AS label, list_distinct(string_split(col2, ' ')) AS body FROM (VALUES {templates})),
+starts AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM docs, phrases),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM starts GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM docs WHERE regexp_matches(text, '(?i)licen|software|redistribution|permission|public|work|mit|cc|apache|under')),
+held AS (SELECT doc_id, list_distinct({words.format('line')}) AS w FROM lines),
+near AS (SELECT doc_id, label, len(list_intersect(w, body)) AS n, len(body) AS size FROM held, templates),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS best FROM near WHERE n >= ceil({licenses.THRESHOLD} * size) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+@query("op6_licenses", license_sql())
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template lines of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
