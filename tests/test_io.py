@@ -13,11 +13,9 @@ from tonemill.sources.reviews import EmptyInputError, read_reviews, sample_revie
 from tonemill.streaming.labels import label_files_once, running_label_counts
 
 # A small review file: CRLF line ends, one record with an unquoted comma.
-SAMPLE_CSV = (
-    "id,text\r\n1,I love this product!\r\n2,This is the worst experience ever.\r\n"
-    "3,Delivery was okay, not great.\r\n4,Customer support helped me quickly.\r\n"
-    "5,Website is too slow sometimes.\r\n6,This is one of the fucking project\r\n7,waste of money\r\n"
-    "8,excellant\r\n9,impovee the system\r\n10,waste of time\r\n11,please call me\r\n"
+REVIEW_CSV = (
+    "id,text\r\n1,A wonderful lamp\r\n2,The hinge is terrible\r\n3,Fine, but loud\r\n"
+    "4,It arrived on Monday\r\n5,awful smell\r\n6,excelent\r\n"
 )
 
 
@@ -29,13 +27,32 @@ def _write(tmp, name, data: bytes):
     return d
 
 
-def test_sample_csv(spark, tmp_out):
-    df = read_reviews(spark, _write(tmp_out, "sample.csv", SAMPLE_CSV.encode()))
+def test_review_csv(spark, tmp_out):
+    df = read_reviews(spark, _write(tmp_out, "sample.csv", REVIEW_CSV.encode()))
     got = {r.id: (r.label, r.confidence) for r in label_rules(df).collect()}
-    assert sorted(got, key=int) == ["1", "2", "4", "5", "6", "7", "8", "9", "10", "11"]
-    assert got["1"] == ("Positive", 76.25) and got["2"] == ("Negative", 76.25)
-    assert got["7"] == ("Negative", 76.25) and got["10"] == ("Negative", 76.25)
-    assert got["4"] == ("Neutral", 50.0)
+    assert got == {"1": ("Positive", 76.25), "2": ("Negative", 76.25), "4": ("Neutral", 50.0), "5": ("Negative", 76.25), "6": ("Neutral", 50.0)}
+
+
+def test_every_file_has_its_own_header_and_separator(spark, tmp_out):
+    d = os.path.join(tmp_out, "folder")
+    os.makedirs(d)
+    files = {"a.csv": "id,text\n1,one\n".encode(), "b.tsv": "id\ttext\n2\ttwo, too\n".encode(), "c.csv": "text,id\nthree,3\n".encode(),
+             "d.csv": "id,text,extra\n4,four,x\n".encode(), "e.csv": b"\n  \nid,text\n5,caf\xe9\n", "skip.dat": b"zzz\n"}
+    for name, data in files.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    out = read_reviews(spark, d)
+    got = sorted((r.id, r.text, r.extra) for r in out.select("id", "text", "extra").collect())
+    assert got == [("1", "one", None), ("2", "two, too", None), ("3", "three", None), ("4", "four", "x"), ("5", "café", None)]
+    assert sorted((r.extra or "") for r in out.select("extra").collect()) == ["", "", "", "", "x"]
+
+
+def test_quotes_open_fields_only_and_blank_lines_go(spark, tmp_out):
+    data = b'id,text\n2,say "hi, there" now\n3,say "hi" now\n   \n4,"a ""b, c"" d",x\n5,"a ""b, c"" d"\n6,"",\n7,\n\t\n'
+    rows = {r.id: r.text for r in read_reviews(spark, _write(tmp_out, "q.csv", data)).collect()}
+    assert rows == {"3": 'say "hi" now', "5": 'a "b, c" d', "7": None}
+    one = read_reviews(spark, _write(tmp_out, "one.csv", b"text\nx\n   \ny\n"))
+    assert sorted(r.text for r in one.collect()) == ["x", "y"]
 
 
 def test_ingest_matrix(spark, tmp_out):
@@ -58,7 +75,7 @@ def test_ingest_matrix(spark, tmp_out):
 
 def test_ensure_text_and_slots(spark):
     df = spark.createDataFrame([("good",)], "review string")
-    with pytest.raises(MissingTextColumn, match="review"):
+    with pytest.raises(MissingTextColumn, match="columns are: review"):
         ensure_text(df)
     out = with_label_slots(ensure_text(df, "review"))
     assert out.columns == ["text", "label", "confidence"] and tuple(out.first()) == ("good", "", 0.0)
@@ -126,19 +143,6 @@ def test_keep_table_and_sample_export(spark, tmp_out):
     assert sinks.export_path("/x", "OpenAI GPT-3.5") == "/x/labeled_openai_gpt-3.5.csv"
 
 
-def test_load_once_builds_once_per_process():
-    from tonemill.operators.scoring import load_once
-
-    built = []
-
-    def factory():
-        built.append(1)
-        return lambda batch: [len(x) for x in batch]
-
-    fn = load_once(factory, name="test-load-once")
-    assert fn(["ab", "c"]) == [2, 1] and fn(["abc"]) == [3] and len(built) == 1
-
-
 def test_row_index_with_one_hot_key(spark):
     # Every row shares one key value: positions stay dense and unique, and
     # the rows are spread over several ranges instead of one task.
@@ -158,3 +162,56 @@ def test_mixed_encodings_decoded_per_file(spark, tmp_out):
         f.write(b"id,text\n2,caf\xe9 bad\n")
     got = sorted(tuple(r) for r in read_reviews(spark, d).collect())
     assert got == [("1", "café good"), ("2", "café bad")]
+
+
+def _counting(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(texts):
+        calls.add(len(texts))
+        return [("POSITIVE", 0.93)] * len(texts)
+
+    return calls, scorer
+
+
+def test_positions_and_exports_label_once(spark, tmp_out):
+    from tonemill.operators.scoring import label_with_scorer
+    from tonemill.operators.views import page_at
+
+    base = spark.range(0, 40).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    for use in (
+        lambda df: with_row_index(df, "id").collect(),
+        lambda df: page_at(df, "id", 10, 5).collect(),
+        lambda df: sinks.export_high(df, os.path.join(tmp_out, "high")),
+        lambda df: sinks.export_filtered(df, os.path.join(tmp_out, "filtered"), ["Negative"], 50),
+    ):
+        calls, scorer = _counting(spark)
+        use(label_with_scorer(base, scorer, distinct=False))
+        assert calls.value == 40
+    page = page_at(base, "id", 10, 5)
+    assert sorted((r.row_idx, r.text) for r in page.collect()) == [(i, f"text {i}") for i in range(10, 15)]
+
+
+def test_checkpoint_folder_is_required_off_local_mode():
+    from tonemill import session
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session._local_checkpoint_root(master)
+
+
+def test_scratch_is_cleared(spark, tmp_out):
+    from tonemill import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept = list(session._SCRATCH)
+    session._SCRATCH[:] = [path]
+    assert os.path.exists(path.removeprefix("file:")) and session.clear_scratch(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))
+    session._SCRATCH[:] = kept[:-1]
+
+
+def test_label_rules_has_no_exchange_and_no_lambda_rounding(spark):
+    plan = label_rules(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "transform(" not in plan

@@ -20,10 +20,10 @@ def ensure_text(df: DataFrame, text_col: str | None = None) -> DataFrame:
     """
     if text_col is None or text_col == TEXT:
         if TEXT not in df.columns:
-            raise MissingTextColumn(f"Need 'text' column. Available: {', '.join(df.columns)}")
+            raise MissingTextColumn(f"the table has no column named text; its columns are: {', '.join(df.columns)}")
         return df
     if text_col not in df.columns:
-        raise MissingTextColumn(f"No column {text_col!r}. Available: {', '.join(df.columns)}")
+        raise MissingTextColumn(f"the table has no column named {text_col}; its columns are: {', '.join(df.columns)}")
     if TEXT in df.columns:
         raise ValueError("the table already has a 'text' column; drop or rename it first")
     return df.withColumnRenamed(text_col, TEXT)

@@ -1,10 +1,10 @@
 """Filters and positional access over a labeled table.
 
 Spark tables have no row order, so positions are defined by an explicit key
-order. :func:`with_row_index` attaches a dense 0-based index without moving
-all rows to one task: the table is range-partitioned and sorted on the key,
-written to the shared checkpoint folder, and each partition's offset is the
-sum of the counts of the partitions before it (one row per partition).
+order. :func:`positions` numbers the rows without moving them all to one task:
+the table is stored once, its keys are range-partitioned and sorted, and each
+partition's offset is the sum of the counts of the partitions before it (one
+row per partition). :func:`page_after` needs no index at all.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from tonemill.lexicon import LABELS
 from tonemill.session import checkpointed
 
 ROW_INDEX = "row_idx"
+_ROW = "__tm_row"
 
 
 def label_filter(labels: Iterable[str] = LABELS, min_confidence: float = 0.0,
@@ -50,25 +51,23 @@ def low_confidence(df: DataFrame, below: float = LOW_BELOW, confidence_col: str
     return df.filter(F.col(confidence_col) < F.lit(float(below)))
 
 
-def with_row_index(df: DataFrame, order_by: str | Sequence[str], index_col: str = ROW_INDEX,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Attach a dense 0-based position in ``order_by`` order.
+def positions(df: DataFrame, order_by: str | Sequence[str], index_col: str = ROW_INDEX,
+              num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored table and its index ``(row id, index_col)``: dense 0-based
+    positions in ``order_by`` order.
 
-    ``order_by`` should be unique (a key); ties get an arbitrary but fixed
-    order. The sorted table is checkpointed so that both passes over it (the
-    per-partition counts and the numbering) see the same rows in the same
-    places, also after an executor loss.
+    The table is checkpointed first, so a labeler above it runs once per row;
+    only keys and row ids are range-partitioned and sorted, into as many
+    partitions as the table has (or ``num_partitions``). ``order_by`` should be
+    unique; a per-row id breaks ties, so rows that share a (hot) key value
+    spread over several ranges.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A per-row id breaks ties, so rows sharing a (hot) key value are spread
-    # over several ranges instead of landing in one task. It is stable on
-    # recompute for file scans, and the checkpoint fixes it afterwards.
-    tie = "__tm_tie"
-    order = [F.col(k) for k in keys] + [F.col(tie)]
-    tagged_in = df.withColumn(tie, F.monotonically_increasing_id())
-    ordered = checkpointed(tagged_in.repartitionByRange(n, *order).sortWithinPartitions(*order)).drop(tie)
+    stored = checkpointed(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    n = num_partitions or max(1, stored.rdd.getNumPartitions())
+    order = [F.col(k) for k in keys] + [F.col(_ROW)]
+    slim = stored.select(*keys, _ROW).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = checkpointed(slim.select(_ROW))
     pid, local = "__tm_pid", "__tm_local"
     tagged = ordered.withColumn(pid, F.spark_partition_id()).withColumn(
         local, F.monotonically_increasing_id() - F.shiftleft(F.col(pid).cast("long"), 33)
@@ -77,8 +76,22 @@ def with_row_index(df: DataFrame, order_by: str | Sequence[str], index_col: str
     counts = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias("__tm_n"))
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(pid, F.coalesce(F.sum("__tm_n").over(before), F.lit(0)).alias("__tm_off"))
-    out = tagged.join(F.broadcast(offsets), pid, "inner")
-    return out.withColumn(index_col, (F.col("__tm_off") + F.col(local)).cast("long")).drop(pid, local, "__tm_off")
+    numbered = tagged.join(F.broadcast(offsets), pid, "inner")
+    return stored, numbered.select(_ROW, (F.col("__tm_off") + F.col(local)).cast("long").alias(index_col))
+
+
+def with_row_index(df: DataFrame, order_by: str | Sequence[str], index_col: str = ROW_INDEX,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Attach a dense 0-based position in ``order_by`` order to every row."""
+    stored, index = positions(df, order_by, index_col, num_partitions)
+    return stored.join(index, _ROW).drop(_ROW)
+
+
+def page_at(df: DataFrame, order_by: str | Sequence[str], offset: int, size: int, index_col: str = ROW_INDEX) -> DataFrame:
+    """Rows at positions ``offset .. offset+size-1`` with their position: the
+    page's row ids (``size`` at most) go to the stored table, which never moves."""
+    stored, index = positions(df, order_by, index_col)
+    return stored.join(F.broadcast(preview_page(index, offset, size, index_col)), _ROW).drop(_ROW)
 
 
 def clamp_index(i: int, n: int) -> int:

@@ -39,7 +39,7 @@ def q_read_reviews(spark, sf_dir):
 
 
 # --- S3: records with too many fields are skipped, short ones padded ----------
-BAD_EVERY, LONG_AT, SHORT_AT, BLANK_AT = 13, 4, 7, 9
+BAD_EVERY, LONG_AT, SHORT_AT, BLANK_AT, INNER_AT, SPACES_AT = 13, 4, 7, 9, 5, 2
 HEADER = "doc_id,text"
 
 
@@ -60,6 +60,8 @@ def _malformed_lines(docs):
         F.when(k == LONG_AT, F.concat(good, F.lit(",extra")))
         .when(k == SHORT_AT, F.col("doc_id").cast("string"))
         .when(k == BLANK_AT, F.concat(F.lit("\n"), good))
+        .when(k == SPACES_AT, F.concat(F.lit("   \n"), good))
+        .when(k == INNER_AT, F.concat(F.col("doc_id").cast("string"), F.lit(',say "hi, there" now')))
         .otherwise(good)
     )
     # Every part file starts with the header line.
@@ -67,7 +69,7 @@ def _malformed_lines(docs):
 
 
 _SKIP_SRC = (f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % {BAD_EVERY} = {SHORT_AT} THEN NULL "
-             f"ELSE {_TEXT_NA} END AS text FROM documents WHERE doc_id % {BAD_EVERY} <> {LONG_AT}")
+             f"ELSE {_TEXT_NA} END AS text FROM documents WHERE doc_id % {BAD_EVERY} NOT IN ({LONG_AT}, {INNER_AT})")
 
 
 @query("skip_bad_lines", _labeled_sql(_SKIP_SRC, "doc_id, text"))
@@ -78,14 +80,26 @@ def q_skip_bad_lines(spark, sf_dir):
 
 
 # --- S4: a Latin-1 file is detected and decoded --------------------------------
-@query("encoding_fallback", _labeled_sql("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents", "doc_id"))
+@query("encoding_fallback", _labeled_sql(_DOCS_AS_READ, "doc_id, text"))
 def q_encoding_fallback(spark, sf_dir):
     path = scratch_path(spark, "latin1-csv")
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.option("header", True).option("quote", '"').option("escape", '"').option(
         "encoding", "ISO-8859-1").csv(path)
-    labeled = labeling.label_rules(read_reviews(spark, path))
-    return labeled.select("doc_id", "label", "confidence")
+    return labeling.label_rules(read_reviews(spark, path))
+
+
+# --- S1, S4-S6: every file has its own header, separator and encoding ------------
+@query("read_mixed_folder", f"SELECT doc_id, text, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 2 THEN lang END AS lang "
+                            f"FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_TEXT_NA} AS text, lang FROM documents)")
+def q_read_mixed_folder(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    part = F.col("doc_id") % 3
+    base = scratch_path(spark, "mixed-reviews")
+    sinks.export_csv(docs.where(part == 0).select("doc_id", "text"), f"{base}/comma")
+    sinks.export_csv(docs.where(part == 1).select("text", "doc_id"), f"{base}/tab", sep="\t", extension="tsv")
+    sinks.export_csv(docs.where(part == 2).select("lang", "doc_id", "text"), f"{base}/latin", encoding="ISO-8859-1")
+    return read_reviews(spark, [f"{base}/{name}" for name in ("comma", "tab", "latin")]).select("doc_id", "text", "lang")
 
 
 # --- K1-K4, K6: exports of the labeled review view, read back ------------------

@@ -8,7 +8,7 @@ from tonemill.operators import labeling, report, schema, views
 from tonemill.plans.fixtures import review_view, review_view_sql
 from tonemill.plans.registry import query
 from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_ctes
-from tonemill.sinks.csv import keep_table
+from tonemill.session import keep_table
 from tonemill.sources.tables import load_table
 
 REVIEW_SRC = f"src AS ({review_view_sql()}),"
@@ -124,28 +124,27 @@ def q_head(spark, sf_dir):
     return views.head(labeled_reviews(spark, sf_dir), "doc_id", 5)
 
 
-_INDEXED = f"{REVIEW_LABELED}, ix AS (SELECT doc_id, label, confidence, " \
+_INDEXED = f"{REVIEW_LABELED}, ix AS (SELECT doc_id, text, label, confidence, " \
            f"CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_idx FROM lab)"
 
 
-@query("row_at", f"{_INDEXED} SELECT doc_id, label, confidence, row_idx, row_idx + 1 AS position "
+@query("row_at", f"{_INDEXED} SELECT doc_id, text, label, confidence, row_idx, row_idx + 1 AS position "
                  f"FROM ix WHERE row_idx = {ROW_AT}")
 def q_row_at(spark, sf_dir):
-    ix = views.with_row_index(labeled_reviews(spark, sf_dir).select("doc_id", "label", "confidence"), "doc_id")
-    return views.row_at(ix, ROW_AT)
+    labeled = labeled_reviews(spark, sf_dir).select("doc_id", "text", "label", "confidence")
+    return views.row_at(views.page_at(labeled, "doc_id", ROW_AT, 1), ROW_AT)
 
 
-@query("preview_page", f"{_INDEXED} SELECT doc_id, label, confidence, row_idx FROM ix "
+@query("preview_page", f"{_INDEXED} SELECT doc_id, text, label, confidence, row_idx FROM ix "
                        f"WHERE row_idx >= {PAGE_OFFSET} AND row_idx < {PAGE_OFFSET + PAGE_SIZE}")
 def q_preview_page(spark, sf_dir):
-    ix = views.with_row_index(labeled_reviews(spark, sf_dir).select("doc_id", "label", "confidence"), "doc_id")
-    return views.preview_page(ix, PAGE_OFFSET, PAGE_SIZE)
+    labeled = labeled_reviews(spark, sf_dir).select("doc_id", "text", "label", "confidence")
+    return views.page_at(labeled, "doc_id", PAGE_OFFSET, PAGE_SIZE)
 
 
-@query("row_index", f"{_INDEXED} SELECT doc_id, row_idx FROM ix")
+@query("row_index", f"{_INDEXED} SELECT doc_id, text, label, row_idx FROM ix")
 def q_row_index(spark, sf_dir):
-    ix = views.with_row_index(labeled_reviews(spark, sf_dir).select("doc_id"), "doc_id")
-    return ix
+    return views.with_row_index(labeled_reviews(spark, sf_dir), "doc_id").select("doc_id", "text", "label", "row_idx")
 
 
 # --- P1-P3: schema -----------------------------------------------------------

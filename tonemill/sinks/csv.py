@@ -19,7 +19,7 @@ from tonemill.functions.report import HIGH, VERY_HIGH, confidence_tier
 from tonemill.lexicon import LABELS
 from tonemill.operators.registry import export_name
 from tonemill.operators.views import label_filter
-from tonemill.session import scratch_path
+from tonemill.session import keep_table  # noqa: F401  (a sink like the others)
 
 # The export file names.
 HIGH_NAME = "high_confidence_85plus.csv"
@@ -43,9 +43,10 @@ def export_path(base: str, model: str | None = None, name: str | None = None) ->
     return os.path.join(base, name if name is not None else export_name(model))
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write all rows and columns of ``df`` as CSV under ``path``."""
-    df.write.mode(mode).options(**_WRITE_OPTIONS).csv(path)
+def export_csv(df: DataFrame, path: str, mode: str = "overwrite", **options) -> str:
+    """Write all rows and columns of ``df`` as CSV under ``path``; ``options``
+    are further writer options (``sep``, ``encoding``, ``extension``)."""
+    df.write.mode(mode).options(**_WRITE_OPTIONS, **options).csv(path)
     return path
 
 
@@ -60,8 +61,9 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def export_high(df: DataFrame, path: str, min_confidence: float = HIGH, confidence_col: str = "confidence",
                 mode: str = "overwrite") -> bool:
     """Write rows with confidence >= ``min_confidence``, only if there are
-    any; returns whether a file was written."""
-    sel = df.filter(F.col(confidence_col) >= F.lit(float(min_confidence)))
+    any; returns whether a file was written. The selection is stored once, so
+    a labeler above it runs once per row."""
+    sel = keep_table(df.filter(F.col(confidence_col) >= F.lit(float(min_confidence))), name="selection")
     if not sel.take(1):
         return False
     export_csv(sel, path, mode)
@@ -75,7 +77,9 @@ def export_very_high(df: DataFrame, path: str, confidence_col: str = "confidence
 def export_filtered(df: DataFrame, path: str, labels: Iterable[str] = LABELS, min_confidence: float = 0.0,
                     label_col: str = "label", confidence_col: str = "confidence", mode: str = "overwrite") -> bool:
     """Write the filtered view only if it is smaller than the whole table
-    (both counts come from one aggregate); returns whether it was written."""
+    (both counts come from one aggregate); returns whether it was written. The
+    table is stored once, so a labeler above it runs once per row."""
+    df = keep_table(df)
     pred = label_filter(labels, min_confidence, label_col, confidence_col)
     row = df.agg(F.count_if(F.coalesce(pred, F.lit(False))).alias("shown"), F.count(F.lit(1)).alias("total")).first()
     if row["shown"] >= row["total"]:
@@ -97,16 +101,3 @@ def read_tiers(spark: SparkSession, path: str, tiers: Iterable[str]) -> DataFram
     """Read some tiers of :func:`export_tiers` (partition pruning skips the
     other folders)."""
     return read_export(spark, path).filter(F.col(TIER_COLUMN).isin(list(tiers)))
-
-
-def keep_table(df: DataFrame, path: str | None = None, name: str = "labeled") -> DataFrame:
-    """Write a (labeled) table once as parquet — to ``path`` or below the
-    shared checkpoint folder — and return it read back.
-
-    This is where a labeled table lives between the report, preview, filter
-    and export steps: every later action reads the stored rows instead of
-    labeling again (a model would be called again), and the rows survive
-    the loss of the executors that computed them."""
-    target = path or scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.parquet(target)

@@ -1,33 +1,42 @@
 """Tolerant reading of delimited review files.
 
-The semantics follow a forgiving spreadsheet-style reader:
+The semantics follow a forgiving spreadsheet-style reader, file by file:
 
-* the separator is a comma, or a tab when the header line has a tab and no
-  comma;
+* the separator is a comma, or a tab when the file's header line has a tab and
+  no comma;
 * fields may be quoted with ``"``, a doubled ``""`` is a literal quote and a
-  quoted field may span lines;
+  quoted field may span lines; a quote inside an unquoted field is a character
+  like any other;
 * a record with **more** fields than the header is dropped, one with
-  **fewer** is kept and padded with nulls, blank lines are skipped;
+  **fewer** is kept and padded with nulls, blank lines are skipped (in a
+  one-column file also a quoted field of blanks only);
 * the file is read as UTF-8, or as Latin-1 when it is not valid UTF-8;
 * every column is a string (no type inference) and the usual null tokens
   (empty field, ``NA``, ``null``, ...) become nulls;
 * header names are stripped; duplicates get ``.1``, ``.2`` suffixes before
-  stripping, and a clash after stripping is an error;
+  stripping, and a clash after stripping is an error; a header line is one line;
+* files with different headers are united by column name;
 * an input without any data row is an error.
 
-Spark parses lazily, so the "try a parse, fall back" choices are made by two
-small data checks instead (encoding, then the header line), and the row
-filter is an ordinary predicate on the parser's corrupt-record column.
+Spark parses lazily, so the "try a parse, fall back" choices are made before:
+one distributed pass finds each file's header line and whether it is UTF-8. That
+table has a row per file and stays distributed; only the *different* headers
+come to the driver. The files of each kind are parsed with their own settings
+and picked by their path; with one kind, as usual, nothing is picked or united.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import csv
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonemill.session import keep_table
+
 EXTENSIONS = ("csv", "tsv", "txt")
 
 # The strings a pandas-style CSV reader turns into nulls by
@@ -51,7 +60,9 @@ SAMPLE_REVIEWS = (
     "Outstanding! This is exactly what I was looking for!",
 )
 
-_CORRUPT = "__tm_raw"
+_CORRUPT, _FILE = "__tm_raw", "__tm_file"
+MAX_KINDS = 1_000  # different (header, encoding) pairs in one input
+BROADCAST_FILES = 100_000  # file names sent to every task; more are joined by a shuffle
 
 
 class EmptyInputError(ValueError):
@@ -67,26 +78,22 @@ def _glob(extensions) -> str:
     return "*.{" + ",".join(extensions) + "}"
 
 
-def detect_encoding(spark: SparkSession, path: str, extensions=EXTENSIONS) -> str:
-    """``UTF-8`` when every line is valid UTF-8, else ``ISO-8859-1``.
-
-    One distributed pass that stops at the first invalid line found."""
-    lines = spark.read.option("pathGlobFilter", _glob(extensions)).text(path)
-    return "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
-
-
-def file_encodings(spark: SparkSession, path: str, extensions=EXTENSIONS) -> dict[str, list[str]]:
-    """Files grouped by encoding: ``UTF-8`` where every line is valid UTF-8,
-    ``ISO-8859-1`` otherwise. One distributed pass; the result has one row
-    per input file (metadata, bounded by the file count)."""
-    lines = spark.read.option("pathGlobFilter", _glob(extensions)).text(path)
-    flags = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    out: dict[str, list[str]] = {"UTF-8": [], "ISO-8859-1": []}
-    for row in flags.collect():
-        # The metadata path is URL-encoded; readers take the plain path.
-        out["UTF-8" if row["utf8"] else "ISO-8859-1"].append(unquote(row["file"]))
-    return out
+def file_kinds(spark: SparkSession, path, extensions=EXTENSIONS, encoding: str | None = None) -> DataFrame:
+    """``(file, encoding, header, late)`` of every input file: UTF-8 where every
+    line is valid UTF-8, else ISO-8859-1 (or ``encoding``, if given), the first
+    line that is not blank, and whether a line of blanks stands before it. One
+    distributed pass and a join on line numbers."""
+    lines = spark.read.option("pathGlobFilter", _glob(extensions)).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    named = (F.col("block") == 0) & (F.trim("value") != "")
+    found = F.lit(encoding) if encoding else F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1")
+    files = lines.groupBy("file").agg(found.alias("encoding"), F.min(F.when(named, F.col("line"))).alias("line"),
+                                      F.min(F.when((F.col("block") == 0) & (F.length("value") > 0), F.col("line"))).alias("top"))
+    raw = F.col("value").cast("binary")
+    header = F.when(F.col("encoding") == "UTF-8", F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
+    return lines.select("file", "line", "value").join(files, ["file", "line"]).select(
+        "file", "encoding", F.ltrim(header, F.lit("\ufeff")).alias("header"), (F.col("top") < F.col("line")).alias("late"))
 
 
 def mangle_header(names) -> list[str]:
@@ -110,25 +117,6 @@ def mangle_header(names) -> list[str]:
     return stripped
 
 
-def _first_line(spark: SparkSession, path, extensions) -> str | None:
-    # The first non-blank line of the first file split, i.e. a header line;
-    # only used to choose the separator.
-    reader = spark.read.option("pathGlobFilter", _glob(extensions))
-    row = reader.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return None if row is None else row[0]
-
-
-def _header_fields(spark: SparkSession, path, sep: str, encoding: str, multi_line: bool, extensions):
-    row = (
-        spark.read.option("pathGlobFilter", _glob(extensions))
-        .option("header", False).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("encoding", encoding)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path).first()
-    )
-    return None if row is None else list(row)
-
-
 def read_reviews(
     spark: SparkSession,
     path: str | list[str],
@@ -142,37 +130,40 @@ def read_reviews(
 ) -> DataFrame:
     """Read delimited review files tolerantly (see the module docstring).
 
-    ``encoding=None`` runs the UTF-8 check per file (a folder may mix UTF-8
-    and Latin-1 files); ``sep=None`` takes the separator
-    from the header line. ``multi_line`` allows quoted newlines but keeps
-    each file in one task; pass ``False`` for huge single files without
-    embedded newlines so Spark can split them.
+    ``encoding=None`` and ``sep=None`` decide per file. ``multi_line`` allows
+    quoted newlines but keeps each file in one task; pass ``False`` for huge
+    single files without embedded newlines so Spark can split them.
     """
-    if encoding is None:
-        groups = {e: fs for e, fs in file_encodings(spark, path, extensions).items() if fs}
-        if not groups:
-            raise EmptyInputError(f"no input lines in {path}")
-        if len(groups) > 1:
-            # Files are decoded one by one, as each file would be on its own.
-            parts = [read_reviews(spark, fs, sep=sep, encoding=e, multi_line=multi_line, na_values=na_values,
-                                  extensions=extensions, check_nonempty=False) for e, fs in groups.items()]
-            if len({tuple(p.columns) for p in parts}) != 1:
-                raise ValueError("input files have different headers")
-            out = parts[0].unionByName(parts[1])
-            if check_nonempty and not out.select(F.col(f"`{out.columns[0]}`")).take(1):
-                raise EmptyInputError(f"no data rows in {path}")
-            return out
-        encoding = next(iter(groups))
-    enc = encoding
-    if sep is None:
-        first = _first_line(spark, path, extensions)
-        if first is None:
-            raise EmptyInputError(f"no header line in {path}")
-        sep = "\t" if ("\t" in first and "," not in first) else ","
-    header = _header_fields(spark, path, sep, enc, multi_line, extensions)
-    if header is None:
+    files = keep_table(file_kinds(spark, path, extensions, encoding), name="review-files")
+    kinds = files.select("encoding", "header", "late").distinct().limit(MAX_KINDS + 1).collect()
+    if not kinds:
         raise EmptyInputError(f"no header line in {path}")
-    names = mangle_header(header)
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"the files have more than {MAX_KINDS} different headers")
+    n_files, parts = files.count(), []
+    for kind in sorted(kinds):
+        kind_sep = sep or ("\t" if "\t" in kind.header and "," not in kind.header else ",")
+        fields = next(csv.reader([kind.header], delimiter=kind_sep, strict=True))
+        names = mangle_header(fields)
+        part = _parsed(spark, path, names, kind_sep, kind.encoding, multi_line, extensions)
+        if kind.late:  # the parser took the line of blanks for the header, and the header for a record
+            same = [F.coalesce(F.col(f"`{n}`"), F.lit("")) == F.lit(f) for n, f in zip(names, fields)]
+            part = part.filter(~reduce(and_, same))
+        if len(kinds) > 1:
+            own = files.where((F.col("encoding") == kind.encoding) & (F.col("header") == kind.header) & (F.col("late") == kind.late)).select(F.col("file").alias(_FILE))
+            part = part.join(F.broadcast(own) if n_files <= BROADCAST_FILES else own, _FILE, "left_semi")
+        parts.append(_with_nulls(part, names, na_values))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if check_nonempty and not out.take(1):
+        raise EmptyInputError(f"no data rows in {path}")
+    return out
+
+
+def _parsed(spark: SparkSession, path, names: list[str], sep: str, encoding: str, multi_line: bool, extensions) -> DataFrame:
+    """All files parsed with one header and separator, records with too many
+    fields and blank lines dropped; the file's path comes along."""
     schema = T.StructType(
         [T.StructField(n, T.StringType(), True) for n in names] + [T.StructField(_CORRUPT, T.StringType(), True)]
     )
@@ -185,31 +176,32 @@ def read_reviews(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("encoding", enc)
+        .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    raw = raw.select("*", F.col("_metadata.file_path").alias(_FILE))
     # The parser flags records with too many *and* too few fields; keep the
-    # short ones. Field count = delimiters outside quoted sections + 1. A
-    # doubled quote splits a quoted section in two, so removing every
-    # '"..."' run removes exactly the quoted text (and the pattern has no
-    # repeated group, which a regex engine would recurse on).
-    esc = "\\t" if sep == "\t" else sep.replace("\\", "\\\\")
-    unquoted = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
+    # short ones. Field count = delimiters outside quoted fields + 1. Without
+    # its doubled quotes a quoted field is '"..."' after a delimiter or at the
+    # start; a quote elsewhere is an ordinary character.
+    esc = "\\t" if sep == "\t" else "\\" + sep
+    single = F.replace(F.col(_CORRUPT), F.lit('""'), F.lit(""))
+    unquoted = F.regexp_replace(single, f'(^|{esc})"[^"]*"', "$1")
     delimiters = F.length(F.regexp_replace(unquoted, f"[^{esc}]", ""))
-    keep = F.col(_CORRUPT).isNull() | (delimiters < F.lit(len(names)))
-    out = raw.filter(keep).drop(_CORRUPT)
-    if na_values:
-        nas = list(na_values)
-        out = out.select(
-            *[F.when(F.col(f"`{n}`").isin(nas), F.lit(None).cast("string")).otherwise(F.col(f"`{n}`")).alias(n)
-              for n in names]
-        )
-    # take(1) on a data column: the parser refuses plans that read only
-    # its corrupt-record column, which a bare isEmpty() would be.
-    if check_nonempty and not out.select(F.col(f"`{names[0]}`")).take(1):
-        raise EmptyInputError(f"no data rows in {path}")
-    return out
+    keep = F.col(_CORRUPT).isNull() | ((delimiters < F.lit(len(names))) & ~F.col(_CORRUPT).rlike(r"^[ \t\r\n]*$"))
+    if len(names) == 1:
+        keep = keep & ~F.coalesce(F.col(f"`{names[0]}`").rlike(r"^[ \t\r\n]+$"), F.lit(False))
+    # Always true, but it names a data column: the parser refuses plans that
+    # read nothing but the raw record.
+    keep = keep & (F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0)
+    return raw.filter(keep).drop(_CORRUPT)
+
+
+def _with_nulls(df: DataFrame, names: list[str], na_values) -> DataFrame:
+    columns = [F.col(f"`{n}`") for n in names]
+    nas = list(na_values)
+    return df.select(*[(F.when(c.isin(nas), F.lit(None).cast("string")).otherwise(c) if nas else c).alias(n) for n, c in zip(names, columns)])

@@ -11,33 +11,10 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Row keys of the text tables; spreading hashes on them (deterministic on
-# recompute, unlike a round-robin split).
-KEYS = {
-    "documents": ("doc_id",),
-    "pages": ("page_id",),
-    "conversations": ("conv_id", "turn"),
-    "benchmark": ("item_id",),
-    "labels": ("doc_id",),
-}
 
-
-def spread(df: DataFrame, keys=None) -> DataFrame:
-    """Spread an input that scans in fewer splits than the cluster has task
-    slots (a small file in one row group scans as one task).
-
-    Large inputs already scan in many splits and are returned unchanged, so
-    no shuffle is added where the data is big."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
-
-
-def load_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
-    """``{sf_dir}/{name}.parquet`` (a file or a folder of parquet files)."""
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``{sf_dir}/{name}.parquet`` (a file or a folder of parquet files), as it
+    lies: its splits are the scan's, nothing is shuffled."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, KEYS.get(name)) if spread_small else df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
