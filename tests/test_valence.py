@@ -3,6 +3,8 @@
 import math
 import re
 
+import pytest
+
 from tonemill.operators.valence import label_valence, valence_compound
 
 LEX = {"good": 1.9, "bad": -2.5, "don't": -0.4, "great": 3.1}
@@ -17,15 +19,14 @@ def brute(text):
 def test_strategies_agree_with_bruteforce(spark):
     texts = ["good good bad", "Great! don't", "nothing here", None, "bad, bad. BAD", "goodness"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    inline = {r.id: r.compound for r in valence_compound(df, LEX, strategy="inline").collect()}
-    joined = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join").collect()}
+    joined = {r.id: r.compound for r in valence_compound(df, LEX, strategy="join").collect()}
     arrow = {r.id: r.compound for r in valence_compound(df, LEX, strategy="arrow").collect()}
     for i, t in enumerate(texts):
-        assert inline[i] == joined[i] == arrow[i] == brute(t), t
+        assert joined[i] == arrow[i] == brute(t), t
 
 
 def test_arrow_strategy_keeps_columns_and_large_lexicons(spark):
-    # A lexicon far above the inline bound: auto picks the arrow strategy,
+    # A large lexicon: the arrow strategy,
     # which keeps every input column and its order.
     big = dict(LEX)
     big.update({f"w{i}": (i % 9 - 4) * 0.25 for i in range(5000)})
@@ -100,7 +101,7 @@ def test_join_strategy_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ov, "BROADCAST_MAX", 1)
     texts = ["good good bad", "great great great don't", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    got = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join").collect()}
+    got = {r.id: r.compound for r in valence_compound(df, LEX, strategy="join").collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
@@ -112,10 +113,9 @@ def test_context_rules_join_strategy(spark):
     texts = ["not very good", "very not good", "good x y z not bad", "isn't bad!!", "never, ever, so bad",
              "barely good!!!!!!", "", None, "very very very", "not good not bad very great", "good a very b great"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    got = {r.id: r.compound for r in valence_compound(df, LEX, key="id", strategy="join", rules=rules).collect()}
-    inline = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules).collect()}
+    got = {r.id: r.compound for r in valence_compound(df, LEX, strategy="join", rules=rules).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == inline[i] == brute_rules(t, LEX, rules), t
+        assert got[i] == brute_rules(t, LEX, rules), t
 
 
 def test_context_rules_arrow_strategy(spark):
@@ -129,6 +129,34 @@ def test_context_rules_arrow_strategy(spark):
              "not good not bad very great", "good a very b great", "very", "great"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(1, "id")
     arrow = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules, strategy="arrow").collect()}
-    inline = {r.id: r.compound for r in valence_compound(df, LEX, rules=rules, strategy="inline").collect()}
     for i, t in enumerate(texts):
-        assert arrow[i] == inline[i] == brute_rules(t, LEX, rules), t
+        assert arrow[i] == brute_rules(t, LEX, rules), t
+
+
+def test_strategies_mean_the_same(spark):
+    df = spark.createDataFrame([(1, "tiny " * 2000), (1, "one one"), (None, "one"), (4, None)], "id long, text string")
+    lex = {"tiny": 0.00005, "one": 1.00001}
+    tables = (lex, spark.createDataFrame([*lex.items(), (None, 3.0), ("x", None)], "w string, v double"))
+    want = sorted(round(s / math.sqrt(s * s + 15), 4) for s in (0.1, 2.00002, 1.00001, 0.0))
+    for lexicon in tables:
+        for strategy in ("arrow", "join"):
+            out = valence_compound(df, lexicon, strategy=strategy)
+            assert out.columns == ["id", "text", "compound"] and sorted(r.compound for r in out.collect()) == want
+    twice = spark.createDataFrame([("one", 1.0), ("One", 1.0)], "w string, v double")
+    for strategy in ("arrow", "join"):
+        with pytest.raises(ValueError, match="repeats the token"):
+            valence_compound(df, twice, strategy=strategy)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        valence_compound(df, lex, strategy="inline")
+
+
+def test_lexicon_over_the_broadcast_bound(spark, monkeypatch):
+    from tonemill.operators import ensemble
+    from tonemill.operators import valence as mod
+
+    monkeypatch.setattr(mod, "BROADCAST_MAX", 1)
+    df = spark.createDataFrame([(1, "good bad great")], "id long, text string")
+    with pytest.raises(ValueError, match="strategy='join'"):
+        valence_compound(df, LEX)
+    assert valence_compound(df, LEX, strategy="join").first().compound == brute("good bad great")
+    assert ensemble.label_ensemble(df, valence_lexicon=LEX, valence_strategy="join").count() == 1

@@ -45,21 +45,27 @@ def model_input(text, n: int = CLASSIFIER_CHARS) -> Column:
     return F.substring(F.coalesce(_col(text).cast("string"), F.lit(NULL_TEXT)), 1, n)
 
 
+def _usable(label, score: Column) -> Column:
+    # least() skips nulls: without this a missing score would become the cap.
+    return _col(label).isNotNull() & score.isNotNull() & ~F.isnan(score)
+
+
 def normalise_binary(label, score) -> Column:
     """Two-class classifier output → result. Upper-cased label containing
     ``POS``/``NEG`` gives Positive/Negative with ``min(score+0.05, 0.98)``,
-    anything else Neutral with the raw score; null label → null."""
+    anything else Neutral with the raw score; null label, null or NaN score
+    → null."""
     up, s = F.upper(_col(label)), _col(score).cast("double")
     boosted = F.least(s + F.lit(BINARY_BONUS), F.lit(BINARY_CAP))
     lab = F.when(up.contains("POS"), F.lit(POSITIVE)).when(up.contains("NEG"), F.lit(NEGATIVE)).otherwise(F.lit(NEUTRAL))
     conf = F.when(up.contains("POS") | up.contains("NEG"), boosted).otherwise(s)
-    return F.when(_col(label).isNotNull(), _result(lab, conf))
+    return F.when(_usable(label, s), _result(lab, conf))
 
 
 def normalise_ternary(label, score) -> Column:
     """Three-class classifier output → result. Lower-cased label containing
     ``positive``/``negative`` gives ``min(score+0.02, 0.98)``, else Neutral
-    with ``min(score, 0.90)``; null label → null."""
+    with ``min(score, 0.90)``; null label, null or NaN score → null."""
     low, s = F.lower(_col(label)), _col(score).cast("double")
     boosted = F.least(s + F.lit(TERNARY_BONUS), F.lit(TERNARY_CAP))
     lab = (
@@ -70,7 +76,7 @@ def normalise_ternary(label, score) -> Column:
     conf = F.when(low.contains("positive") | low.contains("negative"), boosted).otherwise(
         F.least(s, F.lit(TERNARY_NEUTRAL_CAP))
     )
-    return F.when(_col(label).isNotNull(), _result(lab, conf))
+    return F.when(_usable(label, s), _result(lab, conf))
 
 
 NORMALISERS = {"binary": normalise_binary, "ternary": normalise_ternary}

@@ -10,7 +10,8 @@ i.e. when ``x * 10^(n+1)`` rounds to an integer ending in 5. Only there the
 exact side of the midpoint is decided with error-free double arithmetic:
 the value is split into two halves of 26 bits (Veltkamp), each half times
 ``10^(n+1)`` is exact, and so is the sign of their sum minus the midpoint.
-Everything is built-in arithmetic, so it stays inside generated code.
+Everything is built-in arithmetic without lambdas, so it stays inside
+generated code.
 """
 
 from __future__ import annotations
@@ -46,9 +47,7 @@ def py_round(x, n: int = 2) -> Column:
     """``round(x, n)`` with Python's semantics, for doubles of moderate size
     (|x| * 10^(n+1) well below 2^53). A negative zero comes back as 0.0.
 
-    The argument is bound once through a one-element lambda: the arithmetic
-    refers to it a dozen times, and a filter pushed below the projection
-    that defines it would otherwise copy the whole argument expression into
-    every reference."""
-    y = _col(x).cast("double")
-    return F.transform(F.array(y), lambda v: _py_round_value(v, n)).getItem(0)
+    The result refers to ``x`` several times, so a costly argument should be
+    staged as a column first; it is plain arithmetic, without lambdas, and
+    generated code computes the repeated parts once."""
+    return _py_round_value(_col(x).cast("double"), n)

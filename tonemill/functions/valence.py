@@ -16,9 +16,10 @@ ALPHA = 15.0
 THRESHOLD = 0.05
 CONF_OFFSET, CONF_CAP, NEUTRAL_CONFIDENCE = 0.2, 0.95, 0.65
 COMPOUND_DECIMALS = 4
-# Valences are summed as whole multiples of 1/VALENCE_SCALE, so the sum is
-# exact and does not depend on the order of the tokens.
-VALENCE_SCALE = 10_000
+# Valences are decimals of so many places; they are summed as whole multiples
+# of 1/VALENCE_SCALE, so the sum is exact and does not depend on the order.
+VALENCE_DECIMALS = 10
+VALENCE_SCALE = 10**VALENCE_DECIMALS
 
 # A token: letters/digits, optionally joined by inner apostrophes ("don't").
 TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
@@ -36,7 +37,8 @@ def valence_tokens(text) -> Column:
 
 def scaled_valence(valence) -> Column:
     """Valence as a whole number of 1/VALENCE_SCALE units."""
-    return F.round(_col(valence).cast("double") * F.lit(float(VALENCE_SCALE))).cast("long")
+    exact = _col(valence).cast("double").cast(f"decimal(18,{VALENCE_DECIMALS})")
+    return (exact * F.lit(VALENCE_SCALE)).cast("long")
 
 
 def compound_from_sum(scaled_sum) -> Column:
@@ -91,50 +93,6 @@ BOOSTER_INCREMENT = 0.293
 EXCLAMATION_STEP = 0.292
 
 
-def rules_sum(tokens_col, hits_col, valences: Column, rules: ValenceRules, text=None) -> Column:
-    """Sum of rule-adjusted valences over the hits of a token array, in
-    token order (double); ``hits_col`` holds the distinct lexicon tokens of
-    the row and ``valences`` is the lexicon as a literal map. Both arrays
-    must be columns: an expression inside a lambda is evaluated again for
-    every element."""
-    toks = _col(tokens_col)
-    hits = _col(hits_col)
-    n = F.size(toks)
-    positions = F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_contains(hits, F.element_at(toks, i)),
-    )
-    neg = F.array(*[F.lit(w) for w in rules.negators]) if rules.negators else None
-    boost = (F.create_map(*[x for k, v in rules.boosters.items() for x in (F.lit(k), F.lit(float(v)))])
-             if rules.boosters else None)
-
-    damp = F.array(*[F.lit(float(x)) for x in rules.damping[: rules.window]])
-    steps = F.sequence(F.lit(1), F.lit(rules.window))
-
-    def adjusted(i):
-        # The window is folded step by step (nearest token first), with the
-        # running valence as one lambda variable instead of a copied tree.
-        def step(v, j):
-            prev = F.when(i - j >= 1, F.element_at(toks, i - j))
-            if boost is not None:
-                inc = F.coalesce(F.element_at(boost, prev), F.lit(0.0)) * F.element_at(damp, j)
-                v = v + F.when(v < 0, -inc).otherwise(inc)
-            if neg is not None:
-                v = v * F.when(F.array_contains(neg, prev), F.lit(rules.negation_scalar)).otherwise(F.lit(1.0))
-            return v
-
-        base = F.element_at(valences, F.element_at(toks, i)).cast("double")
-        return F.aggregate(steps, base, step)
-
-    total = F.aggregate(F.transform(positions, adjusted), F.lit(0.0), lambda a, b: a + b)
-    if rules.exclamation_step and text is not None:
-        raw = F.coalesce(_col(text).cast("string"), F.lit(NULL_TEXT))
-        marks = F.least(F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit(""))), F.lit(rules.exclamation_max))
-        emph = marks.cast("double") * F.lit(rules.exclamation_step)
-        total = F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
-    return total
-
-
 def with_emphasis(total, text, rules: ValenceRules) -> Column:
     """``total`` pushed ``exclamation_step`` further from zero per ``!`` in
     the text (at most ``exclamation_max``); unchanged without the rule."""

@@ -1,4 +1,4 @@
-"""Majority vote over two or three labeler results in one row (no shuffle)."""
+"""Majority vote over labeler results in one row (no shuffle)."""
 
 from __future__ import annotations
 
@@ -17,17 +17,14 @@ def ensemble_vote(*results: Column) -> Column:
     confidence is the mean confidence of the winning votes (summed in model
     order), plus 0.1 capped at 0.98 when all votes agree.
     """
-    if not 2 <= len(results) <= 3:
-        raise ValueError("the row-wise vote takes 2 or 3 results; use ensemble_vote_long for more")
+    if not results:
+        raise ValueError("a vote needs at least one result")
     labels = [r.getField("label") for r in results]
     confs = [r.getField("confidence") for r in results]
-    if len(results) == 2:
-        winner = labels[0]
-        unanimous = labels[0] == labels[1]
-    else:
-        # l1 wins unless l2 and l3 agree against it (then they hold 2 votes).
-        winner = F.when(labels[1] == labels[2], labels[1]).otherwise(labels[0])
-        unanimous = (labels[0] == labels[1]) & (labels[1] == labels[2])
+    shares = [sum((other == lab).cast("int") for other in labels[1:]) + (labels[0] == lab).cast("int") for lab in labels] if len(labels) > 1 else [F.lit(1)]
+    most = F.greatest(*shares) if len(shares) > 1 else shares[0]
+    winner = F.coalesce(*[F.when(n == most, lab) for n, lab in zip(shares, labels)])
+    unanimous = most == F.lit(len(labels))
     total, count = F.lit(0.0), F.lit(0)
     for lab, conf in zip(labels, confs):
         hit = lab == winner

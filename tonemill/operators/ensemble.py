@@ -2,11 +2,12 @@
 
 Two forms with the same result:
 
-* wide (2-3 labelers, the default ensemble): every labeler is a column of
-  the same row and the vote is a projection, so there is no shuffle;
-* long (any number): votes are rows ``(key, model, ord, label,
-  confidence)``, voted by two aggregations that each pre-aggregate inside
-  the tasks before shuffling.
+* wide: every labeler is a column of the same row and the vote is a
+  projection, so there is no shuffle;
+* long: votes are rows ``(key, model, ord, label, confidence)``, voted by two
+  aggregations.
+
+Both take any number of labelers.
 """
 
 from __future__ import annotations
@@ -54,27 +55,18 @@ def votes_from_results(df: DataFrame, key: str, results: Sequence[tuple[str, str
     return df.select(F.col(key), F.inline(votes))
 
 
-def ensemble_vote_long(votes: DataFrame, key: str, n_models: int | None = None) -> DataFrame:
+def ensemble_vote_long(votes: DataFrame, key: str) -> DataFrame:
     """Vote over vote rows: the most frequent label per key wins, ties go to
     the label whose first vote has the lowest ``ord``; confidence = mean of
     the winning votes (summed in ``ord`` order), +0.1 capped at 0.98 if
     unanimous. Returns ``(key, label, confidence)`` with confidence in 0..1.
 
-    Votes are ``(key, ord)``-unique. Both steps are plain aggregations with
-    partial aggregation before each shuffle, so a key holding many rows is
-    folded inside each task first; no group is collected into a list."""
-    if n_models is None:
-        n_models = int(votes.agg(F.max("ord")).first()[0]) + 1
-    ords = range(n_models)
+    Votes are ``(key, ord)``-unique, so what is gathered per key and label is
+    one number per model that gave the label."""
     per_label = votes.groupBy(key, "label").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("ord").alias("first"),
-        *[F.max(F.when(F.col("ord") == i, F.col("confidence"))).alias(f"__tm_c{i}") for i in ords],
-    )
-    total = F.lit(0.0)
-    for i in ords:  # model order, as the winners' confidences are summed
-        total = total + F.coalesce(F.col(f"__tm_c{i}"), F.lit(0.0))
-    per_label = per_label.withColumn("mean", total / F.col("n"))
+        F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "confidence"))).alias("given"))
+    total = F.aggregate(F.col("given.confidence"), F.lit(0.0), lambda a, c: a + c)
+    per_label = per_label.select(key, "label", "first", F.size("given").alias("n"), (total / F.size("given")).alias("mean"))
     best = per_label.groupBy(key).agg(
         F.max(F.struct(F.col("n"), (-F.col("first")).alias("neg_first"), F.col("label"), F.col("mean"))).alias("b"),
         F.count(F.lit(1)).alias("n_labels"),
@@ -86,13 +78,13 @@ def ensemble_vote_long(votes: DataFrame, key: str, n_models: int | None = None)
 
 def with_ensemble_struct(df: DataFrame, text_col: str = "text", out: str = "ensemble",
                          lexicon: Lexicon = DEFAULT_LEXICON, valence_lexicon=None, classifier=None,
-                         normalise: str = "ternary", **scorer_kw) -> DataFrame:
+                         normalise: str = "ternary", valence_strategy: str = "arrow", **scorer_kw) -> DataFrame:
     """Add ``out`` = vote of rules, valence (rules again when no valence
     lexicon is given) and, if given, the classifier; unrounded confidences."""
     rules, val, cls = "__tm_e_rules", "__tm_e_val", "__tm_e_cls"
     staged = with_rules_struct(df, text_col, lexicon, rules)
     if valence_lexicon is not None:
-        staged = with_valence_struct(staged, valence_lexicon, text_col, val)
+        staged = with_valence_struct(staged, valence_lexicon, text_col, val, strategy=valence_strategy)
     else:
         staged = staged.withColumn(val, F.col(rules))
     results = [F.col(rules), F.col(val)]

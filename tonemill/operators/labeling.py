@@ -13,6 +13,7 @@ _TOK = "__tm_tok"
 _HIT = "__tm_hit"
 _POS = "__tm_pos"
 _NEG = "__tm_neg"
+_CONF = "__tm_conf"
 
 
 def rule_features(
@@ -60,12 +61,12 @@ def unpack_label(
     The two columns come out of a one-row ``inline`` (a Generate node). A
     filter on them then stays above it: pushed below, the optimizer would
     inline the whole labeler into the predicate and compute it twice."""
-    conf = F.col(f"{struct_col}.confidence")
-    conf = R.to_percent(conf) if percent else conf
-    label = F.col(f"{struct_col}.label")
+    label, raw = F.col(f"{struct_col}.label"), F.col(f"{struct_col}.confidence")
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (struct_col, label_col, confidence_col)]
-    pair = F.struct(label.alias(label_col), conf.alias(confidence_col))
-    out = df.select(*keep, F.inline(F.array(pair)))
+    out = df.select(*keep, F.inline(F.array(F.struct(label.alias(label_col), raw.alias(_CONF)))))
+    # The rounding reads a finished column, so it stays plain generated code.
+    conf = R.to_percent(_CONF) if percent else F.col(_CONF)
+    out = out.withColumn(confidence_col, conf).drop(_CONF)
     # Keep the input's column order when label/confidence already existed.
     order = [c for c in df.columns if c != struct_col]
     order += [c for c in (label_col, confidence_col) if c not in order]

@@ -1,136 +1,138 @@
 """Batch inference: classifier and language-model labelers.
 
 A *scorer* is any picklable callable ``pandas.Series[str] -> result`` run on
-Arrow batches inside Python workers (``mapInPandas``):
+Arrow batches inside Python workers:
 
 * a classifier returns a DataFrame with ``label`` and ``score`` columns (or
-  a sequence of ``(label, score)`` pairs), one per input; a null label means
-  "no result" and the row falls back to the rule labeler;
+  a sequence of ``(label, score)`` pairs), one per input; a null label or a
+  missing score means "no result" and the row falls back to the rule labeler;
 * a responder returns the answer text per prompt (null = no answer).
 
-Heavy models should be built once per worker process: wrap their factory in
-:func:`load_once`. Only the cut model input crosses the JVM/Python boundary.
+The model runs as a pandas UDF on the cut model input: that one column crosses
+into Python and back, the rest of the row stays in the JVM, and nothing is
+shuffled. A batch the model raises on is halved until the rows it fails for
+stand alone; those have no result, the others keep theirs. With ``distinct``
+(the default) each batch hands every different input to the model once.
 
-With ``distinct=True`` each distinct model input is scored once and the
-results are joined back (texts repeat in real corpora); the scored table is
-checkpointed to the shared folder first, so a lost executor or a second
-action never calls the model again. ``distinct=False`` scores in place with
-no shuffle at all, for corpora without repeats.
+Results are not stored: run several actions over a labeled table from
+:func:`tonemill.sinks.csv.keep_table`. Heavy models should be built once per
+worker process: wrap their factory in :class:`load_once`.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonemill.functions import models as M
 from tonemill.lexicon import DEFAULT_LEXICON, Lexicon
 from tonemill.operators.labeling import unpack_label, with_rules_struct
-from tonemill.session import checkpointed
 
-_INPUT = "__tm_input"
-_LABEL = "__tm_mlabel"
-_SCORE = "__tm_mscore"
-_RESP = "__tm_response"
+_MODEL = "__tm_model_out"
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
 
 
-def load_once(factory: Callable[[], Callable], name: str | None = None) -> Callable:
-    """A callable that builds ``factory()`` on first use in each Python
-    worker process and reuses it for every later batch."""
-    token = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', id(factory))}"
+def _built(token: str, factory: Callable[[], Callable]) -> Callable:
+    with _LOCK:
+        if token not in _CACHE:
+            _CACHE[token] = factory()
+        return _CACHE[token]
 
-    def run(batch):
-        fn = _CACHE.get(token)
-        if fn is None:
-            with _LOCK:
-                fn = _CACHE.get(token)
-                if fn is None:
-                    fn = _CACHE[token] = factory()
-        return fn(batch)
 
-    return run
+class load_once:
+    """A callable that builds ``factory()`` on first use in each Python worker
+    process and reuses it for every later batch. Every instance has a model of
+    its own unless two are given the same ``name``."""
 
+    def __init__(self, factory: Callable[[], Callable], name: str | None = None):
+        self.factory, self.token = factory, name or uuid.uuid4().hex
 
-def _classifier_frame(result, n: int) -> pd.DataFrame:
+    def __call__(self, batch):
+        return _built(self.token, self.factory)(batch)
+
+
+def _attempt(model: Callable, inputs: pd.Series, rows: Callable) -> list:
+    """One result per input; None where the model raises. ``rows`` turns what
+    the model returns into a list and checks its length."""
+    if not len(inputs):
+        return []
+    try:
+        result = model(inputs)
+    except Exception:  # noqa: BLE001  any failure of the model for a row means "no result"
+        if len(inputs) == 1:
+            return [None]
+        half = len(inputs) // 2
+        return _attempt(model, inputs.iloc[:half], rows) + _attempt(model, inputs.iloc[half:], rows)
+    return rows(result, len(inputs))
+
+
+def _over(model: Callable, inputs: pd.Series, rows: Callable, distinct: bool) -> list:
+    if not distinct:
+        return _attempt(model, inputs, rows)
+    different = inputs.drop_duplicates()
+    found = dict(zip(different, _attempt(model, different, rows)))
+    return [found[x] for x in inputs]
+
+
+def _scored_rows(result, n: int) -> list:
     if isinstance(result, pd.DataFrame):
-        out = pd.DataFrame({"label": result["label"].to_numpy(), "score": result["score"].to_numpy()})
+        pairs = list(zip(result["label"], result["score"]))
     else:
         pairs = [(None, None) if r is None else (r[0], r[1]) for r in result]
-        out = pd.DataFrame(pairs, columns=["label", "score"])
-    if len(out) != n:
-        raise ValueError(f"scorer returned {len(out)} results for {n} inputs")
-    out["label"] = out["label"].astype(object).where(out["label"].notna(), None)
-    out["score"] = pd.to_numeric(out["score"], errors="coerce").astype("float64")
-    return out
-
+    if len(pairs) != n:
+        raise ValueError(f"scorer returned {len(pairs)} results for {n} inputs")
+    return pairs
 
-def _classify_batches(scorer: Callable, input_col: str):
-    def run(batches):
-        for pdf in batches:
-            res = _classifier_frame(scorer(pdf[input_col]), len(pdf))
-            pdf = pdf.copy()
-            pdf[_LABEL] = res["label"].to_numpy()
-            pdf[_SCORE] = res["score"].to_numpy()
-            yield pdf
 
-    return run
+def _answer_rows(result, n: int) -> list:
+    answers = [None if r is None else str(r) for r in result]
+    if len(answers) != n:
+        raise ValueError(f"responder returned {len(answers)} answers for {n} prompts")
+    return answers
 
 
-def _respond_batches(responder: Callable, input_col: str):
-    def run(batches):
-        for pdf in batches:
-            res = list(responder(pdf[input_col]))
-            if len(res) != len(pdf):
-                raise ValueError(f"responder returned {len(res)} answers for {len(pdf)} prompts")
-            pdf = pdf.copy()
-            pdf[_RESP] = pd.Series([None if r is None else str(r) for r in res], dtype=object, index=pdf.index)
-            yield pdf
+def _classifier(scorer: Callable, distinct: bool):
+    def run(inputs: pd.Series) -> pd.DataFrame:
+        pairs = [(None, None) if r is None else r for r in _over(scorer, inputs, _scored_rows, distinct)]
+        out = pd.DataFrame(pairs, columns=["label", "score"], dtype=object)
+        out["label"] = out["label"].where(out["label"].notna(), None)
+        out["score"] = pd.to_numeric(out["score"], errors="coerce").astype("float64")
+        return out
 
-    return run
+    # Nondeterministic: Spark then evaluates it once and in its place.
+    return F.pandas_udf(run, "label string, score double").asNondeterministic()
 
 
-def _with_field(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    return T.StructType(list(schema.fields) + list(fields))
+def _responder(responder: Callable, distinct: bool):
+    def run(prompts: pd.Series) -> pd.Series:
+        return pd.Series(_over(responder, prompts, _answer_rows, distinct), dtype=object)
 
-
-def _score(df: DataFrame, input_expr, fn_builder, fields, distinct: bool, materialize: bool) -> DataFrame:
-    """Attach model output columns for ``input_expr`` to every row."""
-    staged = df.withColumn(_INPUT, input_expr)
-    if not distinct:
-        return staged.mapInPandas(fn_builder(_INPUT), _with_field(staged.schema, *fields))
-    uniq = staged.select(_INPUT).distinct()
-    scored = uniq.mapInPandas(fn_builder(_INPUT), _with_field(uniq.schema, *fields))
-    if materialize:
-        scored = checkpointed(scored)
-    return staged.join(scored, _INPUT, "left")
+    return F.pandas_udf(run, "string").asNondeterministic()
 
 
 def score_texts(df: DataFrame, scorer: Callable, text_col: str = "text", n_chars: int = M.CLASSIFIER_CHARS,
-                distinct: bool = True, materialize: bool = True) -> DataFrame:
+                distinct: bool = True) -> DataFrame:
     """Add raw classifier output ``model_label``/``model_score`` per row."""
-    fields = (T.StructField(_LABEL, T.StringType()), T.StructField(_SCORE, T.DoubleType()))
-    out = _score(df, M.model_input(text_col, n_chars), lambda c: _classify_batches(scorer, c), fields,
-                 distinct, materialize)
-    return out.withColumnsRenamed({_LABEL: "model_label", _SCORE: "model_score"}).drop(_INPUT)
+    out = df.withColumn(_MODEL, _classifier(scorer, distinct)(M.model_input(text_col, n_chars)))
+    return out.withColumns({"model_label": F.col(f"{_MODEL}.label"), "model_score": F.col(f"{_MODEL}.score")}).drop(_MODEL)
 
 
 def with_scorer_struct(df: DataFrame, scorer: Callable, normalise="ternary", text_col: str = "text",
                        out: str = "model", n_chars: int = M.CLASSIFIER_CHARS, distinct: bool = True,
-                       materialize: bool = True, lexicon: Lexicon = DEFAULT_LEXICON,
+                       lexicon: Lexicon = DEFAULT_LEXICON,
                        fallback_col: str | None = None) -> DataFrame:
     """Add ``out`` = normalised classifier result, rule result where the
     classifier gave none. ``fallback_col`` names a rule result the table
     already has (so the rule labeler is not computed twice)."""
     norm = M.NORMALISERS[normalise] if isinstance(normalise, str) else normalise
-    scored = score_texts(df, scorer, text_col, n_chars, distinct, materialize)
+    scored = score_texts(df, scorer, text_col, n_chars, distinct)
     rules = fallback_col or "__tm_fallback"
     staged = scored if fallback_col else with_rules_struct(scored, text_col, lexicon, rules)
     res = M.with_fallback(norm(F.col("model_label"), F.col("model_score")), F.col(rules))
@@ -146,14 +148,12 @@ def label_with_scorer(df: DataFrame, scorer: Callable, normalise="ternary", text
 
 
 def respond(df: DataFrame, responder: Callable, style: str = "chat", text_col: str = "text",
-            distinct: bool = True, materialize: bool = True) -> DataFrame:
+            distinct: bool = True) -> DataFrame:
     """Add the model's answer ``response`` per row. ``style='chat'`` sends
     the user turn of :func:`~tonemill.functions.models.chat_messages` (the
     system turn is fixed), ``'plain'`` the single prompt."""
     prompt = M.chat_user_content(text_col) if style == "chat" else M.plain_prompt(text_col)
-    fields = (T.StructField(_RESP, T.StringType()),)
-    out = _score(df, prompt, lambda c: _respond_batches(responder, c), fields, distinct, materialize)
-    return out.withColumnRenamed(_RESP, "response").drop(_INPUT)
+    return df.withColumn("response", _responder(responder, distinct)(prompt))
 
 
 def _label_from_answers(df: DataFrame, parse, text_col: str, label_col: str, confidence_col: str,
@@ -167,10 +167,10 @@ def _label_from_answers(df: DataFrame, parse, text_col: str, label_col: str, con
 
 def label_with_llm(df: DataFrame, responder: Callable, style: str = "chat", text_col: str = "text",
                    label_col: str = "label", confidence_col: str = "confidence", distinct: bool = True,
-                   materialize: bool = True, lexicon: Lexicon = DEFAULT_LEXICON, keep_response: bool = False) -> DataFrame:
+                   lexicon: Lexicon = DEFAULT_LEXICON, keep_response: bool = False) -> DataFrame:
     """Label every row from a language model's answers; ``chat`` answers are
     parsed as "<Label> <confidence>", ``plain`` answers by keyword."""
-    answered = respond(df, responder, style, text_col, distinct, materialize)
+    answered = respond(df, responder, style, text_col, distinct)
     out = _label_from_answers(answered, "scored" if style == "chat" else "plain", text_col, label_col,
                               confidence_col, lexicon)
     return out if keep_response else out.drop("response")

@@ -1,35 +1,20 @@
 """Valence labeler: sum the valences of a text's tokens, normalise the sum
 to a compound score in [-1, 1], and map it to a label.
 
-The lexicon is an input (a ``(token, valence)`` table or a dict). Two
-physical strategies give identical results:
-
-* ``inline`` (used when the lexicon has at most ``inline_max`` entries):
-  the size-checked lexicon is folded into the plan as literals and each row
-  is scored by a projection: a hash-based ``array_intersect`` finds the
-  distinct hits, and each hit's occurrences are counted in the token array.
-  No shuffle, input columns kept, works on streams.
-* ``arrow`` (the default above ``SMALL_LEXICON``, with or without context rules; up to
-  ``BROADCAST_MAX`` entries, count-checked): tokens are extracted in the
-  JVM, then ``mapInArrow`` looks every token up in the broadcast lexicon
-  with one hashed ``index_in`` per Arrow batch and sums the hits per row
-  with ``bincount``. No shuffle, no per-row Python, input columns kept,
-  works on streams; the cost is linear in the tokens whatever the lexicon
-  size (the ``inline`` form evaluates its lambdas interpreted and counts
-  occurrences per distinct hit, which is quadratic on long texts).
-* ``join`` (any lexicon size): explode tokens, join the lexicon (broadcast
-  only below the broadcast size limit), pre-aggregate per row key within
-  each task, shuffle the per-key partial sums, and left-join them back so
-  rows without any hit survive with a zero sum.
-
-Measured at sf0.01 (``documents``, 4.7 MB of text) with lexicons of the most
-frequent corpus tokens: 100 entries inline 5.8 s / join 1.9 s; 2,000
-entries 13.3 s / 1.4 s; 10,000 entries 96.7 s / 1.5 s. Context rules look
-back from each hit along the row's tokens: inline in a lambda, arrow on the
-flat token array of a batch, join with a window per row key. With a
-lexicon of at most ``SMALL_LEXICON`` entries ``auto`` stays ``inline``: at
-sf0.1 with 10 entries the three-model vote took 5.3 s inline and 6.3 s
-arrow, which moves every column through the Python worker.
+The lexicon is an input (a ``(token, valence)`` table or a dict). The caller
+picks the physical strategy; the results are the same:
+
+* ``arrow`` (the default): tokens are extracted in the JVM and looked up in the
+  broadcast lexicon, one hashed ``index_in`` per Arrow batch. Only the token
+  column crosses into Python; no shuffle, works on streams. The lexicon is
+  broadcast, so it may have ``BROADCAST_MAX`` entries at most; more is an error.
+* ``join`` (any lexicon size): rows get an id and are checkpointed, tokens are
+  exploded, counted per row within each task, joined with the lexicon and summed
+  per row id; the sums are joined back, rows without a hit have sum zero.
+
+Valences are decimals of ``VALENCE_DECIMALS`` places, summed as whole numbers, so
+the sum is exact and does not depend on the order of the tokens. With context
+rules the adjusted valences are added in token order, in doubles.
 """
 
 from __future__ import annotations
@@ -38,167 +23,133 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType
 
 from tonemill.functions import valence as V
 from tonemill.functions.rules import to_percent
+from tonemill.session import checkpointed
 
-INLINE_MAX = 500          # lexicon entries folded into the plan as literals (context rules)
-SMALL_LEXICON = 32        # without rules, inline only up to this: per-row cost is hits x tokens
-BROADCAST_MAX = 2_000_000  # lexicon entries broadcast to every task (arrow and join strategies)
+BROADCAST_MAX = 2_000_000  # lexicon entries broadcast to every task
+STRATEGIES = ("arrow", "join")
+_ROW = "__tm_row"
 
 
 def lexicon_frame(spark: SparkSession, lexicon) -> DataFrame:
-    """``(token string, valence double)`` from a dict, pairs or a DataFrame;
-    tokens are lower-cased, one row per token (the last valence wins on a
-    repeated token in a dict; a DataFrame must not repeat tokens)."""
+    """``(token string, valence double, scaled long)`` from a dict, pairs or a
+    DataFrame. Tokens are lower-cased; entries without a token or a valence say
+    nothing and are left out; a token that occurs twice is an error."""
     if isinstance(lexicon, DataFrame):
         cols = lexicon.columns
-        return lexicon.select(F.lower(F.col(cols[0]).cast("string")).alias("token"),
-                              F.col(cols[1]).cast("double").alias("valence"))
-    items = dict(lexicon.items() if isinstance(lexicon, dict) else lexicon)
-    rows = [(str(k).lower(), float(v)) for k, v in items.items()]
-    return spark.createDataFrame(rows, "token string, valence double")
+        out = lexicon.select(F.lower(F.col(cols[0]).cast("string")).alias("token"),
+                             F.col(cols[1]).cast("double").alias("valence"))
+    else:
+        items = lexicon.items() if isinstance(lexicon, dict) else lexicon
+        rows = [(None if k is None else str(k), None if v is None else float(v)) for k, v in items]
+        out = spark.createDataFrame(rows, "token string, valence double").withColumn("token", F.lower("token"))
+    out = out.where(F.col("token").isNotNull() & F.col("valence").isNotNull() & ~F.isnan("valence"))
+    twice = out.groupBy("token").count().where("count > 1").select("token").take(1)
+    if twice:
+        raise ValueError(f"the lexicon repeats the token {twice[0][0]!r}")
+    return out.withColumn("scaled", V.scaled_valence("valence"))
 
 
-def _inline_sum(tokens_col: str, entries: list[tuple[str, float]]):
-    keys = F.array(*[F.lit(k) for k, _ in entries]) if entries else F.array().cast("array<string>")
-    scaled = F.create_map(*[x for k, v in entries for x in (F.lit(k), F.lit(round(v * V.VALENCE_SCALE)).cast("long"))])
-    toks = F.col(tokens_col)
-    hits = F.array_intersect(toks, keys)
-    n = F.size(toks)
+_LEXICONS: dict = {}
 
-    def add(acc, h):
-        occurrences = (n - F.size(F.array_remove(toks, h))).cast("long")
-        return acc + F.element_at(scaled, h) * occurrences
 
-    return F.aggregate(hits, F.lit(0).cast("long"), add)
+def _lexicon_arrays(name: str, broadcast):
+    """The broadcast lexicon as (Arrow keys, numpy values), built once per
+    Python worker and kept for the last few lexicons only."""
+    if name not in _LEXICONS:
+        import numpy as np
+        import pyarrow as pa
 
+        keys, values = broadcast.value
+        if len(_LEXICONS) >= 4:
+            _LEXICONS.clear()
+        _LEXICONS[name] = (pa.array(keys, pa.string()), np.asarray(values))
+    return _LEXICONS[name]
 
-_ARROW_LEXICONS: dict = {}
 
+def _hits(tokens, keys):
+    """Of an Arrow array of token lists: flat tokens, the row of each, the
+    places of lexicon tokens and their lexicon entries."""
+    import pyarrow.compute as pc
 
-def _lexicon_arrays(token: str, bc):
-    """The broadcast lexicon as (Arrow keys, numpy scaled valences), built
-    once per Python worker (workers are reused across tasks) and kept for
-    the last few lexicons only; ``token`` names the broadcast."""
-    got = _ARROW_LEXICONS.get(token)
-    if got is None:
-        import numpy as np
-        import pyarrow as pa
+    flat = pc.list_flatten(tokens)
+    parent = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+    entry = pc.fill_null(pc.index_in(flat, value_set=keys), -1).to_numpy(zero_copy_only=False)
+    at = (entry >= 0).nonzero()[0]
+    return flat, parent, at, entry[at]
 
-        keys, vals = bc.value
-        got = (pa.array(keys, pa.string()), np.asarray(vals))
-        if len(_ARROW_LEXICONS) >= 4:
-            _ARROW_LEXICONS.clear()
-        _ARROW_LEXICONS[token] = got
-    return got
-
-
-def _arrow_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str) -> DataFrame:
-    """Replace ``tokens_col`` by ``out`` = scaled valence sum of the row's
-    tokens (long), computed per Arrow batch against the broadcast lexicon.
-
-    The caller has checked the lexicon's size; it is collected once on the
-    driver (token, scaled valence) and broadcast to the executors."""
-    entries = lex.select("token", V.scaled_valence("valence").alias("sv")).collect()
-    keys = [r[0] for r in entries]
-    if len(set(keys)) != len(keys):
-        raise ValueError("lexicon repeats a token")
-    bc = df.sparkSession.sparkContext.broadcast((keys, [int(r[1]) for r in entries]))
-    token = uuid.uuid4().hex
-    fields = [f for f in df.schema.fields if f.name != tokens_col]
-    schema = StructType(fields + [StructField(out, LongType(), False)])
-    names = [f.name for f in fields]
-
-    def run(batches):
+
+def _lexicon_sum(spark: SparkSession, lex: DataFrame):
+    """Arrow UDF: token list -> exact sum of scaled valences."""
+    entries = lex.select("token", "scaled").collect()  # bounded: the caller has checked the count
+    known = spark.sparkContext.broadcast(([r[0] for r in entries], [r[1] for r in entries]))
+    name = uuid.uuid4().hex
+
+    def run(tokens):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        from tonemill.operators.valence import _lexicon_arrays
-
-        key_arr, scaled = _lexicon_arrays(token, bc)
-        for b in batches:
-            toks = b.column(tokens_col)
-            n = b.num_rows
-            if len(scaled) == 0 or n == 0:
-                sums = np.zeros(n, dtype=np.int64)
-            else:
-                flat = pc.list_flatten(toks)
-                parent = pc.list_parent_indices(toks).to_numpy(zero_copy_only=False)
-                idx = pc.fill_null(pc.index_in(flat, value_set=key_arr), -1).to_numpy(zero_copy_only=False)
-                hit = idx >= 0
-                # Whole numbers of 1/VALENCE_SCALE: the float sums are exact
-                # (far below 2**53) and do not depend on token order.
-                sums = np.rint(np.bincount(parent[hit], weights=scaled[idx[hit]], minlength=n)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(sums, pa.int64())],
-                                             names=names + [out])
-
-    return df.mapInArrow(run, schema)
-
-
-def _arrow_rules_sum(df: DataFrame, lex: DataFrame, tokens_col: str, out: str, rules: V.ValenceRules) -> DataFrame:
-    """Replace ``tokens_col`` by ``out`` = sum of rule-adjusted valences
-    (double) in token order, per Arrow batch against the broadcast lexicon.
-
-    Every hit looks back at the ``window`` preceding tokens of its own row
-    on the flat token array (nearest first: booster, then negator), with
-    the same float operations in the same order as the inline form, and
-    ``bincount`` adds each row's values in token order from 0.0."""
-    entries = lex.select("token", "valence").collect()
-    keys = [r[0] for r in entries]
-    if len(set(keys)) != len(keys):
-        raise ValueError("lexicon repeats a token")
+        from tonemill.operators.valence import _hits, _lexicon_arrays
+
+        keys, scaled = _lexicon_arrays(name, known)
+        if not len(scaled) or not len(tokens):
+            return pa.array(np.zeros(len(tokens), np.int64))
+        _, parent, at, entry = _hits(tokens, keys)
+        total = np.concatenate([[0], np.cumsum(scaled[entry].astype(np.int64))])
+        ends = np.searchsorted(parent[at], np.arange(len(tokens) + 1))
+        return pa.array(total[ends[1:]] - total[ends[:-1]])
+
+    return F.arrow_udf(_typed(run, "tokens"), LongType())
+
+
+def _rules_sum(spark: SparkSession, lex: DataFrame, rules: V.ValenceRules):
+    """Arrow UDF: token list -> sum of rule-adjusted valences in token order.
+
+    Every hit looks back at the ``window`` preceding tokens of its own row,
+    nearest first: booster, then negator."""
+    entries = lex.select("token", "valence").collect()  # bounded: the caller has checked the count
     if len(rules.damping) < rules.window:
         raise ValueError("damping needs one factor per window step")
-    bc = df.sparkSession.sparkContext.broadcast((keys, [float(r[1]) for r in entries]))
-    token = uuid.uuid4().hex
-    boost_keys, boost_vals = list(rules.boosters), [float(v) for v in rules.boosters.values()]
-    negators, window, scalar = list(rules.negators), rules.window, float(rules.negation_scalar)
-    damping = [float(x) for x in rules.damping[:window]]
-    fields = [f for f in df.schema.fields if f.name != tokens_col]
-    schema = StructType(fields + [StructField(out, DoubleType(), False)])
-    names = [f.name for f in fields]
-
-    def run(batches):
+    known = spark.sparkContext.broadcast(([r[0] for r in entries], [r[1] for r in entries]))
+    name = uuid.uuid4().hex
+    boosters, negators = dict(rules.boosters), list(rules.negators)
+    window, scalar, damping = rules.window, float(rules.negation_scalar), [float(x) for x in rules.damping]
+
+    def run(tokens):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from tonemill.operators.valence import _lexicon_arrays
-
-        key_arr, vals = _lexicon_arrays(token, bc)
-        b_keys, b_vals = pa.array(boost_keys, pa.string()), np.asarray(boost_vals, dtype=np.float64)
-        n_keys = pa.array(negators, pa.string())
-        for b in batches:
-            toks = b.column(tokens_col)
-            n = b.num_rows
-            sums = np.zeros(n, dtype=np.float64)
-            if len(vals) and n:
-                flat = pc.list_flatten(toks)
-                parent = pc.list_parent_indices(toks).to_numpy(zero_copy_only=False)
-                idx = pc.fill_null(pc.index_in(flat, value_set=key_arr), -1).to_numpy(zero_copy_only=False)
-                at = np.nonzero(idx >= 0)[0]
-                v = vals[idx[at]].astype(np.float64)
-                if len(b_keys):
-                    bi = pc.fill_null(pc.index_in(flat, value_set=b_keys), -1).to_numpy(zero_copy_only=False)
-                    inc_at = np.where(bi >= 0, b_vals[np.maximum(bi, 0)], 0.0)
-                if len(n_keys):
-                    is_neg = pc.is_in(flat, value_set=n_keys).to_numpy(zero_copy_only=False)
-                for j in range(1, window + 1):
-                    p = np.maximum(at - j, 0)
-                    near = (at - j >= 0) & (parent[p] == parent[at])
-                    if len(b_keys):
-                        inc = np.where(near, inc_at[p], 0.0) * damping[j - 1]
-                        v = v + np.where(v < 0, -inc, inc)
-                    if len(n_keys):
-                        v = v * np.where(near & is_neg[p], scalar, 1.0)
-                sums = np.bincount(parent[at], weights=v, minlength=n)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(sums, pa.float64())],
-                                             names=names + [out])
-
-    return df.mapInArrow(run, schema)
+        from tonemill.operators.valence import _hits, _lexicon_arrays
+
+        keys, values = _lexicon_arrays(name, known)
+        if not len(values) or not len(tokens):
+            return pa.array(np.zeros(len(tokens)))
+        flat, parent, at, entry = _hits(tokens, keys)
+        v = values[entry].astype(np.float64)
+        boost = pc.fill_null(pc.index_in(flat, value_set=pa.array(list(boosters), pa.string())), -1).to_numpy(zero_copy_only=False)
+        step = np.append(np.asarray(list(boosters.values()), np.float64), 0.0)[boost]
+        negates = pc.is_in(flat, value_set=pa.array(negators, pa.string())).to_numpy(zero_copy_only=False)
+        for j in range(1, window + 1):
+            p = np.maximum(at - j, 0)
+            near = (at - j >= 0) & (parent[p] == parent[at])
+            inc = np.where(near, step[p], 0.0) * damping[j - 1]
+            v = v + np.where(v < 0, -inc, inc)
+            v = v * np.where(near & negates[p], scalar, 1.0)
+        return pa.array(np.bincount(parent[at], weights=v, minlength=len(tokens)))
+
+    return F.arrow_udf(_typed(run, "tokens"), DoubleType())
+
+
+def _typed(fn, name: str):
+    """Give an Arrow UDF its type hints without importing pyarrow up front."""
+    import pyarrow as pa
+
+    fn.__annotations__ = {name: pa.Array, "return": pa.Array}
+    return fn
 
 
 def valence_compound(
@@ -206,97 +157,54 @@ def valence_compound(
     lexicon,
     text_col: str = "text",
     out: str = "compound",
-    key: str | None = None,
-    strategy: str = "auto",
-    inline_max: int = INLINE_MAX,
+    strategy: str = "arrow",
     rules: V.ValenceRules | None = None,
 ) -> DataFrame:
-    """Add ``out`` = compound score of ``text_col`` (4 decimals).
-
-    ``key`` (a unique row key) is needed only by the ``join`` strategy.
-    ``rules`` (negation/booster windows, emphasis) run in every strategy.
-    """
+    """Add ``out`` = compound score of ``text_col`` (4 decimals). ``rules``
+    (negation and booster windows, emphasis) run in both strategies."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; choose one of {STRATEGIES}")
     spark = df.sparkSession
     lex = lexicon_frame(spark, lexicon)
-    with_rules = rules is not None and rules.active
-    n_entries = None
-    if strategy in ("auto", "inline", "arrow"):
-        n_entries = lex.count()
-        if strategy == "inline" and n_entries > inline_max:
-            raise ValueError(f"lexicon has {n_entries} entries, above inline_max={inline_max}")
-        if strategy == "arrow" and n_entries > BROADCAST_MAX:
-            raise ValueError(f"the arrow strategy takes at most {BROADCAST_MAX} lexicon entries (has {n_entries})")
-        if strategy == "auto":
-            if n_entries <= min(SMALL_LEXICON, inline_max):
-                strategy = "inline"
-            else:
-                strategy = "arrow" if n_entries <= BROADCAST_MAX else "join"
-    tok = "__tm_vtok"
+    n_entries = lex.count()
+    active = rules if rules is not None and rules.active else None
+    total = "__tm_vsum"
     if strategy == "arrow":
-        staged = df.withColumn(tok, V.valence_tokens(text_col))
-        if with_rules:
-            staged = _arrow_rules_sum(staged, lex, tok, "__tm_vsum", rules)
-            total = V.with_emphasis(F.col("__tm_vsum"), F.col(text_col), rules)
-            return staged.withColumn(out, V.compound_from_double(total)).drop("__tm_vsum")
-        staged = _arrow_sum(staged, lex, tok, "__tm_vsum")
-        return staged.withColumn(out, V.compound_from_sum("__tm_vsum")).drop("__tm_vsum")
-    if strategy == "inline":
-        # Bounded by the count check above.
-        entries = [(r[0], r[1]) for r in lex.collect()]
-        seen = {}
-        for k, v in entries:
-            if k in seen:
-                raise ValueError(f"lexicon repeats token {k!r}")
-            seen[k] = v
-        staged = df.withColumn(tok, V.valence_tokens(text_col))
-        if with_rules:
-            keys = F.array(*[F.lit(k) for k, _ in entries]) if entries else F.array().cast("array<string>")
-            vals = F.create_map(*[x for k, v in entries for x in (F.lit(k), F.lit(float(v)))])
-            staged = staged.withColumn("__tm_vhits", F.array_intersect(F.col(tok), keys))
-            total = V.rules_sum(tok, "__tm_vhits", vals, rules, text=F.col(text_col))
-            return staged.withColumn(out, V.compound_from_double(total)).drop(tok, "__tm_vhits")
-        return staged.withColumn(out, V.compound_from_sum(_inline_sum(tok, entries))).drop(tok)
-    if strategy != "join":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if key is None:
-        raise ValueError("the join strategy needs a unique row key")
-    if n_entries is None:
-        n_entries = lex.count()
-    if rules is not None and rules.active:
-        return _join_with_rules(df, lex, n_entries, key, text_col, out, rules)
-    lex_side = lex.select("token", V.scaled_valence("valence").alias("__tm_sv"))
-    if n_entries <= BROADCAST_MAX:
-        lex_side = F.broadcast(lex_side)
-    exploded = df.select(F.col(key).alias("__tm_key"), F.explode(V.valence_tokens(text_col)).alias("token"))
-    if n_entries <= BROADCAST_MAX:
-        hits = exploded.join(lex_side, "token", "inner").select("__tm_key", "__tm_sv")
+        if n_entries > BROADCAST_MAX:
+            raise ValueError(f"the lexicon has {n_entries} entries; over {BROADCAST_MAX} take strategy='join'")
+        udf = _rules_sum(spark, lex, active) if active else _lexicon_sum(spark, lex)
+        staged = df.withColumn(total, udf(V.valence_tokens(text_col)))
     else:
-        # Too big to broadcast: fold repeated tokens of a row inside each task
-        # before the token shuffle, and weight each hit by its count.
-        counted = exploded.groupBy("__tm_key", "token").agg(F.count(F.lit(1)).alias("__tm_n"))
-        hits = counted.join(lex_side, "token", "inner").select(
-            "__tm_key", (F.col("__tm_sv") * F.col("__tm_n")).alias("__tm_sv"))
-    sums = hits.groupBy("__tm_key").agg(F.sum("__tm_sv").alias("__tm_sum"))
-    joined = df.join(sums, df[key] == sums["__tm_key"], "left")
-    return joined.withColumn(out, V.compound_from_sum("__tm_sum")).drop("__tm_key", "__tm_sum")
-
-
-def _join_with_rules(df: DataFrame, lex: DataFrame, n_entries: int, key: str, text_col: str, out: str,
-                     rules: V.ValenceRules) -> DataFrame:
-    """Context rules with any lexicon size: tokens with their positions are
-    exploded, lexicon hits and rule words kept, and a window per row key
-    (ordered by position) looks back at the up to ``window`` previous kept
-    tokens; a row key's tokens are one document, so no window group is
-    larger than a text. Hit valences are summed in token order by a running
-    window sum, then joined back to every row."""
-    lex_side = lex.select("token", "valence")
-    if n_entries <= BROADCAST_MAX:
-        lex_side = F.broadcast(lex_side)
-    toks = df.select(F.col(key).alias("__tm_key"), F.posexplode(V.valence_tokens(text_col)).alias("pos", "token"))
+        # The id is fixed by the checkpoint: both uses below see the same rows.
+        rows = checkpointed(df.withColumn(_ROW, F.monotonically_increasing_id()))
+        lex_side = F.broadcast(lex) if n_entries <= BROADCAST_MAX else lex
+        sums = _join_rules_sums(rows, lex_side, text_col, active) if active else _join_sums(rows, lex_side, text_col)
+        staged = rows.join(sums.withColumnRenamed("sum", total), _ROW, "left").drop(_ROW)
+    if not active:
+        return staged.withColumn(out, V.compound_from_sum(total)).drop(total)
+    emphasised = V.with_emphasis(F.coalesce(F.col(total), F.lit(0.0)), F.col(text_col), active)
+    return staged.withColumn(total, emphasised).withColumn(out, V.compound_from_double(total)).drop(total)
+
+
+def _join_sums(rows: DataFrame, lex_side: DataFrame, text_col: str) -> DataFrame:
+    """(row id, sum). Repeated tokens of a row are folded inside each task
+    before any token moves, and weigh by their count."""
+    tokens = rows.select(_ROW, F.explode(V.valence_tokens(text_col)).alias("token"))
+    counted = tokens.groupBy(_ROW, "token").agg(F.count(F.lit(1)).alias("n"))
+    hits = counted.join(lex_side.select("token", "scaled"), "token")
+    return hits.groupBy(_ROW).agg(F.sum(F.col("scaled") * F.col("n")).alias("sum"))
+
+
+def _join_rules_sums(rows: DataFrame, lex_side: DataFrame, text_col: str, rules: V.ValenceRules) -> DataFrame:
+    """(row id, sum) with context rules: lexicon hits and rule words are kept
+    with their positions, and a window per row looks back at the up to
+    ``window`` previous kept tokens; no window group is larger than a text.
+    Hit valences are summed in token order by a running window sum."""
+    toks = rows.select(_ROW, F.posexplode(V.valence_tokens(text_col)).alias("pos", "token"))
     rule_words = list(dict.fromkeys(list(rules.negators) + list(rules.boosters)))
-    tagged = toks.join(lex_side, "token", "left")
+    tagged = toks.join(lex_side.select("token", "valence"), "token", "left")
     kept = tagged.filter(F.col("valence").isNotNull() | F.col("token").isin(rule_words))
-    w = Window.partitionBy("__tm_key").orderBy("pos")
+    w = Window.partitionBy(_ROW).orderBy("pos")
     for k in range(1, rules.window + 1):
         kept = kept.withColumn(f"__tm_p{k}", F.lag("pos", k).over(w)).withColumn(f"__tm_t{k}", F.lag("token", k).over(w))
     neg = F.array(*[F.lit(x) for x in rules.negators]) if rules.negators else None
@@ -319,15 +227,7 @@ def _join_with_rules(df: DataFrame, lex: DataFrame, n_entries: int, key: str, te
     # Running sum in token order, so the total adds up exactly as in the
     # row-wise form; the last hit of a key carries it.
     running = hits.withColumn("__tm_run", F.sum("__tm_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = running.groupBy("__tm_key").agg(F.max_by("__tm_run", "pos").alias("__tm_sum"))
-    joined = df.join(sums, df[key] == sums["__tm_key"], "left")
-    total = F.coalesce(F.col("__tm_sum"), F.lit(0.0))
-    if rules.exclamation_step:
-        raw = F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))
-        marks = F.least(F.length(raw) - F.length(F.replace(raw, F.lit("!"), F.lit(""))), F.lit(rules.exclamation_max))
-        emph = marks.cast("double") * F.lit(rules.exclamation_step)
-        total = F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
-    return joined.withColumn(out, V.compound_from_double(total)).drop("__tm_key", "__tm_sum")
+    return running.groupBy(_ROW).agg(F.max_by("__tm_run", "pos").alias("sum"))
 
 
 def with_valence_struct(df: DataFrame, lexicon, text_col: str = "text", out: str = "valence", **kw) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tonemill.lexicon import POSITIVE_WORDS
 from tonemill.plans.sql import q
 from tonemill.sources.reviews import SAMPLE_REVIEWS
 from tonemill.sources.tables import load_table
@@ -41,10 +42,7 @@ EDGE_TEXTS = (
 STRONG_TEXTS = (
     "excellent amazing wonderful fantastic",
     "excellent amazing wonderful fantastic great good best love awesome",
-    "excellent amazing wonderful fantastic great good best love awesome perfect outstanding superb "
-    "brilliant fabulous incredible delightful impressive exceptional satisfied happy pleased enjoy "
-    "recommend beautiful stunning remarkable favorite phenomenal loved thrilled excited glad grateful "
-    "appreciate positive success",
+    " ".join(w for w in POSITIVE_WORDS if " " not in w),
 )
 REVIEW_TEXTS = tuple(SAMPLE_REVIEWS) + EDGE_TEXTS + STRONG_TEXTS
 
@@ -63,7 +61,7 @@ DEMO_VALENCE = {
 
 # Demo classifier labels and demo answers.
 DEMO_CLASSES = ("POSITIVE", "NEGATIVE", "LABEL_2")
-DEMO_NULL_EVERY = 11
+DEMO_NULL_EVERY, DEMO_NO_SCORE_EVERY, DEMO_RAISE_EVERY = 11, 13, 7
 DEMO_ANSWERS = (
     "Positive 85",
     "Positive, 95.5",
@@ -97,11 +95,12 @@ def review_view_sql() -> str:
 
 def demo_classifier(texts: pd.Series) -> pd.DataFrame:
     """Deterministic stand-in for a classifier: class by input length mod 3,
-    score ((len * 37) mod 100) / 100, no result when len is a multiple of 11."""
+    score ((len * 37) mod 100) / 100, no result when len is a multiple of 11,
+    a label without a score when it is a multiple of 13."""
     n = texts.str.len().fillna(0).astype("int64").to_numpy()
     labels = np.array(DEMO_CLASSES, dtype=object)[n % 3]
     labels = np.where(n % DEMO_NULL_EVERY == 0, None, labels)
-    scores = ((n * 37) % 100) / 100.0
+    scores = np.where(n % DEMO_NO_SCORE_EVERY == 0, np.nan, ((n * 37) % 100) / 100.0)
     return pd.DataFrame({"label": labels, "score": scores})
 
 
@@ -113,10 +112,23 @@ def demo_classifier_sql(input_expr: str) -> tuple[str, str]:
         + " ".join(f"WHEN {n} % 3 = {i} THEN {q(c)}" for i, c in enumerate(DEMO_CLASSES))
         + " END"
     )
-    score = f"CAST(({n} * 37) % 100 AS DOUBLE) / CAST(100.0 AS DOUBLE)"
+    score = f"CASE WHEN {n} % {DEMO_NO_SCORE_EVERY} <> 0 THEN CAST(({n} * 37) % 100 AS DOUBLE) / CAST(100.0 AS DOUBLE) END"
     return label, score
 
 
+def failing_classifier(texts: pd.Series) -> pd.DataFrame:
+    """:func:`demo_classifier` that raises on inputs whose length is a multiple
+    of 7, as a model does that cannot take some text."""
+    if (texts.str.len() % DEMO_RAISE_EVERY == 0).any():
+        raise RuntimeError("the model cannot take this text")
+    return demo_classifier(texts)
+
+
+def failing_classifier_sql(input_expr: str) -> tuple[str, str]:
+    label, score = demo_classifier_sql(input_expr)
+    return f"CASE WHEN length({input_expr}) % {DEMO_RAISE_EVERY} <> 0 THEN {label} END", score
+
+
 def demo_responder(prompts: pd.Series) -> list:
     """Deterministic stand-in for a language model: answer by prompt length."""
     k = len(DEMO_ANSWERS)

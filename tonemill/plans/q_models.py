@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonemill.functions import models as M
+from tonemill.functions import valence as V
 from tonemill.functions.numeric import py_round
 from tonemill.functions.rules import to_percent
 from tonemill.operators import ensemble, registry, scoring, valence
@@ -18,12 +19,15 @@ from tonemill.plans.fixtures import (
     demo_responder,
     demo_valence_rules,
     demo_valence_sql,
+    failing_classifier,
+    failing_classifier_sql,
     responses_table,
     review_view,
     review_view_sql,
 )
 from tonemill.plans.registry import query
 from tonemill.plans.sql import (
+    VALENCE_TOKEN_SQL,
     binary_sql,
     pct,
     plain_answer_sql,
@@ -95,9 +99,9 @@ query("normalise_ternary", _norm_sql(ternary_sql))(_norm_query(M.normalise_terna
 
 
 # --- U3 + T20: classifier labeling with the rules fallback ----------------------
-def _scorer_sql(src_sql: str, norm_sql) -> str:
+def _scorer_sql(src_sql: str, norm_sql, raw=(_LBL, _SCR)) -> str:
     lab, conf = norm_sql("m_label", "m_score")
-    return (f"WITH src AS ({src_sql}), s AS (SELECT *, {_LBL} AS m_label, {_SCR} AS m_score FROM src), "
+    return (f"WITH src AS ({src_sql}), s AS (SELECT *, {raw[0]} AS m_label, {raw[1]} AS m_score FROM src), "
             f"n AS (SELECT *, {lab} AS n_label, {conf} AS n_conf FROM s), {rules_ctes('n').strip()} "
             f"SELECT doc_id, coalesce(n_label, r_label) AS label, {pct('coalesce(n_conf, r_conf)')} AS confidence "
             f"FROM r")
@@ -116,9 +120,18 @@ def q_label_with_scorer_inplace(spark, sf_dir):
     return out.select("doc_id", "label", "confidence")
 
 
-@query("label_with_fallback", _scorer_sql(review_view_sql(), binary_sql))
+@query("label_with_fallback", _scorer_sql(review_view_sql(), binary_sql, failing_classifier_sql(_IN512)))
 def q_label_with_fallback(spark, sf_dir):
-    out = scoring.label_with_scorer(review_view(spark, sf_dir), demo_classifier, "binary")
+    # The model raises on some inputs, has no label or no score for others.
+    out = scoring.label_with_scorer(review_view(spark, sf_dir), failing_classifier, "binary")
+    return out.select("doc_id", "label", "confidence")
+
+
+@query("label_with_loaded_model", _scorer_sql(review_view_sql(), ternary_sql))
+def q_label_with_loaded_model(spark, sf_dir):
+    # The model is built once in every Python worker.
+    model = scoring.load_once(lambda: demo_classifier)
+    out = scoring.label_with_scorer(review_view(spark, sf_dir), model, "ternary")
     return out.select("doc_id", "label", "confidence")
 
 
@@ -184,12 +197,6 @@ def q_valence_compound(spark, sf_dir):
         "doc_id", "compound")
 
 
-@query("valence_compound_inline", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
-def q_valence_compound_inline(spark, sf_dir):
-    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="inline")
-    return out.select("doc_id", "compound")
-
-
 @query("valence_compound_arrow", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
 def q_valence_compound_arrow(spark, sf_dir):
     out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="arrow")
@@ -198,7 +205,32 @@ def q_valence_compound_arrow(spark, sf_dir):
 
 @query("valence_compound_join", f"WITH {_VAL} SELECT doc_id, v_compound AS compound FROM v")
 def q_valence_compound_join(spark, sf_dir):
-    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, key="doc_id",
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="join")
+    return out.select("doc_id", "compound")
+
+
+# A lexicon of every word of the corpus, valences of five decimals.
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, 'nan')), " + q(VALENCE_TOKEN_SQL) + ", 0)) AS token FROM documents"
+_COUNTED = " + ".join(f"(length(token) - length(replace(token, '{c}', ''))) * {k}" for c, k in (("e", 104729), ("n", 15485863), ("a", 32452843)))
+_WORD_VALENCE = f"((length(token) * 7919 + {_COUNTED}) % 600001 - 300000)"
+_CORPUS_VAL = valence_ctes("documents", "doc_id", f"(SELECT token, CAST({_WORD_VALENCE} AS DOUBLE) / CAST(100000.0 AS DOUBLE) AS valence "
+                                                  f"FROM ({_WORDS})) AS lex").strip()
+
+
+def corpus_lexicon(spark, sf_dir):
+    words = docs(spark, sf_dir).select(F.explode(V.valence_tokens("text")).alias("token")).distinct()
+    return words.select("token", (F.expr(_WORD_VALENCE).cast("double") / F.lit(100000.0)).alias("valence"))
+
+
+@query("valence_corpus_arrow", f"WITH {_CORPUS_VAL} SELECT doc_id, v_compound AS compound FROM v")
+def q_valence_corpus_arrow(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), corpus_lexicon(spark, sf_dir))
+    return out.select("doc_id", "compound")
+
+
+@query("valence_corpus_join", f"WITH {_CORPUS_VAL} SELECT doc_id, v_compound AS compound FROM v")
+def q_valence_corpus_join(spark, sf_dir):
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), corpus_lexicon(spark, sf_dir),
                                    strategy="join")
     return out.select("doc_id", "compound")
 
@@ -233,14 +265,21 @@ def _votes(spark, sf_dir):
 @query("votes_long", f"WITH {_ENS_BASE} SELECT doc_id, model, ord, label, {py_round_sql("conf", 9)} AS confidence "
                      f"FROM votes")
 def q_votes_long(spark, sf_dir):
-    v = _votes(spark, sf_dir)
+    rv = review_view(spark, sf_dir).select("doc_id", "text")
+    rules = with_rules_struct(rv, "text", out="r")
+    labeled = [
+        ("rules", rules.select("doc_id", "r.*")),
+        ("valence", valence.with_valence_struct(rv, DEMO_VALENCE, out="v").select("doc_id", "v.*")),
+        ("classifier", scoring.with_scorer_struct(rules, demo_classifier, "ternary", out="c", fallback_col="r").select("doc_id", "c.*")),
+    ]
+    v = ensemble.votes_long("doc_id", labeled)
     return v.withColumn("ord", F.col("ord").cast("int")).withColumn("confidence", py_round("confidence", 9))
 
 
 @query("ensemble_vote", f"WITH {_ENS_BASE} SELECT doc_id, e_label AS label, {pct('e_conf')} AS confidence "
                         f"FROM {vote_sql('votes', 'doc_id')} e")
 def q_ensemble_vote(spark, sf_dir):
-    out = ensemble.ensemble_vote_long(_votes(spark, sf_dir), "doc_id", n_models=3)
+    out = ensemble.ensemble_vote_long(_votes(spark, sf_dir), "doc_id")
     return out.select("doc_id", "label", to_percent(F.col("confidence")).alias("confidence"))
 
 
@@ -252,6 +291,14 @@ def q_label_ensemble(spark, sf_dir):
     return out.select("doc_id", "label", "confidence")
 
 
+@query("label_ensemble_join", f"WITH {_ENS_BASE} SELECT doc_id, e_label AS label, {pct('e_conf')} AS confidence "
+                              f"FROM {vote_sql('votes', 'doc_id')} e")
+def q_label_ensemble_join(spark, sf_dir):
+    out = ensemble.label_ensemble(review_view(spark, sf_dir).select("doc_id", "text"), valence_lexicon=DEMO_VALENCE,
+                                  valence_strategy="join", classifier=demo_classifier)
+    return out.select("doc_id", "label", "confidence")
+
+
 _ENS_FREE = (f"{_REV}, {valence_ctes('rv', 'doc_id', demo_valence_sql()).strip()}, {rules_ctes('v').strip()}, "
              f"votes AS (SELECT doc_id, 0 AS ord, r_label AS label, r_conf AS conf FROM r "
              f"UNION ALL SELECT doc_id, 1, v_label, v_conf FROM r)")
@@ -319,8 +366,7 @@ def q_valence_rules(spark, sf_dir):
 
 @query("valence_rules_join", valence_rules_sql("documents", "doc_id", DEMO_VALENCE, demo_valence_rules()))
 def q_valence_rules_join(spark, sf_dir):
-    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, key="doc_id",
-                                   strategy="join", rules=demo_valence_rules())
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), DEMO_VALENCE, strategy="join", rules=demo_valence_rules())
     return out.select("doc_id", "compound")
 
 

@@ -81,15 +81,15 @@ def valence_ctes(src: str, key: str, lexicon_sql: str, text_expr: str = "text",
     ``{p}_compound`` and the valence result ``{p}_label``, ``{p}_conf``.
 
     Tokens are the regex matches in the lower-cased text; every occurrence
-    counts; valences are summed in units of 1/10000."""
+    counts; valences are summed as exact decimals."""
     toks = f"regexp_extract_all(lower(coalesce(CAST({text_expr} AS VARCHAR), 'nan')), {q(VALENCE_TOKEN_SQL)}, 0)"
-    s = f"(CAST(coalesce({p}_sum, 0) AS DOUBLE) / {d(10000.0)})"
+    s = f"(CAST(coalesce({p}_sum, 0) AS DOUBLE) / {d(1e10)})"
     comp = py_round_sql(f"least(greatest({s} / sqrt({s} * {s} + {d(15.0)}), {d(-1.0)}), {d(1.0)})", 4)
     c = f"{p}_compound"
     conf = f"least((abs({c}) + {d(1.0)}) / {d(2.0)} + {d(0.2)}, {d(0.95)})"
     return f"""
 {p}_tok AS (SELECT {key} AS {p}_key, unnest({toks}) AS {p}_token FROM {src}),
-{p}_hit AS (SELECT {p}_key, sum(CAST(round(lex.valence * {d(10000.0)}) AS BIGINT)) AS {p}_sum
+{p}_hit AS (SELECT {p}_key, CAST(sum(CAST(CAST(lex.valence AS DECIMAL(18,10)) * 10000000000 AS BIGINT)) AS BIGINT) AS {p}_sum
             FROM {p}_tok JOIN {lexicon_sql} ON lex.token = {p}_token GROUP BY {p}_key),
 {p}_c AS (SELECT s.*, {comp} AS {c} FROM {src} s LEFT JOIN {p}_hit h ON h.{p}_key = s.{key}),
 {p} AS (SELECT *,
@@ -100,12 +100,12 @@ def valence_ctes(src: str, key: str, lexicon_sql: str, text_expr: str = "text",
 
 
 def binary_sql(label: str, score: str) -> tuple[str, str]:
-    """Two-class classifier output → (label, confidence) SQL; NULLs if no label."""
+    """Two-class classifier output → (label, confidence) SQL; NULLs if no label or score."""
     up = f"upper({label})"
     boosted = f"least({score} + {d(0.05)}, {d(0.98)})"
-    lab = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({up}, 'POS') THEN 'Positive' "
+    lab = (f"CASE WHEN {label} IS NULL OR {score} IS NULL OR isnan({score}) THEN NULL WHEN contains({up}, 'POS') THEN 'Positive' "
            f"WHEN contains({up}, 'NEG') THEN 'Negative' ELSE 'Neutral' END")
-    conf = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({up}, 'POS') OR contains({up}, 'NEG') "
+    conf = (f"CASE WHEN {label} IS NULL OR {score} IS NULL OR isnan({score}) THEN NULL WHEN contains({up}, 'POS') OR contains({up}, 'NEG') "
             f"THEN {boosted} ELSE {score} END")
     return lab, conf
 
@@ -113,9 +113,9 @@ def binary_sql(label: str, score: str) -> tuple[str, str]:
 def ternary_sql(label: str, score: str) -> tuple[str, str]:
     low = f"lower({label})"
     boosted = f"least({score} + {d(0.02)}, {d(0.98)})"
-    lab = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({low}, 'positive') THEN 'Positive' "
+    lab = (f"CASE WHEN {label} IS NULL OR {score} IS NULL OR isnan({score}) THEN NULL WHEN contains({low}, 'positive') THEN 'Positive' "
            f"WHEN contains({low}, 'negative') THEN 'Negative' ELSE 'Neutral' END")
-    conf = (f"CASE WHEN {label} IS NULL THEN NULL WHEN contains({low}, 'positive') OR contains({low}, 'negative') "
+    conf = (f"CASE WHEN {label} IS NULL OR {score} IS NULL OR isnan({score}) THEN NULL WHEN contains({low}, 'positive') OR contains({low}, 'negative') "
             f"THEN {boosted} ELSE least({score}, {d(0.90)}) END")
     return lab, conf
 
