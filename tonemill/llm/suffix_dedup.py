@@ -384,7 +384,8 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     table = anchor_table(long, length)
     place = F.xxhash64("k1", "k2", "place")
     twice = table.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    found = table.join(twice, "h", "left_semi")
+    # Written, so that both join sides come straight from an exchange: only then can Spark split a hot hash.
+    found = table.join(written(twice, "repeated_hashes"), "h", "left_semi")
     places = written(found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"), F.collect_set("head").alias("heads")), "anchors")
     released(spark)
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
@@ -429,7 +430,7 @@ def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
     released(df.sparkSession)
     copies = rows.where(F.octet_length("text") >= length).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("whole"))
     lists = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
-    fate = lists.join(copies, ["k1", "k2"], "full")
+    fate = written(lists.join(copies, ["k1", "k2"], "full"), "fate")  # written: a text with very many copies can then be split
     packed = pack(rows)
     joined = packed.join(fate, ["k1", "k2"], "left").select("row", "packed", F.col("starts.low").alias("low"), F.col("starts.high").alias("high"), "whole")
     row_type = joined.schema["row"]
