@@ -131,4 +131,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     rooted = classes.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("simhash", "root").join(smallest, "root").select("simhash", "component_id")
+    named = written(named, "simhash_components")  # a plain exchange on both sides: Spark can split a fingerprint with very many rows
     return docs.join(named, "simhash").select(F.col("doc_id").alias(key), "simhash", "component_id")
