@@ -34,6 +34,7 @@ from tonemill.llm.ragged import chunks, flat, map_batches
 
 BITS = 12
 PER_LANGUAGE = 400
+MAX_BROADCAST = 10_000
 # Which languages are closely related.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
@@ -165,14 +166,12 @@ class Model:
 
 def fit(train: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Train on rows with a language and a text."""
-    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("h")
-
-    def first(df):
-        return df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-
-    cut = first(rows.select("lang", "h")).groupBy("lang").agg(F.max("h").alias("cut"))  # one row per language
-    near = rows.join(cut, "lang").where("h <= cut").select("lang", "h", "text")
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    # Hashes are spread evenly, so twice the wanted share of them leaves about
+    # twice the wanted rows of each language for the exact choice.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row per language
+    near = rows.join(F.broadcast(counts) if counts.count() <= MAX_BROADCAST else counts, "lang")
+    near = near.where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2.0 * per_language).select("lang", "h", "text")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         data, offsets = flat(batch.column("text"))
@@ -180,7 +179,8 @@ def fit(train: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col:
         return {"text": pa.array(parts, pa.binary())}
 
     featured = map_batches(near, run, {"text": BinaryType()})
-    picked = first(featured).collect()  # per_language rows of each language
+    order = Window.partitionBy("lang").orderBy("h")
+    picked = featured.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).collect()  # per_language rows of each language
     by = {}
     for r in sorted(picked, key=lambda r: (r.lang, bytes(r.text))):
         by.setdefault(r.lang, []).append(np.frombuffer(r.text, np.float16).astype(np.float32))
