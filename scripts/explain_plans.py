@@ -26,7 +26,7 @@ def main():
         exchanges = re.findall(r"Exchange (\w+)", plan)
         print(f"{name:28s} exchanges={exchanges} "
               f"BHJ={plan.count('BroadcastHashJoin')} SMJ={plan.count('SortMergeJoin')} "
-              f"python={len(re.findall(r'MapInPandas|MapInArrow', plan))} window={plan.count('Window [')} "
+              f"python={len(re.findall(r'MapInPandas|MapInArrow|ArrowEvalPython|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas', plan))} window={plan.count('Window [')} "
               f"generate={plan.count('Generate ')}")
     spark.stop()
 
