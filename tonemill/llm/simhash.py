@@ -117,7 +117,8 @@ def links(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
     probes = prints.select(F.col("simhash").alias("a"), F.explode(F.array(*[F.struct(F.lit(k).alias("segment"), value(shift, width).alias("value"), F.lit(k).alias("k")) for k, shift, width, _ in parts])).alias("s"))
     ball = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for *_, masks in parts])
     probes = probes.select("a", "s.segment", F.col("s.value").alias("centre"), F.explode(F.get(ball, F.col("s.k"))).alias("mask")).select("a", "segment", F.col("centre").bitwiseXOR(F.col("mask")).alias("value"))
-    found = probes.join(table.select("b", "s.segment", "s.value"), ["segment", "value"])
+    # A merge join by name: Spark takes an exploded side for as small as its source, and would broadcast it.
+    found = probes.hint("merge").join(table.select("b", "s.segment", "s.value"), ["segment", "value"])
     return found.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
 
