@@ -77,7 +77,20 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, b, unnest(range(octet_length(b) - 399)) AS i FROM docs WHERE octet_length(b) >= 400),
+counted AS (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM (SELECT rid, i, md5(b[i + 1:i + 400]) AS h FROM starts)),
+repeated AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM counted WHERE n > 1),
+numbered AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM repeated),
+runs AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY rid, run),
+gone AS (SELECT rid, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS begins, list(z ORDER BY a) AS ends FROM runs GROUP BY rid),
+kept AS (SELECT doc_id, b, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  list_concat([0], coalesce(ends, [])) AS froms, list_concat(coalesce(begins, []), [octet_length(b)]) AS upto FROM docs LEFT JOIN gone USING (rid))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, n_removed, n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda k: CASE WHEN froms[k] < upto[k] THEN hex(b[froms[k] + 1:upto[k]]) ELSE '' END), ''))) AS kept_sha256
+FROM kept
+""")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document left after repeated 400-byte strings are cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
