@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from tonemill.llm.ragged import chunks, flat, map_batches, mix, word_hashes
+from tonemill.llm.ragged import chunks, flat, in_batches, map_batches, mix, word_hashes
 from tonemill.llm.simhash import words
 
 STATISTICS = (
@@ -141,7 +141,7 @@ def moments(train: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.n
         for c, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["label", "m"])
 
-    parts = train.mapInArrow(partial, "label int, m array<double>")
+    parts = in_batches(train, partial, "label int, m array<double>")
     rows = parts.select("label", F.posexplode("m").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v")).collect()  # 2 classes x (d + 1)^2
     out = {}
     for c in {r.label for r in rows}:
@@ -187,7 +187,7 @@ def link(train: DataFrame, model: Model) -> Model:
         label, at = counts.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[label, at])], names=["label", "bin", "n"])
 
-    rows = train.mapInArrow(binned, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()  # 2 x BINS at most
+    rows = in_batches(train, binned, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()  # 2 x BINS at most
     d = np.array([r.bin for r in rows]) * 2 * SPAN / BINS - SPAN
     y, w = np.array([r.label for r in rows], float), np.array([r.n for r in rows], float)
     model.slope, model.offset = logistic(d, y, w)

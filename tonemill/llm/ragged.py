@@ -10,7 +10,9 @@ about a million bytes, so working arrays stay small whatever the batch holds
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql.types import StructField, StructType
 from tonemill.session import checkpoint_dir, scratch_path
 
 CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +79,36 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def slices(batches, size: int = SLICE_BYTES):
+    """Arrow batches cut into batches of about ``size`` bytes (one row at
+    least): what a task holds at a time follows this, not the batch's rows."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size // max(batch.nbytes, 1)))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` in small batches: on their way to Python they are capped
+    at ``ARROW_BYTES`` (a session that sets less keeps its value), ``run`` gets
+    slices of them, and a task that ends gives freed memory back, since idle
+    workers are kept for the next task."""
+    conf = df.sparkSession.conf
+    number, unit = re.match(r"(-?\d+)([kmgt]?)", conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+    def task(batches):
+        yield from run(slices(batches))
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass  # another C library: it keeps its memory
+
+    return df.mapInArrow(task, schema)
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every (start, length), end to end."""
     total = int(lengths.sum())
@@ -99,7 +133,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array
             columns = dict(zip([names.get(n.lower(), n) for n in keep], batch.columns)) | fn(batch)
             yield pa.RecordBatch.from_arrays([columns[n] for n in order], names=order)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

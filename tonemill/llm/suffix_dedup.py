@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tonemill.llm.ragged import chunks, flat, mix, released, spans, word_hashes, written
+from tonemill.llm.ragged import chunks, flat, in_batches, mix, released, spans, word_hashes, written
 
 LENGTH = 400
 GRAM = 8
@@ -123,7 +123,7 @@ def anchor_table(texts: DataFrame, length: int) -> DataFrame:
                 packed = (place - at[doc]) << 24 | back << 12 | fore
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[a:b][doc]), pa.array(k2[a:b][doc]), pa.array(packed), pa.array(heads, pa.binary())], names=["h", "k1", "k2", "place", "head"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, place long, head binary")
+    return in_batches(texts.select("k1", "k2", "text"), run, "h long, k1 long, k2 long, place long, head binary")
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -145,7 +145,7 @@ def pack(texts: DataFrame) -> DataFrame:
             raw = [squeezed(data[s:e].tobytes()) for s, e in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(raw, pa.binary())], names=names + ["packed"])
 
-    return texts.mapInArrow(run, StructType(fields + [StructField("packed", BinaryType())]))
+    return in_batches(texts, run, StructType(fields + [StructField("packed", BinaryType())]))
 
 
 # A run: sorted, front-coded suffixes of one task ---------------------------
@@ -373,7 +373,7 @@ def build_runs(texts: DataFrame, splitters: list[bytes], length: int) -> DataFra
         if items:
             yield flush(items)
 
-    return texts.mapInArrow(run, RUNS)
+    return in_batches(texts, run, RUNS)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -446,5 +446,5 @@ def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
             kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("row")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "original", *new])
 
-    out = joined.mapInArrow(run, StructType([row_type, StructField("original", BinaryType())] + [StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in new.items()]))
+    out = in_batches(joined, run, StructType([row_type, StructField("original", BinaryType())] + [StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in new.items()]))
     return out.select(*[F.decode("original", "UTF-8").alias(text_col) if f.name == text_col else F.col(f"row.`{f.name}`") for f in carried], *new)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tonemill.llm.bpe import EncoderSource, default_vocabulary
-from tonemill.llm.ragged import chunks, flat
+from tonemill.llm.ragged import chunks, flat, in_batches
 
 RULES = ("start", "majority", "each")
 
@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text_col: str = "text", sec
     picked = df.select(*chosen)
     struct = StructType([StructField(n, IntegerType() if n == "section" else LongType()) for n in names])
     carried = [f for f in picked.schema.fields if f.name not in ("text", "bounds")]
-    counted = picked.mapInArrow(run, StructType(carried + [StructField("doc_tokens", LongType()), StructField("parts", ArrayType(struct))]))
+    counted = in_batches(picked, run, StructType(carried + [StructField("doc_tokens", LongType()), StructField("parts", ArrayType(struct))]))
     out = counted.select(*[f.name for f in carried], "doc_tokens", F.inline("parts"))
     name = [F.get("sections", F.col("section"))["name"].alias("name")] if sections else []
     return out.select(F.col("key").alias(key), "section", *name, "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens")

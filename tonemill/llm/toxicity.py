@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from tonemill.llm.quality import logistic
-from tonemill.llm.ragged import chunks, flat, map_batches, mix, word_hashes
+from tonemill.llm.ragged import chunks, flat, in_batches, map_batches, mix, word_hashes
 from tonemill.llm.simhash import words
 
 BUCKET_BITS = 20
@@ -94,7 +94,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["triple", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()  # 28^3 at most
+    rows = in_batches(docs.select(text_col), count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()  # 28^3 at most
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
         counts[r.triple] = r.n
@@ -355,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
         for s in range(0, len(columns[0]), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(c[s:s + 65536], pa.int64()) for c in columns], names=["bucket", "n0", "n1"])
 
-    counted = slim.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = in_batches(slim, count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rows = np.array([(r.bucket, r.n0, r.n1) for r in counted.where("bucket = -1 or n1 >= 3 and n1 > n0").collect()], np.int64).reshape(-1, 3)  # at most one per bucket
     (n0, n1), words_seen = rows[rows[:, 0] < 0][0, 1:], rows[rows[:, 0] >= 0]
     if not n0 or not n1:
@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
         y, at = total.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(at, pa.int64()), pa.array(total[y, at])], names=["y", "bin", "n"])
 
-    bins = slim.mapInArrow(evidence, "y long, bin long, n long").groupBy("y", "bin").agg(F.sum("n").alias("n")).collect()  # 2 x BINS at most
+    bins = in_batches(slim, evidence, "y long, bin long, n long").groupBy("y", "bin").agg(F.sum("n").alias("n")).collect()  # 2 x BINS at most
     if not bins:
         return base
     x, y, n = (np.array([r[k] for r in bins], float) for k in ("bin", "y", "n"))
