@@ -87,7 +87,8 @@ def test_merge_never_compares_known_prefixes(monkeypatch):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_random_passages(spark, seed):
+def test_random_passages(spark, seed, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_PLACES", 4 if seed == 3 else 100_000)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     passages = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(6)]
@@ -105,7 +106,9 @@ def test_random_passages(spark, seed):
     check(spark, texts, 32)
 
 
-def test_hot_passage_in_near_copies(spark):
+@pytest.mark.parametrize("hot", [3, 40, 10**6])
+def test_hot_passage_in_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT_PLACES", hot)
     rng = random.Random(9)
     base = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120))
     texts = [base]

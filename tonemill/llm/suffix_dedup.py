@@ -21,6 +21,9 @@ their anchors at equal distance, and consecutive strings share anchors. So:
    lengths are ordered without looking at the strings, equal ones are compared
    only beyond it. The output's common prefixes show which suffixes agree far
    enough; their strings are counted start by start.
+   Anchors whose hash stands at over ``HOT_PLACES`` places (near copies by the
+   hundred thousand) are not merged in one range: their strings are counted
+   over the whole cluster, by hash.
 4. The repeated starts go back to the texts, whose bytes are cut there.
 
 Texts are told apart by two 64-bit hashes; a text that occurs twice is repeated
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tonemill.llm.ragged import chunks, flat, in_batches, mix, released, spans, word_hashes, written
+from tonemill.llm.ragged import chunks, flat, in_batches, mix, released, slices, spans, word_hashes, written
 
 LENGTH = 400
 GRAM = 8
@@ -53,6 +56,7 @@ HEAD_BYTES = 32
 SAMPLE = 20_000
 RUN_BYTES = 24 << 20
 RANGE_BYTES = 16 << 20
+HOT_PLACES = 100_000
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
 
@@ -383,17 +387,21 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     long = texts.where(F.octet_length("text") >= length)
     table = anchor_table(long, length)
     place = F.xxhash64("k1", "k2", "place")
-    twice = table.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+    twice = table.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), (F.count(F.lit(1)) > HOT_PLACES).alias("hot")).where("a <> b").select("h", "hot")
     # Written, so that both join sides come straight from an exchange: only then can Spark split a hot hash.
-    found = table.join(written(twice, "repeated_hashes"), "h", "left_semi")
-    places = written(found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"), F.collect_set("head").alias("heads")), "anchors")
+    twice = written(twice, "repeated_hashes")
+    found = table.join(twice, "h")
+    cool = F.when(~F.col("hot"), F.col("place"))
+    places = found.groupBy("k1", "k2").agg(F.collect_set(cool).alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot"), F.collect_set(F.when(~F.col("hot"), F.col("head"))).alias("heads"))
+    places = written(places, "anchors")
     released(spark)
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     heads = places.select(F.explode("heads").alias("head")).distinct()
     sample = sorted(bytes(r.head) for r in heads.orderBy(F.xxhash64("head"), "head").limit(SAMPLE).collect())  # bounded by SAMPLE
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 * length // RANGE_BYTES)
     splitters = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-    joined = pack(long.select("k1", "k2", "text")).join(places.select("k1", "k2", "places"), ["k1", "k2"])
+    packed = pack(long.select("k1", "k2", "text"))
+    joined = packed.join(places.where(F.size("places") > 0).select("k1", "k2", "places"), ["k1", "k2"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["range"].iloc[0] < 0:
@@ -402,7 +410,37 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = list(repeated_starts(merge([bytes(p) for p in pdf["payload"]]), length, core))
         return pd.DataFrame(rows, columns=["k1", "k2", "low", "high"])
 
-    return build_runs(joined, splitters, length).groupBy("range").applyInPandas(settle, "k1 long, k2 long, low long, high long")
+    out = build_runs(joined, splitters, length).groupBy("range").applyInPandas(settle, "k1 long, k2 long, low long, high long")
+    if twice.where("hot").limit(1).count():
+        hot = packed.join(places.where(F.size("hot") > 0).select("k1", "k2", F.col("hot").alias("places")), ["k1", "k2"])
+        out = out.union(hot_repeats(hot, length))
+    return out
+
+
+def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
+    """Repeated starts of anchors whose hash stands at more than HOT_PLACES
+    places, more than one range should hold: their starts are spread over the
+    cluster by the hashes of their strings instead of being merged in one task.
+    ``texts`` has k1, k2, packed, places."""
+    core = length - window_of(length) + 1
+
+    def starts(batches):
+        for batch in slices(batches, 1 << 18):
+            for k1, k2, packed, places in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "packed", "places"))):
+                data, place = np.frombuffer(unsqueezed(packed), np.uint8), np.array(places, np.int64)
+                anchor, back, fore = place >> 24, place >> 12 & 4095, place & 4095
+                many = back - fore + 1
+                at = spans(anchor - back, many)
+                group = np.repeat(word_hashes(data, anchor, np.full(len(anchor), core)), many)
+                s = word_hashes(data, at, np.full(len(at), length))
+                columns = [pa.array(c.view(np.int64)) for c in (group, s)] + [pa.array(np.full(len(at), k, np.int64)) for k in (k1, k2)] + [pa.array(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["core", "s", "k1", "k2", "at"])
+
+    rows = in_batches(texts, starts, "core long, s long, k1 long, k2 long, at long")
+    own = F.xxhash64("k1", "k2", "at")
+    twice = rows.groupBy("core", "s").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("core", "s")
+    found = rows.join(written(twice, "repeated_starts"), ["core", "s"], "left_semi")
+    return found.select("k1", "k2", F.col("at").alias("low"), F.col("at").alias("high"))
 
 
 def cut(raw: bytes, lows: list[int], highs: list[int], length: int, whole: bool) -> tuple[bytes, int, int]:
@@ -431,8 +469,7 @@ def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
     copies = rows.where(F.octet_length("text") >= length).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("whole"))
     lists = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
     fate = written(lists.join(copies, ["k1", "k2"], "full"), "fate")  # written: a text with very many copies can then be split
-    packed = pack(rows)
-    joined = packed.join(fate, ["k1", "k2"], "left").select("row", "packed", F.col("starts.low").alias("low"), F.col("starts.high").alias("high"), "whole")
+    joined = pack(rows).join(fate, ["k1", "k2"], "left").select("row", "packed", F.col("starts.low").alias("low"), F.col("starts.high").alias("high"), "whole")
     row_type = joined.schema["row"]
 
     def run(batches):
