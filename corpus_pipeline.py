@@ -38,7 +38,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=3, max_bits=3)
     kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
     first = Window.partitionBy("doc_id").orderBy("n_chars", "text")
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.where("doc_id is not null").hint("merge").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
     repeated = named.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     if repeated:  # rows that share an id are one document
         named = named.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")

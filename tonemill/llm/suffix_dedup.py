@@ -400,7 +400,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     sample = sorted(bytes(r.head) for r in heads.orderBy(F.xxhash64("head"), "head").limit(SAMPLE).collect())  # bounded by SAMPLE
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 * length // RANGE_BYTES)
     splitters = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-    packed = pack(long.select("k1", "k2", "text"))
+    packed = pack(long.select("k1", "k2", "text")).hint("merge")  # neither side has a size bound
     joined = packed.join(places.where(F.size("places") > 0).select("k1", "k2", "places"), ["k1", "k2"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -469,7 +469,7 @@ def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
     copies = rows.where(F.octet_length("text") >= length).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("whole"))
     lists = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
     fate = written(lists.join(copies, ["k1", "k2"], "full"), "fate")  # written: a text with very many copies can then be split
-    joined = pack(rows).join(fate, ["k1", "k2"], "left").select("row", "packed", F.col("starts.low").alias("low"), F.col("starts.high").alias("high"), "whole")
+    joined = pack(rows).hint("merge").join(fate, ["k1", "k2"], "left").select("row", "packed", F.col("starts.low").alias("low"), F.col("starts.high").alias("high"), "whole")
     row_type = joined.schema["row"]
 
     def run(batches):
