@@ -97,6 +97,18 @@ def test_reparameterised_and_inconsistent(spark, monkeypatch):
     assert order(got) == order(want)
 
 
+def test_name_straight_after_a_unit(spark):
+    texts = ["Wait 5 days Tom said, then Ann had 7 kg Bob left", "Run 5km Paris 3 m\u0301 Rome 2 h. Oslo"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", dc.template(dc.F.col("text")).alias("t"), dc.slot_values(dc.F.col("text")).alias("v"))
+    for r in df.collect():
+        want = plain_template(r.text)
+        assert [{"\u0001": "<name>", "\u0002": "<number>", "\u0003": "<unit>"}.get(t, t) for t in r.t] == [t for t, _ in want]
+        assert [v.lower() for v in r.v] == [v for _, v in want if v is not None]
+    docs, bench = [(1, "After 5 days Tom and 7 hours Ann left. " + ITEMS[1])], [(1, ITEMS[1])]
+    got = rows(dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")))
+    assert got == brute(docs, dict(bench)) and got[0][5:] == (1.0, False)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, ITEMS[2])], "doc_id long, text string")
     bench = spark.createDataFrame([(2, ITEMS[2])], "item_id long, text string")

@@ -46,20 +46,40 @@ UNITS = (
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 UNIT = rf"(?<=\p{{Nd}}\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])"
 NAME = r"(?<=[^.!?\s]\s)\p{Lu}\p{Ll}+(?!\p{L})"
-SLOT = f"{UNIT}|{NAME}|{NUMBER}"
 MARKS = "\u0001\u0002\u0003"  # name, number, unit
+PIECE = rf"\u0002{NUMBER}|[\u0001\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
+
+
+def pieces(text: Column) -> Column:
+    """Lower-cased words of a text; a placeholder's mark stands before its value."""
+    text = F.regexp_replace(F.translate(text, MARKS, "   "), NAME, "\u0001$0")
+    text = F.regexp_replace(F.regexp_replace(text, UNIT, "\u0003$0"), NUMBER, "\u0002$0")
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lower)
+
+
+def is_slot(piece: Column) -> Column:
+    return F.substring(piece, 1, 1).between("\u0001", "\u0003")
+
+
+def as_token(piece: Column) -> Column:
+    """A piece without its value, if it is a placeholder."""
+    return F.when(is_slot(piece), F.substring(piece, 1, 1)).otherwise(piece)
 
 
 def template(text: Column) -> Column:
     """Tokens of a text's template."""
-    text = F.regexp_replace(F.translate(text, MARKS, "   "), UNIT, " \u0003 ")
-    text = F.regexp_replace(F.regexp_replace(text, NAME, " \u0001 "), NUMBER, " \u0002 ")
-    return F.filter(F.split(F.lower(text), f"[^\\p{{L}}\\p{{M}}{MARKS}]+"), lambda t: t != "")
+    return F.transform(pieces(text), as_token)
+
+
+def slots(parts: Column) -> Column:
+    """(place from 0, value) of every placeholder among a text's pieces."""
+    found = F.transform(parts, lambda t, i: F.when(is_slot(t), F.struct(i.alias("place"), F.substr(t, F.lit(2)).alias("value"))))
+    return F.filter(found, lambda s: s.isNotNull())
 
 
 def slot_values(text: Column) -> Column:
     """What the placeholders of ``template`` stand for, in their order."""
-    return F.regexp_extract_all(F.translate(text, MARKS, "   "), F.lit(SLOT), F.lit(0))
+    return F.transform(slots(pieces(text)), lambda s: s["value"])
 
 
 def is_mark(token: Column) -> Column:
@@ -110,32 +130,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col
     pairs = found.groupBy("doc_id", "text_hash", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("start", "place", "size")).alias("hits"))
     pairs = written(pairs.withColumn("coverage", share).where(F.col("coverage") >= coverage), "pairs")
 
-    slots = slot_pairs(pairs, texts, items)
+    paired = slot_pairs(pairs, texts, items)
     owner = ["doc_id", "text_hash", "item_id"]
     same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in owner]
-    judged = pairs.drop("hits").join(slots.select(*[F.col(c).alias(f"s_{c}") for c in owner], "n_slots", "agreeing", "changed"), same[0] & same[1] & same[2], "left")
+    judged = pairs.drop("hits").join(paired.select(*[F.col(c).alias(f"s_{c}") for c in owner], "n_slots", "agreeing", "changed"), same[0] & same[1] & same[2], "left")
     judged = judged.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistency": F.coalesce(F.col("agreeing") / F.col("n_slots"), F.lit(1.0)), "reworded": F.coalesce("changed", F.lit(False))})
     return judged.where(F.col("consistency") >= consistency).select(F.col("doc_id").alias(key), "item_id", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "reworded")
 
 
-def places_of_marks(tokens: Column) -> Column:
-    """Positions (from 0) of the placeholders in a template."""
-    return F.filter(F.transform(tokens, lambda t, i: F.when(is_mark(t), i)), lambda i: i.isNotNull())
-
-
 def slot_pairs(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """Per (doc_id, text_hash, item_id): slot pairs, those that agree with the
     most frequent partner of the item's value, and whether any value changed."""
-    slots = items.select("item_id", F.inline(F.arrays_zip(places_of_marks(F.col("tokens")).alias("mark"), slot_values(F.col("item")).alias("value"))))
+    marks = items.select("item_id", F.inline(slots(pieces(F.col("item")))).alias("mark", "value"))
     hits = pairs.select("doc_id", "text_hash", "item_id", F.inline("hits"))
-    met = hits.join(slots, "item_id").where("mark >= start and mark < start + size")
-    met = written(met.select("doc_id", "text_hash", "item_id", F.lower("value").alias("value"), "mark", (F.col("mark") - F.col("start") + F.col("place")).alias("at")).distinct(), "slots")
+    met = hits.join(marks, "item_id").where("mark >= start and mark < start + size")
+    met = written(met.select("doc_id", "text_hash", "item_id", "value", "mark", (F.col("mark") - F.col("start") + F.col("place")).alias("at")).distinct(), "slots")
     keys = met.select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"))
     n_keys = keys.count()
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     whole = texts.join(within(n_keys, keys), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    values = whole.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.inline(F.arrays_zip(places_of_marks(template(F.col("text"))).alias("at_doc"), slot_values(F.col("text")).alias("other"))))
-    both = met.join(values, same & (F.col("at") == F.col("at_doc"))).select("doc_id", "text_hash", "item_id", "mark", "value", F.lower("other").alias("other"))
+    values = whole.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.inline(slots(pieces(F.col("text")))).alias("at_doc", "other"))
+    both = met.join(values, same & (F.col("at") == F.col("at_doc"))).select("doc_id", "text_hash", "item_id", "mark", "value", "other")
     counted = both.groupBy("doc_id", "text_hash", "item_id", "value", "other").agg(F.count(F.lit(1)).alias("n"))
     per_value = counted.groupBy("doc_id", "text_hash", "item_id", "value").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max(F.col("other") != F.col("value")).alias("changed"))
     return per_value.groupBy("doc_id", "text_hash", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("top").alias("agreeing"), F.max("changed").alias("changed"))
