@@ -109,6 +109,16 @@ def test_name_straight_after_a_unit(spark):
     assert got == brute(docs, dict(bench)) and got[0][5:] == (1.0, False)
 
 
+def test_items_with_few_plain_words(spark):
+    items = [(1, "What is 15% of 240?"), (2, "Solve 3x + 5 = 20"), (3, "Compute 12 * 34"), (4, ITEMS[4]), (5, "Add 1 2 3 4 5 6 7 8 9 to the sum of all the old apples")]
+    docs = [(k, f"Some words before. {t} And some more.") for k, t in items]
+    docs += [(11, "What is 16% of 240?"), (12, "Solve 3x + 5 = 21"), (13, "compute 13 * 34"), (14, "1 2 3 4 5 6 7 8 9 10 11"), (15, items[4][1].replace(" 9 ", " 77 ")), (16, "5 10 15 20 25 30 35 40 and others"), (17, "1 2 3 4 5 6 7 8 9 to the end")]
+    got = {(r.doc_id, r.item_id): r for r in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (15, 5), (16, 4), (17, 5)}
+    assert all(r.consistency == 1 for r in got.values()) and [k for k, r in got.items() if r.reworded] == [(15, 5)]
+    assert got[16, 4].coverage == 1 / 3 and got[15, 5].coverage == 1
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, ITEMS[2])], "doc_id long, text string")
     bench = spark.createDataFrame([(2, ITEMS[2])], "item_id long, text string")

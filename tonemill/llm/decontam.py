@@ -4,8 +4,9 @@ Numbers, names (capitalised words inside a sentence) and units after a number
 become typed placeholders; the rest is lower-cased words. Windows of ``window``
 tokens of these templates are hashed on both sides and joined, so a question
 whose numbers or names were exchanged still matches. Windows with fewer than
-``LITERALS`` plain words are too common to tell anything and are left out. For
-each document and item
+``LITERALS`` plain words (or, if shorter, with any slot) are too common as
+templates; they are hashed with their slots' values and match verbatim only.
+For each document and item
 
 * ``coverage`` is the share of the item's distinct windows found, and
 * ``consistency`` the share of slot pairs (value in the item, value at the same
@@ -13,20 +14,23 @@ each document and item
   item's value: an item re-parameterised in earnest maps each of its values to
   one new value throughout.
 
-A document is reported with an item if both reach their thresholds. Items with
+A document is reported with an item if both reach their thresholds, over the
+item's template windows or, if it has exact ones too, over all its windows. Items with
 fewer tokens than ``window`` use one window of their own length.
 
 The window join carries keys, positions and hashes, no text. The benchmark's
 windows are broadcast only up to ``BROADCAST_ROWS`` of them, and the reported
 documents' keys likewise; beyond that both are shuffle joins.
 
-Defined cases: null and empty texts and items match nothing, nor do items
-without a window of enough plain words; a repeated document row is reported
+Defined cases: null and empty texts and items match nothing; signs between words
+do not count, so "12 * 34" is "12 + 34"; a repeated document row is reported
 once per distinct text of its key; repeated items with one id count as one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,9 @@ WINDOW = 8
 LITERALS = 4
 COVERAGE, CONSISTENCY = 0.3, 0.8
 BROADCAST_ROWS = 1_000_000
+OWNER = ["doc_id", "text_hash", "item_id"]
+READ = [*OWNER, "reading"]
+TEMPLATES, ALL = 0, 1
 # Units of measure that become placeholders after a number.
 UNITS = (
     "mm", "cm", "m", "km", "inches", "inch", "feet", "foot", "ft", "yards", "yard", "miles", "mile", "mg", "g", "kg", "grams", "gram", "kilograms", "kilogram",
@@ -82,26 +89,28 @@ def slot_values(text: Column) -> Column:
     return F.transform(slots(pieces(text)), lambda s: s["value"])
 
 
-def is_mark(token: Column) -> Column:
-    return token.between("\u0001", "\u0003") & (F.length(token) == 1)
+def hashed(parts: Column) -> list[Column]:
+    """What ``windows`` needs of a text's pieces."""
+    return [F.transform(parts, lambda t: F.xxhash64(as_token(t))).alias("tokens"), F.transform(parts, lambda t: F.xxhash64(t)).alias("exact_tokens"), F.transform(parts, is_slot).alias("slot")]
 
 
-def windows(tokens: str, size: Column | int) -> Column:
-    """Hash of every window of ``size`` hashed tokens in array column ``tokens``."""
+def windows(size: Column | int, literals: int) -> Column:
+    """(hash, exact) of every window of ``size`` pieces: of its template, or with
+    the slots' values if it has fewer than ``literals`` plain words."""
     size = F.lit(size) if isinstance(size, int) else size
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))
+    starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(1), F.size("tokens") - size + 1)).otherwise(F.array().cast("array<int>"))
+    exact = lambda i: F.size(F.filter(F.slice("slot", i, size), lambda s: ~s)) < F.least(F.lit(literals), size)
+    each = F.transform(starts, lambda i: F.struct(i.alias("i"), exact(i).alias("exact")))
+    return F.transform(each, lambda w: F.struct(F.xxhash64(F.when(w["exact"], F.slice("exact_tokens", w["i"], size)).otherwise(F.slice("tokens", w["i"], size))).alias("hash"), w["exact"].alias("exact")))
 
 
 def item_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, size, hash, start, n_windows): distinct windows of each item,
-    ``start`` counted from 0."""
-    parts = items.select("item_id", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("size")).where("size > 0")
-    parts = parts.withColumn("hashed", F.transform("tokens", lambda t: F.xxhash64(t)))
-    rows = parts.select("item_id", "size", "tokens", F.posexplode(windows("hashed", F.col("size"))).alias("start", "hash"))
-    plain = F.size(F.filter(F.slice("tokens", F.col("start") + 1, F.col("size")), lambda t: ~is_mark(t)))
-    rows = rows.where(plain >= F.least(F.lit(literals), F.col("size"))).groupBy("item_id", "size", "hash").agg(F.min("start").alias("start"))
-    totals = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    """(item_id, size, hash, exact, start, n_windows, n_all): distinct windows of
+    each item, ``start`` counted from 0; ``n_windows`` are those not exact."""
+    parts = items.select("item_id", *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
+    rows = parts.select("item_id", "size", F.posexplode(windows(F.col("size"), literals)).alias("start", "w")).select("item_id", "size", "w.hash", "w.exact", "start")
+    rows = rows.groupBy("item_id", "size", "hash", "exact").agg(F.min("start").alias("start"))
+    totals = rows.groupBy("item_id").agg(F.count_if(~F.col("exact")).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
     return rows.join(totals, "item_id")
 
 
@@ -115,42 +124,52 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col
     reworded): the documents that hold an item, or one like it in other values."""
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
     items = benchmark.select("item_id", F.col("text").alias("item")).where("item is not null").groupBy("item_id").agg(F.min("item").alias("item"))
-    items = items.withColumn("tokens", template(F.col("item")))
+    items = items.withColumn("pieces", pieces(F.col("item")))
     wanted = written(item_windows(items, window, literals), "item_windows")
     sizes = sorted(r.size for r in wanted.select("size").distinct().collect())  # at most ``window`` numbers
     n_wanted = wanted.count()
 
-    tokens = texts.select("doc_id", "text_hash", F.transform(template(F.col("text")), lambda t: F.xxhash64(t)).alias("hashed"))
-    per_size = [F.struct(F.lit(s).alias("size"), windows("hashed", s).alias("hashes")) for s in sizes or [window]]
-    by_size = tokens.select("doc_id", "text_hash", F.inline(F.array(*per_size)))
-    found = by_size.select("doc_id", "text_hash", "size", F.posexplode("hashes").alias("place", "hash"))
-    found = found.join(within(n_wanted, wanted), ["size", "hash"])
-    found = found.groupBy("doc_id", "text_hash", "item_id", "hash").agg(F.min("place").alias("place"), F.first("start").alias("start"), F.first("n_windows").alias("n_windows"), F.first("size").alias("size"))
+    parts = texts.select("doc_id", "text_hash", pieces(F.col("text")).alias("pieces")).select("doc_id", "text_hash", *hashed(F.col("pieces")))
+    per_size = [F.struct(F.lit(s).alias("size"), windows(s, literals).alias("hashes")) for s in sizes or [window]]
+    by_size = parts.select("doc_id", "text_hash", F.inline(F.array(*per_size)))
+    found = by_size.select("doc_id", "text_hash", "size", F.posexplode("hashes").alias("place", "w")).select("doc_id", "text_hash", "size", "place", "w.hash", "w.exact")
+    found = found.join(within(n_wanted, wanted), ["size", "hash", "exact"])
+    found = found.groupBy("doc_id", "text_hash", "item_id", "hash", "exact").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("start", "n_windows", "n_all", "size")])
     share = F.col("n_matched") / F.col("n_windows")
-    pairs = found.groupBy("doc_id", "text_hash", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("start", "place", "size")).alias("hits"))
+    found = found.withColumn("reading", F.explode(readings()))
+    total = F.when(F.col("reading") == TEMPLATES, F.col("n_windows")).otherwise(F.col("n_all"))
+    pairs = found.groupBy("doc_id", "text_hash", "item_id", "reading").agg(F.count(F.lit(1)).alias("n_matched"), F.first(total).alias("n_windows"), F.collect_list(F.struct("start", "place", "size")).alias("hits"))
     pairs = written(pairs.withColumn("coverage", share).where(F.col("coverage") >= coverage), "pairs")
 
     paired = slot_pairs(pairs, texts, items)
-    owner = ["doc_id", "text_hash", "item_id"]
-    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in owner]
-    judged = pairs.drop("hits").join(paired.select(*[F.col(c).alias(f"s_{c}") for c in owner], "n_slots", "agreeing", "changed"), same[0] & same[1] & same[2], "left")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in READ]
+    judged = pairs.drop("hits").join(paired.select(*[F.col(c).alias(f"s_{c}") for c in READ], "n_slots", "agreeing", "changed"), reduce(Column.__and__, same), "left")
     judged = judged.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistency": F.coalesce(F.col("agreeing") / F.col("n_slots"), F.lit(1.0)), "reworded": F.coalesce("changed", F.lit(False))})
-    return judged.where(F.col("consistency") >= consistency).select(F.col("doc_id").alias(key), "item_id", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "reworded")
+    out = ["n_matched", "n_windows", "coverage", "n_slots", "consistency", "reworded"]
+    best = judged.where(F.col("consistency") >= consistency).groupBy(*OWNER).agg(F.min(F.struct("reading", *out)).alias("best"))
+    return best.select(F.col("doc_id").alias(key), "item_id", *[f"best.{c}" for c in out])
+
+
+def readings() -> Column:
+    """The readings that a hit counts for: an item with exact windows is read by
+    its template windows alone (values may change) and by all of its windows."""
+    every = F.array(F.when(~F.col("exact"), F.lit(TEMPLATES)), F.when(F.col("n_all") > F.col("n_windows"), F.lit(ALL)))
+    return F.filter(every, lambda r: r.isNotNull())
 
 
 def slot_pairs(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
-    """Per (doc_id, text_hash, item_id): slot pairs, those that agree with the
+    """Per READ: slot pairs, those that agree with the
     most frequent partner of the item's value, and whether any value changed."""
-    marks = items.select("item_id", F.inline(slots(pieces(F.col("item")))).alias("mark", "value"))
-    hits = pairs.select("doc_id", "text_hash", "item_id", F.inline("hits"))
+    marks = items.select("item_id", F.inline(slots(F.col("pieces"))).alias("mark", "value"))
+    hits = pairs.select(*READ, F.inline("hits"))
     met = hits.join(marks, "item_id").where("mark >= start and mark < start + size")
-    met = written(met.select("doc_id", "text_hash", "item_id", "value", "mark", (F.col("mark") - F.col("start") + F.col("place")).alias("at")).distinct(), "slots")
+    met = written(met.select(*READ, "value", "mark", (F.col("mark") - F.col("start") + F.col("place")).alias("at")).distinct(), "slots")
     keys = met.select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"))
     n_keys = keys.count()
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     whole = texts.join(within(n_keys, keys), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     values = whole.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.inline(slots(pieces(F.col("text")))).alias("at_doc", "other"))
-    both = met.join(values, same & (F.col("at") == F.col("at_doc"))).select("doc_id", "text_hash", "item_id", "mark", "value", "other")
-    counted = both.groupBy("doc_id", "text_hash", "item_id", "value", "other").agg(F.count(F.lit(1)).alias("n"))
-    per_value = counted.groupBy("doc_id", "text_hash", "item_id", "value").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max(F.col("other") != F.col("value")).alias("changed"))
-    return per_value.groupBy("doc_id", "text_hash", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("top").alias("agreeing"), F.max("changed").alias("changed"))
+    both = met.join(values, same & (F.col("at") == F.col("at_doc"))).select(*READ, "mark", "value", "other")
+    counted = both.groupBy(*READ, "value", "other").agg(F.count(F.lit(1)).alias("n"))
+    per_value = counted.groupBy(*READ, "value").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max(F.col("other") != F.col("value")).alias("changed"))
+    return per_value.groupBy(*READ).agg(F.sum("n").alias("n_slots"), F.sum("top").alias("agreeing"), F.max("changed").alias("changed"))
