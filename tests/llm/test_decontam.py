@@ -119,6 +119,20 @@ def test_items_with_few_plain_words(spark):
     assert got[16, 4].coverage == 1 / 3 and got[15, 5].coverage == 1
 
 
+def test_copy_after_an_inconsistent_one(spark):
+    mixed = ITEMS[1].replace("named Alice", "named Clara").replace("way Alice", "way Edith").replace("does Alice", "does Ferdi")
+    new = ITEMS[1].replace("Alice", "Clara").replace("12", "40").replace("3.50", "9").replace("Bob", "Dieter")
+    spaced = ITEMS[1].replace("dollars each", "dollars indeed each").replace("near the", "near indeed the")
+    texts = [mixed + " " + ITEMS[1], mixed + " filler text" * 300 + ". " + new, mixed + " " + spaced, mixed + " " + mixed, ITEMS[1] + " " + mixed]
+    docs = list(enumerate(texts)) + [(0, texts[0])]
+    got = {r.doc_id: r for r in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEMS[1])], "item_id long, text string")).collect()}
+    assert {k: (r.n_matched, r.n_windows, r.consistency, r.reworded) for k, r in got.items()} == {0: (28, 28, 1, False), 1: (28, 28, 1, True), 2: (14, 28, 1, False), 4: (28, 28, 1, False)}
+    twice = "In the old town a baker sells 12 loaves of white bread daily. Of those 12 loaves he eats some. In the old town a baker sells 15 loaves of white bread daily."
+    half = twice[twice.index("Of those"):] + " " + twice[twice.index("Of those"):].replace("15", "18")
+    got = dc.matches(spark.createDataFrame([(1, half)], "doc_id long, text string"), spark.createDataFrame([(1, twice)], "item_id long, text string")).collect()
+    assert [(r.consistency, r.reworded) for r in got] == [(1, False)]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, ITEMS[2])], "doc_id long, text string")
     bench = spark.createDataFrame([(2, ITEMS[2])], "item_id long, text string")

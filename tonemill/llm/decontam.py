@@ -15,7 +15,11 @@ For each document and item
   one new value throughout.
 
 A document is reported with an item if both reach their thresholds, over the
-item's template windows or, if it has exact ones too, over all its windows. Items with
+item's template windows or, if it has exact ones too, over all its windows, in
+any of three readings: the first place of each window in the whole document, a
+run of places in the item's order, or the places of one alignment (place less
+start). So a copy counts whatever else of the template stands in the document.
+The row gives the first of these readings that passes. Items with
 fewer tokens than ``window`` use one window of their own length.
 
 The window join carries keys, positions and hashes, no text. The benchmark's
@@ -31,7 +35,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.llm.ragged import written
@@ -41,8 +45,9 @@ LITERALS = 4
 COVERAGE, CONSISTENCY = 0.3, 0.8
 BROADCAST_ROWS = 1_000_000
 OWNER = ["doc_id", "text_hash", "item_id"]
-READ = [*OWNER, "reading"]
-TEMPLATES, ALL = 0, 1
+READ = [*OWNER, "reading", "part"]
+# Readings: by template windows, and those plus ALL by all windows.
+WHOLE, RUN, ALIGNED, ALL = 0, 1, 2, 3
 # Units of measure that become placeholders after a number.
 UNITS = (
     "mm", "cm", "m", "km", "inches", "inch", "feet", "foot", "ft", "yards", "yard", "miles", "mile", "mg", "g", "kg", "grams", "gram", "kilograms", "kilogram",
@@ -105,11 +110,12 @@ def windows(size: Column | int, literals: int) -> Column:
 
 
 def item_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, size, hash, exact, start, n_windows, n_all): distinct windows of
-    each item, ``start`` counted from 0; ``n_windows`` are those not exact."""
-    parts = items.select("item_id", *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
-    rows = parts.select("item_id", "size", F.posexplode(windows(F.col("size"), literals)).alias("start", "w")).select("item_id", "size", "w.hash", "w.exact", "start")
-    rows = rows.groupBy("item_id", "size", "hash", "exact").agg(F.min("start").alias("start"))
+    """(item_id, n_tokens, size, hash, exact, starts, n_windows, n_all): distinct
+    windows of each item, ``starts`` counted from 0; ``n_windows`` are those not
+    exact."""
+    parts = items.select("item_id", F.size("pieces").alias("n_tokens"), *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
+    rows = parts.select("item_id", "n_tokens", "size", F.posexplode(windows(F.col("size"), literals)).alias("start", "w")).select("item_id", "n_tokens", "size", "w.hash", "w.exact", "start")
+    rows = rows.groupBy("item_id", "n_tokens", "size", "hash", "exact").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     totals = rows.groupBy("item_id").agg(F.count_if(~F.col("exact")).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
     return rows.join(totals, "item_id")
 
@@ -134,27 +140,47 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col
     by_size = parts.select("doc_id", "text_hash", F.inline(F.array(*per_size)))
     found = by_size.select("doc_id", "text_hash", "size", F.posexplode("hashes").alias("place", "w")).select("doc_id", "text_hash", "size", "place", "w.hash", "w.exact")
     found = found.join(within(n_wanted, wanted), ["size", "hash", "exact"])
-    found = found.groupBy("doc_id", "text_hash", "item_id", "hash", "exact").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("start", "n_windows", "n_all", "size")])
-    share = F.col("n_matched") / F.col("n_windows")
-    found = found.withColumn("reading", F.explode(readings()))
-    total = F.when(F.col("reading") == TEMPLATES, F.col("n_windows")).otherwise(F.col("n_all"))
-    pairs = found.groupBy("doc_id", "text_hash", "item_id", "reading").agg(F.count(F.lit(1)).alias("n_matched"), F.first(total).alias("n_windows"), F.collect_list(F.struct("start", "place", "size")).alias("hits"))
-    pairs = written(pairs.withColumn("coverage", share).where(F.col("coverage") >= coverage), "pairs")
+    found = found.groupBy(*OWNER, "hash", "exact", "place").agg(*[F.first(c).alias(c) for c in ("starts", "n_tokens", "n_windows", "n_all", "size")])
+    found = in_runs(found).withColumn("read", F.explode(readings())).select("*", "read.*")
+    total = F.when(F.col("reading") < ALL, F.col("n_windows")).otherwise(F.col("n_all"))
+    pairs = found.groupBy(*READ).agg(F.size(F.collect_set("hash")).alias("n_matched"), F.first(total).alias("n_windows"), F.sort_array(F.collect_list(F.struct("start", "place", "size"))).alias("hits"))
+    pairs = pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    pairs = pairs.groupBy(*OWNER, "n_matched", "n_windows", "coverage", "hits").agg(F.min(F.struct("reading", "part")).alias("read"))  # readings of the same hits are one
+    pairs = written(pairs.select("*", "read.*").drop("read"), "pairs")
 
     paired = slot_pairs(pairs, texts, items)
     same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in READ]
     judged = pairs.drop("hits").join(paired.select(*[F.col(c).alias(f"s_{c}") for c in READ], "n_slots", "agreeing", "changed"), reduce(Column.__and__, same), "left")
     judged = judged.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistency": F.coalesce(F.col("agreeing") / F.col("n_slots"), F.lit(1.0)), "reworded": F.coalesce("changed", F.lit(False))})
     out = ["n_matched", "n_windows", "coverage", "n_slots", "consistency", "reworded"]
-    best = judged.where(F.col("consistency") >= consistency).groupBy(*OWNER).agg(F.min(F.struct("reading", *out)).alias("best"))
+    best = judged.where(F.col("consistency") >= consistency).groupBy(*OWNER).agg(F.min(F.struct("reading", -F.col("coverage"), -F.col("consistency"), "part", *out)).alias("best"))
     return best.select(F.col("doc_id").alias(key), "item_id", *[f"best.{c}" for c in out])
 
 
+def in_runs(found: DataFrame) -> DataFrame:
+    """Add ``first``, whether a hit is its window's first place in the document,
+    and ``run``: a hit that stands no later in the item than the hit before, or
+    more than the item's length further on, begins another copy."""
+    by_place = Window.partitionBy(*OWNER).orderBy("place")
+    start = F.element_at("starts", 1)
+    ahead = F.col("place") - start - F.lag(F.col("place") - start).over(by_place)
+    begins = F.coalesce((start <= F.lag(start).over(by_place)) | (ahead > F.col("n_tokens")), F.lit(True))
+    out = found.withColumn("begins", begins.cast("long")).withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+    return out.withColumn("first", F.row_number().over(Window.partitionBy(*OWNER, "hash").orderBy("place")) == 1)
+
+
 def readings() -> Column:
-    """The readings that a hit counts for: an item with exact windows is read by
-    its template windows alone (values may change) and by all of its windows."""
-    every = F.array(F.when(~F.col("exact"), F.lit(TEMPLATES)), F.when(F.col("n_all") > F.col("n_windows"), F.lit(ALL)))
-    return F.filter(every, lambda r: r.isNotNull())
+    """(reading, part, start) that a hit counts for: the first places in the whole
+    document, its run, and its alignment with each of the window's starts. An item
+    with exact windows is read by its template windows alone (values may change)
+    and by all of its windows."""
+    read = lambda kind, part, start: F.struct(F.lit(kind).alias("reading"), part.cast("long").alias("part"), start.alias("start"))
+    start = F.element_at("starts", 1)
+    every = F.concat(F.array(F.when(F.col("first"), read(WHOLE, F.lit(0), start)), read(RUN, F.col("run"), start)), F.transform("starts", lambda s: read(ALIGNED, F.col("place") - s, s)))
+    by_all = F.transform(every, lambda r: F.when(r.isNotNull(), F.struct((r["reading"] + ALL).alias("reading"), r["part"].alias("part"), r["start"].alias("start"))))
+    none = F.slice(every, 1, 0)
+    both = F.concat(F.when(F.col("exact"), none).otherwise(every), F.when(F.col("n_all") > F.col("n_windows"), by_all).otherwise(none))
+    return F.filter(both, lambda r: r.isNotNull())
 
 
 def slot_pairs(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
