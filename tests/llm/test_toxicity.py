@@ -67,6 +67,13 @@ def test_restores(spark, model, seen, want):
     assert want in re.findall("[a-z]+", got) and got.startswith("reand the ") and got.endswith(" of thing")
 
 
+@pytest.mark.parametrize("seen,want", [
+    ("i.d.i.o.t.", "idiot"), ("i-d-i-o-t!", "idiot"), ("(i-d-i-o-t)", "idiot"), ("i-d-1-o-t", "idiot"), ("s c u m.", "scum"), ("s c u m. s c u m!", "scum"),
+])
+def test_restores_beside_punctuation(spark, model, seen, want):
+    test_restores(spark, model, seen, want)
+
+
 def test_plain_text_stays(spark, model):
     rows = [("The a$$$ of,### Été über ñandú 12.5 wow!! I a",), (None,), ("",), ("ox " * 50_000,), ("a b",)]
     out = toxicity.restore_texts(spark.createDataFrame(rows, "text string"), model).collect()

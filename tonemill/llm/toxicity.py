@@ -26,6 +26,7 @@ smoothed share of toxic rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -48,6 +49,10 @@ BINS, SPAN = 1000, 5.0
 # Look-alike characters and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 SEPARATORS = " .-_*"
+# A spelled-out word: letters or look-alikes with one separator between, and
+# punctuation at its edges.
+EDGE = rb"(?:[!-/:-@\[-`{-~]|\xe2\x80[\x80-\xbf])*"
+SPELLED = re.compile(EDGE + rb"[a-z0-9@$!|+](?:[.\-_*][a-z0-9@$!|+]){2,}" + EDGE)
 END, WIDE = 0, 27
 SYMBOLS = 28
 
@@ -192,18 +197,25 @@ class Restorer:
         suspect[of[hit | triple]] = True
         length = np.diff(at) - 1
         letters = np.bincount(of, letter, minlength=n)
-        seps = np.bincount(of, np.isin(text, [ord(c) for c in SEPARATORS[1:]]) & last_letter & next_letter, minlength=n)
-        suspect |= (length >= 5) & (letters + seps == length) & (seps == letters - 1)
-        single = (length == 1) & (letter | alike)[at[:-1]]
+        unit = letter | alike
+        between = np.concatenate([[False], unit[:-1]]) & np.concatenate([unit[1:], [False]])
+        seps = np.bincount(of, np.isin(text, [ord(c) for c in SEPARATORS[1:]]) & between, minlength=n)
+        for i in np.flatnonzero(~suspect & (seps >= 2) & (letters >= 2)):
+            suspect[i] = SPELLED.fullmatch(text[at[i]:at[i + 1] - 1].tobytes()) is not None
+        single = (length == 1) & unit[at[:-1]]
         head = np.zeros(n + 1, bool)
         head[ranges] = True
-        begins = single & (head[:-1] | ~np.concatenate([[False], single[:-1]]))
+        follows = ~head[:-1] & np.concatenate([[False], single[:-1]])
+        begins = single & ~follows
+        # The last character of a spread word may carry punctuation.
+        real_bytes = np.bincount(of, letter | digit | (text >= 0x80), minlength=n)
+        part = single | follows & (length > 1) & (real_bytes == 1) & (letter | digit)[at[:-1]]
         run = np.cumsum(begins) - 1
-        size = np.bincount(run[single], minlength=max(run.max(initial=-1) + 1, 0))
+        size = np.bincount(run[part], minlength=max(run.max(initial=-1) + 1, 0))
         spread = np.zeros(n, bool)
         if len(size):
-            real = np.bincount(run[single], letter[at[:-1]][single], minlength=len(size))
-            spread[single] = ((size >= 4) & (real >= 2))[run[single]]
+            real = np.bincount(run[part], letter[at[:-1]][part], minlength=len(size))
+            spread[part] = ((size >= 4) & (real >= 2))[run[part]]
         return suspect, spread
 
     def restore(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +231,10 @@ class Restorer:
         while k < len(todo):
             i, j = todo[k], todo[k] + 1
             if spread[i]:
-                while k + 1 < len(todo) and todo[k + 1] == j and spread[j] and doc[k + 1] == doc[k]:
+                while k + 1 < len(todo) and todo[k + 1] == j and spread[j] and doc[k + 1] == doc[k] and at[j] - at[j - 1] == 2:
                     k, j = k + 1, j + 1
             word = raw[at[i]:at[j] - 1].decode("utf-8", "replace")
-            joined = word[::2] if spread[i] else word
+            joined = word.replace(" ", "") if spread[i] else word
             new = self.decode(joined, not spread[i] and len(word) % 2 == 1 and all(c in SEPARATORS for c in word[1::2])).encode()
             pieces += [raw[done:at[i]], new, b" "]
             done = at[j]
