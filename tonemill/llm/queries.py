@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from tonemill.llm import alignment, bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -149,3 +149,9 @@ FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template lines of every document."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and linked ids of two tokenizers over every document."""
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
