@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import alignment, bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from tonemill.llm import alignment, bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity, whitening
 from tonemill.llm.ragged import table, train_rows, written
 
 LLM_QUERIES: dict = {}
@@ -155,3 +155,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token groups and linked ids of two tokenizers over every document."""
     return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16, scale=64)
