@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import alignment, bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity, whitening
+from tonemill.llm import alignment, bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_counts, topk, toxicity, warc_zip, whitening
 from tonemill.llm.ragged import table, train_rows, written
+from tonemill.session import scratch_path
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -161,3 +162,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the first 16 whitened components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16, scale=64)
+
+
+@query("op13_warc")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP archives and read back."""
+    path = scratch_path(spark, "archives")
+    warc_zip.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html", least_bytes=0)
+    name = lambda column: warc_zip.page_name(F.col(column)).cast("long")
+    out = warc_zip.read_archives(spark, path, payloads=False)
+    return out.select(name("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", name("refers_to").alias("refers_to"))
