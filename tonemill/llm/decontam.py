@@ -24,7 +24,11 @@ fewer tokens than ``window`` use one window of their own length.
 
 The window join carries keys, positions and hashes, no text. The benchmark's
 windows are broadcast only up to ``BROADCAST_ROWS`` of them, and the reported
-documents' keys likewise; beyond that both are shuffle joins.
+documents' keys likewise; beyond that both are shuffle joins. Texts are cut into
+blocks of ``BLOCK`` tokens (the next ones overlap, so no window is lost). With
+broadcast windows, only places whose first ``LEAD`` tokens begin some item window
+are hashed in full: the hash of these tokens, one for each place and cheap, meets
+the broadcast table first.
 
 Defined cases: null and empty texts and items match nothing; signs between words
 do not count, so "12 * 34" is "12 + 34"; a repeated document row is reported
@@ -42,6 +46,8 @@ from tonemill.llm.ragged import written
 
 WINDOW = 8
 LITERALS = 4
+LEAD = 3
+BLOCK = 256
 COVERAGE, CONSISTENCY = 0.3, 0.8
 BROADCAST_ROWS = 1_000_000
 OWNER = ["doc_id", "text_hash", "item_id"]
@@ -56,8 +62,8 @@ UNITS = (
     "dollars", "dollar", "cents", "cent", "euros", "euro", "percent", "degrees", "degree", "mph", "kmh", "watts", "watt", "volts", "volt",
 )
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-UNIT = rf"(?<=\p{{Nd}}\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])"
-NAME = r"(?<=[^.!?\s]\s)\p{Lu}\p{Ll}+(?!\p{L})"
+UNIT = rf"(\p{{Nd}}\s?)((?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}]))"
+NAME = r"\p{Lu}(?<=[^.!?\s]\s.)\p{Ll}+(?!\p{L})"
 MARKS = "\u0001\u0002\u0003"  # name, number, unit
 PIECE = rf"\u0002{NUMBER}|[\u0001\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
 
@@ -65,7 +71,7 @@ PIECE = rf"\u0002{NUMBER}|[\u0001\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
 def pieces(text: Column) -> Column:
     """Lower-cased words of a text; a placeholder's mark stands before its value."""
     text = F.regexp_replace(F.translate(text, MARKS, "   "), NAME, "\u0001$0")
-    text = F.regexp_replace(F.regexp_replace(text, UNIT, "\u0003$0"), NUMBER, "\u0002$0")
+    text = F.regexp_replace(F.regexp_replace(text, UNIT, "$1\u0003$2"), NUMBER, "\u0002$0")
     return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lower)
 
 
@@ -99,27 +105,56 @@ def hashed(parts: Column) -> list[Column]:
     return [F.transform(parts, lambda t: F.xxhash64(as_token(t))).alias("tokens"), F.transform(parts, lambda t: F.xxhash64(t)).alias("exact_tokens"), F.transform(parts, is_slot).alias("slot")]
 
 
-def windows(size: Column | int, literals: int) -> Column:
-    """(hash, exact) of every window of ``size`` pieces: of its template, or with
-    the slots' values if it has fewer than ``literals`` plain words."""
-    size = F.lit(size) if isinstance(size, int) else size
-    starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(1), F.size("tokens") - size + 1)).otherwise(F.array().cast("array<int>"))
-    exact = lambda i: F.size(F.filter(F.slice("slot", i, size), lambda s: ~s)) < F.least(F.lit(literals), size)
-    each = F.transform(starts, lambda i: F.struct(i.alias("i"), exact(i).alias("exact")))
-    return F.transform(each, lambda w: F.struct(F.xxhash64(F.when(w["exact"], F.slice("exact_tokens", w["i"], size)).otherwise(F.slice("tokens", w["i"], size))).alias("hash"), w["exact"].alias("exact")))
+def window_at(i: Column, size: Column, literals: int) -> list[Column]:
+    """Hash of the window of ``size`` pieces from place ``i`` (from 1) on, and
+    whether it is exact: hashed with its slots' values, since it has fewer than
+    ``literals`` plain words."""
+    exact = F.size(F.filter(F.slice("slot", i, size), lambda s: ~s)) < F.least(F.lit(literals), size)
+    return [F.xxhash64(F.when(exact, F.slice("exact_tokens", i, size)).otherwise(F.slice("tokens", i, size))).alias("hash"), exact.alias("exact")]
+
+
+def lead_at(i: Column, size: Column | int) -> Column:
+    """Hash of the first LEAD tokens (of ``size``, if fewer) from place ``i`` (from 0) on."""
+    each = [F.when(F.lit(size) > k, F.get("tokens", i + k)) for k in range(LEAD)]
+    return F.xxhash64(F.least(F.lit(size), F.lit(LEAD)), *each)
 
 
 def item_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, n_tokens, size, hash, exact, starts, n_windows, n_all): distinct
-    windows of each item, ``starts`` counted from 0; ``n_windows`` are those not
-    exact."""
+    """(item_id, n_tokens, size, lead, hash, exact, starts, n_windows, n_all):
+    distinct windows of each item, ``starts`` counted from 0; ``n_windows`` are
+    those not exact."""
     parts = items.select("item_id", F.size("pieces").alias("n_tokens"), *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
-    rows = parts.select("item_id", "n_tokens", "size", F.posexplode(windows(F.col("size"), literals)).alias("start", "w")).select("item_id", "n_tokens", "size", "w.hash", "w.exact", "start")
-    rows = rows.groupBy("item_id", "n_tokens", "size", "hash", "exact").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
+    each = F.transform(starts, lambda i: F.struct(i.alias("start"), lead_at(i, F.col("size")).alias("lead"), *window_at(i + 1, F.col("size"), literals)))
+    rows = parts.select("item_id", "n_tokens", "size", F.inline(each))
+    rows = rows.groupBy("item_id", "n_tokens", "size", "lead", "hash", "exact").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     totals = rows.groupBy("item_id").agg(F.count_if(~F.col("exact")).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
     return rows.join(totals, "item_id")
 
 
+def blocks(parts: DataFrame, window: int) -> DataFrame:
+    """Rows of at most BLOCK places (``base`` is the first one's) and the tokens
+    that windows from there on reach."""
+    begins = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    cut = lambda b: F.struct((b - 1).alias("base"), *[F.slice(c, b, F.lit(BLOCK + window - 1)).alias(c) for c in ("tokens", "exact_tokens", "slot")])
+    return parts.select("doc_id", "text_hash", F.inline(F.transform(begins, cut)))
+
+
+def doc_windows(parts: DataFrame, leads: DataFrame | None, sizes: list[int], window: int, literals: int) -> DataFrame:
+    """(doc_id, text_hash, size, place, hash, exact): windows of all sizes from
+    every place, or only from those where one of ``leads`` (lead, size) stands."""
+    places = F.slice("tokens", 1, BLOCK)
+    if leads is None:
+        at = F.transform(places, lambda _, i: F.transform(F.array(*map(F.lit, sizes)), lambda s: F.struct(i.alias("place"), s.alias("size"))))
+        rows = blocks(parts, window).select("*", F.inline(F.flatten(at)))
+    else:
+        leading = lambda n: F.transform(places, lambda _, i: F.struct(i.alias("place"), lead_at(i, n).alias("lead")))
+        at = [leading(n) for n in sorted({min(s, LEAD) for s in sizes})]
+        rows = blocks(parts, window).select("*", F.inline(F.concat(*at))).join(F.broadcast(leads), "lead")
+    rows = rows.where(F.col("place") + F.col("size") <= F.size("tokens"))
+    return rows.select("doc_id", "text_hash", "size", (F.col("base") + F.col("place")).alias("place"), *window_at(F.col("place") + 1, F.col("size"), literals))
+
+
 def within(rows: int, df: DataFrame) -> DataFrame:
     """Broadcast ``df`` if it has no more rows than BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -136,10 +171,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col
     n_wanted = wanted.count()
 
     parts = texts.select("doc_id", "text_hash", pieces(F.col("text")).alias("pieces")).select("doc_id", "text_hash", *hashed(F.col("pieces")))
-    per_size = [F.struct(F.lit(s).alias("size"), windows(s, literals).alias("hashes")) for s in sizes or [window]]
-    by_size = parts.select("doc_id", "text_hash", F.inline(F.array(*per_size)))
-    found = by_size.select("doc_id", "text_hash", "size", F.posexplode("hashes").alias("place", "w")).select("doc_id", "text_hash", "size", "place", "w.hash", "w.exact")
-    found = found.join(within(n_wanted, wanted), ["size", "hash", "exact"])
+    leads = wanted.select("lead", "size").distinct() if n_wanted <= BROADCAST_ROWS else None
+    found = doc_windows(parts, leads, sizes or [window], window, literals)
+    found = found.join(within(n_wanted, wanted.drop("lead")), ["size", "hash", "exact"])
     found = found.groupBy(*OWNER, "hash", "exact", "place").agg(*[F.first(c).alias(c) for c in ("starts", "n_tokens", "n_windows", "n_all", "size")])
     found = in_runs(found).withColumn("read", F.explode(readings())).select("*", "read.*")
     total = F.when(F.col("reading") < ALL, F.col("n_windows")).otherwise(F.col("n_all"))
