@@ -8,7 +8,6 @@ import pytest
 import corpus_pipeline as cp
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_simhash import brute_components, brute_print
-from tests.llm.test_suffix_dedup import brute as repeats
 from tonemill.llm import bpe, quality
 from tonemill.llm.ragged import table, written
 
@@ -16,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def cut_text(text, texts, length):
+def cut_text(text, texts, length, least_words):
     from collections import Counter
 
     raw = [(t or "").encode() for t in texts]
@@ -26,7 +25,20 @@ def cut_text(text, texts, length):
     for i in range(len(r) - length + 1):
         if count[r[i:i + length]] > 1:
             gone[i:i + length] = b"\x01" * length
-    return bytes(b for b, g in zip(r, gone) if not g).decode("utf-8", "ignore"), any(gone)
+    out, at, changed = "", 0, False
+    while at < len(r):
+        end = at + 1
+        while end < len(r) and gone[end] == gone[at]:
+            end += 1
+        if gone[at] and len(r[at:end].split()) >= least_words:
+            changed, gone[at:end] = True, b"\x02" * (end - at)
+        at = end
+    pieces = "".join(chr(x) for x in gone).replace("\x01", "\x00")
+    at = 0
+    for part in pieces.split("\x02"):
+        out += r[at:at + len(part)].decode("utf-8", "ignore")
+        at += len(part) + 1
+    return out, changed
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
@@ -52,11 +64,10 @@ def test_stages_against_brute_force(spark, sf):
     texts = [r.text for r in before.values()]
     want = {}
     for i, r in before.items():
-        text, changed = cut_text(r.text, texts, 400)
+        text, changed = cut_text(r.text, texts, cp.PASSAGE_BYTES, cp.PASSAGE_WORDS)
         if not changed or text.strip():
             want[i] = (i, text, r.lang, r.source, len(text) if changed else r.n_chars)
     assert {r.doc_id: tuple(r) for r in third.collect()} == want
-    assert [w[:3] for w in repeats(texts, 400)] is not None
 
     items = {r.item_id: r.text for r in table(spark, sf, "benchmark").collect()}
     bad = {x[0] for x in leaks([(i, w[1]) for i, w in want.items()], items)}
@@ -88,3 +99,38 @@ def test_defined_cases(spark, tmp_path):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert quality.STATISTICS
+
+
+def prose(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_passages_of_just_over_fifty_words_are_cut(spark):
+    """51 to 60 words go, 40 words stay, whatever stands around them."""
+    passages = {n: prose(n, n) for n in (40, 51, 52, 55, 60)}
+    rows, want = [], {}
+    for n, passage in passages.items():
+        for k in range(3):
+            head, tail = prose(1000 + 10 * n + k, 30), prose(2000 + 10 * n + k, 30)
+            rows.append((10 * n + k, f"{head} X{k} {passage} Y{k} {tail}", "en", "a", 1))
+            want[10 * n + k] = (head, tail, passage)
+    out = {r.doc_id: r.text for r in cp.repeats_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    for i, (head, tail, passage) in want.items():
+        assert out[i].startswith(head) and out[i].endswith(tail)
+        assert (passage in out[i]) == (i < 500)
+
+
+def test_documents_under_one_id_are_told_apart(spark, tmp_path):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (2, b + " more", "en", "a", 2), (3, a, "en", "a", 1), (1, a, "en", "a", 1), (None, a, "en", "a", 1)]
+    near = cp.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    texts = sorted((r.doc_id or 0, r.text) for r in near.collect())
+    assert (0, a) in texts and texts.count((1, a)) == 1 and (1, b) in texts and not any(i == 3 for i, _ in texts)
+    item = "the quick brown fox jumps over the lazy dog while seven old sheep look on from the green hill"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, "so " + item, "en", "a", 1), (None, a, "en", "a", 1), (4, item, "en", "a", 1), (4, b, "en", "a", 1)]
+    left = cp.decontamination_stage(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, a), (4, b)] and left.columns == COLUMNS

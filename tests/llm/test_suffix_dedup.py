@@ -121,7 +121,7 @@ def test_hot_passage_in_near_copies(spark, monkeypatch, hot):
 def test_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "q" * 900, 5, None), (2, None, 6, "z"), (None, "short", 7, "z")], "doc_id long, text string, N_bytes int, `odd.name` string")
     out = sd.strip_repeats(df)
-    assert out.columns == ["doc_id", "text", "odd.name", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "text", "odd.name", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r["odd.name"]) for r in out.collect()) == [(0, 5, 0, "z"), (1, 900, 900, None), (2, 0, 0, "z")]
     assert sd.strip_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -136,3 +136,41 @@ def test_query_against_brute_force(spark):
     want = {i: w for (i, _), w in zip(rows, brute([t for _, t in rows], 400))}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in LLM_QUERIES["op7_suffix_dedup"](spark, sf).collect()}
     assert got == want and any(w[1] for w in want.values())
+
+
+def test_many_strings_behind_one_phrase(spark, monkeypatch):
+    """Places that share only their first bytes are dealt to several ranges."""
+    monkeypatch.setattr(sd, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(sd, "SAMPLE", 3)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrase, texts = word(32), []
+    for _ in range(60):
+        tail = word(120)
+        texts += [word(40) + phrase + tail, word(40) + phrase + tail + word(9)]
+    check(spark, texts, 64)
+
+
+def test_texts_are_worked_on_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SEGMENT", 100)
+    monkeypatch.setattr(sd, "chunks", lambda offsets: ((k, k + 1) for k in range(len(offsets) - 1)))
+    offsets = np.array([0, 950, 960, 1200])
+    covered = [(a, s) for a, _, begin, end in sd.segments(offsets, 50) for s in range(begin, end - 50 + 1)]
+    assert sorted(covered) == [(a, s) for a in range(3) for s in range(offsets[a], offsets[a + 1] - 50 + 1)]
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(700)
+    check(spark, [word(300) + shared + word(50), shared[100:], word(20) + shared[:333] + word(10), shared[5:300] * 3], 64)
+
+
+def test_lengths_that_cannot_be_packed_are_refused(spark):
+    with pytest.raises(ValueError, match="16 to 4096"):
+        sd.window_of(8000)
+    check(spark, ["q" + "abc" * 2000, "z" + "abc" * 1500], 4096)
+
+
+def test_short_runs_stay():
+    raw = b"one two three four five six seven"
+    assert sd.cut(raw, [4], [4], 9, False, least_words=3) == ([raw], 0, 0)
+    assert sd.cut(raw, [4], [4], 9, False, least_words=2) == ([b"one ", raw[13:]], 9, 1)
+    assert sd.cut(raw, [], [], 9, True) == ([b"", b""], len(raw), 1)

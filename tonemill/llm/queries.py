@@ -87,15 +87,17 @@ numbered AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 400 THE
 runs AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY rid, run),
 gone AS (SELECT rid, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS begins, list(z ORDER BY a) AS ends FROM runs GROUP BY rid),
 kept AS (SELECT doc_id, b, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  list_concat([0], coalesce(ends, [])) AS froms, list_concat(coalesce(begins, []), [octet_length(b)]) AS upto FROM docs LEFT JOIN gone USING (rid))
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, n_removed, n_spans,
-  sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda k: CASE WHEN froms[k] < upto[k] THEN hex(b[froms[k] + 1:upto[k]]) ELSE '' END), ''))) AS kept_sha256
-FROM kept
+  list_concat([0], coalesce(ends, [])) AS froms, list_concat(coalesce(begins, []), [octet_length(b)]) AS upto FROM docs LEFT JOIN gone USING (rid)),
+pieces AS (SELECT *, list_transform(range(1, len(froms) + 1), lambda k: CASE WHEN froms[k] < upto[k] THEN hex(b[froms[k] + 1:upto[k]]) ELSE '' END) AS left_over FROM kept)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(left_over, ''))) AS kept_sha256,
+  decode(unhex(array_to_string(list_transform(left_over, lambda h: regexp_replace(regexp_replace(h, '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', '')), ''))) AS text
+FROM pieces
 """)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document left after repeated 400-byte strings are cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.strip_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup.strip_repeats(docs, length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 @query("op10_decontam")

@@ -13,7 +13,9 @@ their anchors at equal distance, and consecutive strings share anchors. So:
 2. For the others, each task sorts its suffixes (the bytes from the anchor to the
    end of the last string) into a run, front-codes it (length of the prefix
    shared with the predecessor, then the rest) and cuts it at sampled
-   splitters. The bytes before the anchor travel along. Equal suffixes within
+   splitters, which are as long as what strings of one anchor agree in. Where more
+   ranges are needed than splitters are sampled (``SAMPLE``), each range is dealt
+   further by a hash of these bytes, so ranges do not grow with the corpus. The bytes before the anchor travel along. Equal suffixes within
    a run are kept once and settled on the spot, so a passage that a third of all
    texts share costs one entry per run.
 3. Each range merges its runs with a loser tree that keeps the common-prefix
@@ -37,6 +39,7 @@ nothing; other columns pass through ``strip_repeats`` unchanged.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -52,7 +55,8 @@ from tonemill.llm.ragged import chunks, flat, in_batches, mix, released, slices,
 LENGTH = 400
 GRAM = 8
 PLACE_BITS = 28
-HEAD_BYTES = 32
+SEGMENT = 1 << 20
+MAX_LENGTH = 4096  # distances from an anchor are packed in 12 bits
 SAMPLE = 20_000
 RUN_BYTES = 24 << 20
 RANGE_BYTES = 16 << 20
@@ -63,8 +67,8 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 def window_of(length: int) -> int:
     """Bytes in which an anchor is sought: the more, the fewer anchors, the
     fewer, the longer the string that the duplicate detection sees."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} or more")
+    if not 2 * GRAM <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be {2 * GRAM} to {MAX_LENGTH}")
     return min(length * 3 // 4, length - GRAM + 1)
 
 
@@ -95,6 +99,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return np.repeat(np.arange(len(counts)), counts)[first], place, place - starts[first], place - starts[last]
 
 
+def segments(offsets: np.ndarray, length: int):
+    """(first text, last text, begin, end) of what is worked on at a time: runs of
+    whole texts, and of a text over SEGMENT bytes parts that each hold SEGMENT
+    starts and the strings from there on."""
+    for a, b in chunks(offsets):
+        begin, end = int(offsets[a]), int(offsets[b])
+        if end - begin <= 2 * SEGMENT or b - a > 1:
+            yield a, b, begin, end
+        else:
+            for at in range(begin, end - length + 1, SEGMENT):
+                yield a, b, at, min(at + SEGMENT + length - 1, end)
+
+
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
     """Add the two hashes that stand for a text (null is the empty text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -114,17 +131,17 @@ def anchor_table(texts: DataFrame, length: int) -> DataFrame:
             if len(fresh) < batch.num_rows:
                 batch, k1, k2 = batch.take(pa.array(fresh, pa.int64())), k1[fresh], k2[fresh]
             data, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
-                part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+            for a, b, begin, end in segments(offsets, length):
+                part, at = data[begin:end], np.clip(offsets[a:b + 1], begin, end) - begin
                 doc, place, back, fore = anchors(part, at, length)
                 if not len(doc):
                     continue
                 h = word_hashes(part, place, np.full(len(place), core))
                 sampled = np.flatnonzero(h % np.uint64(16) == 0)
-                heads, head = [None] * len(h), min(HEAD_BYTES, core)
+                heads = [None] * len(h)
                 for i in sampled.tolist():
-                    heads[i] = part[place[i]:place[i] + head].tobytes()
-                packed = (place - at[doc]) << 24 | back << 12 | fore
+                    heads[i] = part[place[i]:place[i] + core].tobytes()
+                packed = (place + begin - offsets[a:b][doc]) << 24 | back << 12 | fore
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[a:b][doc]), pa.array(k2[a:b][doc]), pa.array(packed), pa.array(heads, pa.binary())], names=["h", "k1", "k2", "place", "head"])
 
     return in_batches(texts.select("k1", "k2", "text"), run, "h long, k1 long, k2 long, place long, head binary")
@@ -321,15 +338,16 @@ def count_starts(groups: list, length: int) -> list[tuple[int, int, int, int]]:
 
 # The distributed steps -----------------------------------------------------
 
-RUNS = "range int, payload binary, settled binary"
+RUNS = "range long, payload binary, settled binary"
 
 
-def build_runs(texts: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
-    """Per task: sorted front-coded runs cut at the splitters (range, payload);
-    starts that are settled within a run go along under negative ranges, dealt
-    by run, as packed (k1, k2, low, high)."""
+def build_runs(texts: DataFrame, splitters: list[bytes], parts_of_range: int, length: int) -> DataFrame:
+    """Per task: sorted front-coded runs cut at the splitters (range, payload),
+    each range dealt to ``parts_of_range`` by a hash of what its suffixes agree
+    in; starts that are settled within a run go along under negative ranges,
+    dealt by run, as packed (k1, k2, low, high)."""
 
-    head = min(HEAD_BYTES, length - window_of(length) + 1)  # suffixes that agree so far must share a range
+    head = length - window_of(length) + 1  # suffixes that agree so far must share a range
 
     def flush(items: list) -> pa.RecordBatch:
         items.sort(key=lambda i: (i[0], i[1]))
@@ -350,13 +368,16 @@ def build_runs(texts: DataFrame, splitters: list[bytes], length: int) -> DataFra
         ranges = [bisect_right(splitters, k[0][:head]) for k in kept]
         while i < len(kept):
             j = bisect_right(ranges, ranges[i])
-            parts.append((ranges[i], encode_run(kept[i:j])))
+            dealt = {}
+            for k in kept[i:j]:
+                dealt.setdefault(zlib.crc32(k[0][:head]) % parts_of_range, []).append(k)
+            parts += [(ranges[i] * parts_of_range + d, encode_run(run)) for d, run in dealt.items()]
             i = j
         rows = [(r, payload, None) for r, payload in parts]
         if settled:
             deal = -1 - int(mix(np.array([settled[0][0]]).view(np.uint64))[0] % np.uint64(len(splitters) + 1))
             rows.append((deal, None, squeezed(np.array(settled, "<i8").tobytes())))
-        kinds = [pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["range", "payload", "settled"])
 
     def run(batches):
@@ -400,6 +421,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     sample = sorted(bytes(r.head) for r in heads.orderBy(F.xxhash64("head"), "head").limit(SAMPLE).collect())  # bounded by SAMPLE
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 * length // RANGE_BYTES)
     splitters = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    parts_of_range = -(-ranges // (len(splitters) + 1))  # one, until there are more ranges than sampled heads
     packed = pack(long.select("k1", "k2", "text")).hint("merge")  # neither side has a size bound
     joined = packed.join(places.where(F.size("places") > 0).select("k1", "k2", "places"), ["k1", "k2"])
 
@@ -410,7 +432,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = list(repeated_starts(merge([bytes(p) for p in pdf["payload"]]), length, core))
         return pd.DataFrame(rows, columns=["k1", "k2", "low", "high"])
 
-    out = build_runs(joined, splitters, length).groupBy("range").applyInPandas(settle, "k1 long, k2 long, low long, high long")
+    out = build_runs(joined, splitters, parts_of_range, length).groupBy("range").applyInPandas(settle, "k1 long, k2 long, low long, high long")
     if twice.where("hot").limit(1).count():
         hot = packed.join(places.where(F.size("hot") > 0).select("k1", "k2", F.col("hot").alias("places")), ["k1", "k2"])
         out = out.union(hot_repeats(hot, length))
@@ -443,25 +465,28 @@ def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
     return found.select("k1", "k2", F.col("at").alias("low"), F.col("at").alias("high"))
 
 
-def cut(raw: bytes, lows: list[int], highs: list[int], length: int, whole: bool) -> tuple[bytes, int, int]:
-    """Remaining bytes, removed bytes and removed runs of one text."""
+def cut(raw: bytes, lows: list[int], highs: list[int], length: int, whole: bool, least_words: int = 0) -> tuple[list[bytes], int, int]:
+    """Remaining pieces, removed bytes and removed runs of one text; runs of fewer
+    than ``least_words`` words (parts of words count) stay."""
     if whole:
-        return b"", len(raw), 1
+        lows, highs = [0], [len(raw) - length]
     if not lows:
-        return raw, 0, 0
+        return [raw], 0, 0
     edge = np.zeros(len(raw) + 1, np.int64)
     np.add.at(edge, lows, 1)
     np.add.at(edge, np.asarray(highs) + length, -1)
-    gone = np.cumsum(edge)[:-1] > 0
-    n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), n_spans
+    gone = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+    runs = [(s, e) for s, e in zip(np.flatnonzero(gone > 0).tolist(), np.flatnonzero(gone < 0).tolist()) if not least_words or len(raw[s:e].split()) >= least_words]
+    edges = [0, *(x for run in runs for x in run), len(raw)]
+    return [raw[s:e] for s, e in zip(edges[::2], edges[1::2])], sum(e - s for s, e in runs), len(runs)
 
 
-def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """All columns of ``df`` and ``kept`` (binary: the remaining bytes),
+    ``kept_text`` (their text, without characters that lost a byte),
     ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; columns of these
-    names are replaced."""
-    new = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    names are replaced. Repeated runs of fewer than ``least_words`` words stay."""
+    new = {"kept": "binary", "kept_text": "string", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
     carried = [f for f in df.schema.fields if f.name.lower() not in new]
     rows = keyed(df.select(F.struct(*[F.col(f"`{f.name}`") for f in carried if f.name != text_col]).alias("row"), F.col(text_col).alias("text")), "text")
     starts = written(repeats(rows.select("k1", "k2", "text"), length), "repeats")
@@ -477,10 +502,11 @@ def strip_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
             out = []
             for packed_text, low, high, whole in zip(*(batch.column(c).to_pylist() for c in ("packed", "low", "high", "whole"))):
                 raw = unsqueezed(packed_text)
-                kept, removed, n_spans = cut(raw, low or [], high or [], length, bool(whole))
-                out.append((raw, kept, len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                left, removed, n_spans = cut(raw, low or [], high or [], length, bool(whole), least_words)
+                kept = b"".join(left)
+                out.append((raw, kept, "".join(x.decode("utf-8", "ignore") for x in left), len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("row")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "original", *new])
 
     out = in_batches(joined, run, StructType([row_type, StructField("original", BinaryType())] + [StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in new.items()]))
