@@ -15,21 +15,23 @@ def ensemble_vote(*results: Column) -> Column:
 
     The most frequent label wins; a tie goes to the label seen first. The
     confidence is the mean confidence of the winning votes (summed in model
-    order), plus 0.1 capped at 0.98 when all votes agree.
+    order), plus 0.1 capped at 0.98 when all votes agree. A null result or label
+    is no vote; without any vote label and confidence are null.
     """
     if not results:
         raise ValueError("a vote needs at least one result")
     labels = [r.getField("label") for r in results]
     confs = [r.getField("confidence") for r in results]
-    shares = [sum((other == lab).cast("int") for other in labels[1:]) + (labels[0] == lab).cast("int") for lab in labels] if len(labels) > 1 else [F.lit(1)]
+    same = lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")
+    shares = [sum((same(other, lab) for other in labels[1:]), same(labels[0], lab)) for lab in labels]
     most = F.greatest(*shares) if len(shares) > 1 else shares[0]
-    winner = F.coalesce(*[F.when(n == most, lab) for n, lab in zip(shares, labels)])
-    unanimous = most == F.lit(len(labels))
+    winner = F.coalesce(*[F.when((n == most) & lab.isNotNull(), lab) for n, lab in zip(shares, labels)])
+    unanimous = most == sum((lab.isNotNull().cast("int") for lab in labels[1:]), labels[0].isNotNull().cast("int"))
     total, count = F.lit(0.0), F.lit(0)
     for lab, conf in zip(labels, confs):
-        hit = lab == winner
+        hit = F.coalesce(lab == winner, F.lit(False))
         total = total + F.when(hit, conf).otherwise(F.lit(0.0))
         count = count + hit.cast("int")
-    mean = total / count
-    confidence = F.when(unanimous, F.least(mean + F.lit(UNANIMOUS_BONUS), F.lit(UNANIMOUS_CAP))).otherwise(mean)
+    mean = F.when(count > 0, total / F.when(count > 0, count))
+    confidence = F.when(unanimous & mean.isNotNull(), F.least(mean + F.lit(UNANIMOUS_BONUS), F.lit(UNANIMOUS_CAP))).otherwise(mean)
     return F.struct(winner.alias("label"), confidence.alias("confidence"))

@@ -60,6 +60,7 @@ def ensemble_vote_long(votes: DataFrame, key: str) -> DataFrame:
     the label whose first vote has the lowest ``ord``; confidence = mean of
     the winning votes (summed in ``ord`` order), +0.1 capped at 0.98 if
     unanimous. Returns ``(key, label, confidence)`` with confidence in 0..1.
+    A row without label is no vote; a key without any vote has null results.
 
     Votes are ``(key, ord)``-unique, so what is gathered per key and label is
     one number per model that gave the label."""
@@ -68,11 +69,11 @@ def ensemble_vote_long(votes: DataFrame, key: str) -> DataFrame:
     total = F.aggregate(F.col("given.confidence"), F.lit(0.0), lambda a, c: a + c)
     per_label = per_label.select(key, "label", "first", F.size("given").alias("n"), (total / F.size("given")).alias("mean"))
     best = per_label.groupBy(key).agg(
-        F.max(F.struct(F.col("n"), (-F.col("first")).alias("neg_first"), F.col("label"), F.col("mean"))).alias("b"),
-        F.count(F.lit(1)).alias("n_labels"),
+        F.max(F.when(F.col("label").isNotNull(), F.struct(F.col("n"), (-F.col("first")).alias("neg_first"), F.col("label"), F.col("mean")))).alias("b"),
+        F.count("label").alias("n_labels"),
     )
     mean = F.col("b.mean")
-    conf = F.when(F.col("n_labels") == 1, F.least(mean + F.lit(UNANIMOUS_BONUS), F.lit(UNANIMOUS_CAP))).otherwise(mean)
+    conf = F.when((F.col("n_labels") == 1) & mean.isNotNull(), F.least(mean + F.lit(UNANIMOUS_BONUS), F.lit(UNANIMOUS_CAP))).otherwise(mean)
     return best.select(F.col(key), F.col("b.label").alias("label"), conf.alias("confidence"))
 
 

@@ -14,8 +14,10 @@ shuffled. A batch the model raises on is halved until the rows it fails for
 stand alone; those have no result, the others keep theirs. With ``distinct``
 (the default) each batch hands every different input to the model once.
 
-Results are not stored: run several actions over a labeled table from
-:func:`tonemill.sinks.csv.keep_table`. Heavy models should be built once per
+Results are not stored unless an answer table is named (``answers=path``, see
+:mod:`tonemill.operators.answers`): then every different input of the whole table
+is asked once, in this run and later ones. Otherwise run several actions over a
+labeled table from :func:`tonemill.session.keep_table`. Heavy models should be built once per
 worker process: wrap their factory in :class:`load_once`.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions import models as M
 from tonemill.lexicon import DEFAULT_LEXICON, Lexicon
+from tonemill.operators.answers import AnswerTable
 from tonemill.operators.labeling import unpack_label, with_rules_struct
 
 _MODEL = "__tm_model_out"
@@ -118,8 +121,17 @@ def _responder(responder: Callable, distinct: bool):
 
 
 def score_texts(df: DataFrame, scorer: Callable, text_col: str = "text", n_chars: int = M.CLASSIFIER_CHARS,
-                distinct: bool = True) -> DataFrame:
-    """Add raw classifier output ``model_label``/``model_score`` per row."""
+                distinct: bool = True, answers: str | None = None, **filling) -> DataFrame:
+    """Add raw classifier output ``model_label``/``model_score`` per row. With
+    ``answers``, the path of an answer table, each different input of the whole
+    table is scored once and kept for later runs (this happens at once;
+    ``filling``: see :meth:`tonemill.operators.answers.AnswerTable.fill`)."""
+    if answers:
+        table = AnswerTable(df.sparkSession, answers, "label string, score double")
+        model_input = M.model_input(text_col, n_chars)
+        table.fill(df, model_input, lambda model: _classifier(model, False), scorer, **filling)
+        scored = table.attach(df.withColumn(_MODEL, F.struct(*[F.col(f"`{c}`") for c in df.columns])).select(_MODEL, model_input.alias("__tm_in")), F.col("__tm_in"))
+        return scored.select(f"{_MODEL}.*", F.col("label").alias("model_label"), F.col("score").alias("model_score"))
     out = df.withColumn(_MODEL, _classifier(scorer, distinct)(M.model_input(text_col, n_chars)))
     return out.withColumns({"model_label": F.col(f"{_MODEL}.label"), "model_score": F.col(f"{_MODEL}.score")}).drop(_MODEL)
 
@@ -127,19 +139,27 @@ def score_texts(df: DataFrame, scorer: Callable, text_col: str = "text", n_chars
 def with_scorer_struct(df: DataFrame, scorer: Callable, normalise="ternary", text_col: str = "text",
                        out: str = "model", n_chars: int = M.CLASSIFIER_CHARS, distinct: bool = True,
                        lexicon: Lexicon = DEFAULT_LEXICON,
-                       fallback_col: str | None = None) -> DataFrame:
+                       fallback_col: str | None = None, source_col: str | None = None, **answers) -> DataFrame:
     """Add ``out`` = normalised classifier result, rule result where the
     classifier gave none. ``fallback_col`` names a rule result the table
-    already has (so the rule labeler is not computed twice)."""
+    already has (so the rule labeler is not computed twice). ``source_col``
+    adds who labeled the row, ``model`` or ``rules``; ``answers`` as in
+    :func:`score_texts`."""
     norm = M.NORMALISERS[normalise] if isinstance(normalise, str) else normalise
-    scored = score_texts(df, scorer, text_col, n_chars, distinct)
+    scored = score_texts(df, scorer, text_col, n_chars, distinct, **answers)
     rules = fallback_col or "__tm_fallback"
     staged = scored if fallback_col else with_rules_struct(scored, text_col, lexicon, rules)
-    res = M.with_fallback(norm(F.col("model_label"), F.col("model_score")), F.col(rules))
-    staged = staged.withColumn(out, res).drop("model_label", "model_score")
+    own = norm(F.col("model_label"), F.col("model_score"))
+    if source_col:
+        staged = staged.withColumn(source_col, _source(own))
+    staged = staged.withColumn(out, M.with_fallback(own, F.col(rules))).drop("model_label", "model_score")
     return staged if fallback_col else staged.drop(rules)
 
 
+def _source(result):
+    return F.when(result.isNotNull(), "model").otherwise("rules")
+
+
 def label_with_scorer(df: DataFrame, scorer: Callable, normalise="ternary", text_col: str = "text",
                       label_col: str = "label", confidence_col: str = "confidence", **kw) -> DataFrame:
     """Label every row with a classifier (confidence in percent)."""
@@ -148,31 +168,41 @@ def label_with_scorer(df: DataFrame, scorer: Callable, normalise="ternary", text
 
 
 def respond(df: DataFrame, responder: Callable, style: str = "chat", text_col: str = "text",
-            distinct: bool = True) -> DataFrame:
+            distinct: bool = True, answers: str | None = None, **filling) -> DataFrame:
     """Add the model's answer ``response`` per row. ``style='chat'`` sends
     the user turn of :func:`~tonemill.functions.models.chat_messages` (the
-    system turn is fixed), ``'plain'`` the single prompt."""
+    system turn is fixed), ``'plain'`` the single prompt. ``answers`` names an
+    answer table, as in :func:`score_texts`; ``per_minute=60, tasks=4`` lets four
+    tasks share 60 requests a minute."""
     prompt = M.chat_user_content(text_col) if style == "chat" else M.plain_prompt(text_col)
+    if answers:
+        table = AnswerTable(df.sparkSession, answers, "response string")
+        table.fill(df, prompt, lambda model: _responder(model, False), responder, **filling)
+        return table.attach(df.drop("response"), prompt)
     return df.withColumn("response", _responder(responder, distinct)(prompt))
 
 
 def _label_from_answers(df: DataFrame, parse, text_col: str, label_col: str, confidence_col: str,
-                        lexicon: Lexicon) -> DataFrame:
+                        lexicon: Lexicon, source_col: str | None = None) -> DataFrame:
     parser = M.PARSERS[parse] if isinstance(parse, str) else parse
     rules, tmp = "__tm_fallback", "__tm_answer"
     staged = with_rules_struct(df, text_col, lexicon, rules)
+    if source_col:
+        staged = staged.withColumn(source_col, _source(parser(F.col("response"))))
     staged = staged.withColumn(tmp, M.with_fallback(parser(F.col("response")), F.col(rules))).drop(rules)
     return unpack_label(staged, tmp, label_col, confidence_col)
 
 
 def label_with_llm(df: DataFrame, responder: Callable, style: str = "chat", text_col: str = "text",
                    label_col: str = "label", confidence_col: str = "confidence", distinct: bool = True,
-                   lexicon: Lexicon = DEFAULT_LEXICON, keep_response: bool = False) -> DataFrame:
+                   lexicon: Lexicon = DEFAULT_LEXICON, keep_response: bool = False,
+                   source_col: str | None = None, **answers) -> DataFrame:
     """Label every row from a language model's answers; ``chat`` answers are
-    parsed as "<Label> <confidence>", ``plain`` answers by keyword."""
-    answered = respond(df, responder, style, text_col, distinct)
+    parsed as "<Label> <confidence>", ``plain`` answers by keyword. ``answers``
+    as in :func:`respond`; ``source_col`` adds who labeled the row."""
+    answered = respond(df, responder, style, text_col, distinct, **answers)
     out = _label_from_answers(answered, "scored" if style == "chat" else "plain", text_col, label_col,
-                              confidence_col, lexicon)
+                              confidence_col, lexicon, source_col)
     return out if keep_response else out.drop("response")
 
 
@@ -180,7 +210,8 @@ def label_with_responses(df: DataFrame, key: str, responses: DataFrame, parse: s
                          text_col: str = "text", label_col: str = "label", confidence_col: str = "confidence",
                          lexicon: Lexicon = DEFAULT_LEXICON, response_col: str = "response") -> DataFrame:
     """Label rows from answers obtained offline: ``responses(key, response)``
-    is left-joined on ``key`` (rows without an answer fall back to rules)."""
-    ans = responses.select(F.col(key), F.col(response_col).alias("response"))
+    is left-joined on ``key`` (rows without an answer fall back to rules). Of
+    several answers for one key the smallest text that is not null counts."""
+    ans = responses.groupBy(key).agg(F.min(response_col).alias("response"))
     joined = df.join(ans, key, "left")
     return _label_from_answers(joined, parse, text_col, label_col, confidence_col, lexicon)

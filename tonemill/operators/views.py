@@ -4,7 +4,7 @@ Spark tables have no row order, so positions are defined by an explicit key
 order. :func:`positions` numbers the rows without moving them all to one task:
 the table is stored once, its keys are range-partitioned and sorted, and each
 partition's offset is the sum of the counts of the partitions before it (one
-row per partition). :func:`page_after` needs no index at all.
+row per partition). :func:`page_by_cursor` needs no index at all.
 """
 
 from __future__ import annotations
@@ -136,11 +136,47 @@ def head(df: DataFrame, order_by: str | Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*keys).limit(int(n))
 
 
-def page_after(df: DataFrame, order_by: str, last_key, size: int) -> DataFrame:
-    """Keyset paging: the ``size`` rows after ``last_key`` in key order
-    (``None`` for the first page). A filter plus a bounded top-n per task:
-    no index and no full sort, however deep the page."""
+def _beyond(keys: Sequence[str], cursor: Sequence, ahead: bool) -> Column:
+    """Rows that come after (``ahead``) or before the cursor's key values, nulls first."""
+    out, equal = F.lit(False), F.lit(True)
+    for name, value in zip(keys, cursor):
+        c, null = F.col(name), value is None
+        if ahead:
+            past = c.isNotNull() if null else F.coalesce(c > F.lit(value), F.lit(False))
+        else:
+            past = F.lit(False) if null else F.coalesce(c < F.lit(value), F.lit(True))
+        out, equal = out | (equal & past), equal & c.eqNullSafe(F.lit(value))
+    return out
+
+
+def page_by_cursor(df: DataFrame, order_by: str | Sequence[str], cursor=None, size: int = 10,
+                   direction: str = "next") -> DataFrame:
+    """Keyset paging both ways over any keys, nulls first: the page after the
+    cursor (``next``), before it (``previous``), or the ``first`` or ``last``
+    page. ``cursor`` holds the key values of the current page's last row
+    (``next``) or first row (``previous``); None starts from that end.
+
+    A page has ``size`` rows, and those that share all keys with the last of
+    them: whoever walks all pages sees each row once, repeated and null keys
+    included. Two bounded top-n scans; no index, no full sort."""
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
     if size < 0:
         raise ValueError("size must be >= 0")
-    rows = df if last_key is None else df.filter(F.col(order_by) > F.lit(last_key))
-    return rows.orderBy(order_by).limit(int(size))
+    if direction not in ("first", "next", "previous", "last"):
+        raise ValueError(f"unknown direction {direction!r}")
+    ahead = direction in ("first", "next")
+    at = None if direction in ("first", "last") or cursor is None else cursor if isinstance(cursor, (tuple, list)) else (cursor,)
+    if at is not None and len(at) != len(keys):
+        raise ValueError("the cursor needs one value for each key")
+    rows = df if at is None else df.filter(_beyond(keys, at, ahead))
+    up, down = [F.asc_nulls_first(k) for k in keys], [F.desc_nulls_last(k) for k in keys]
+    edge = rows.select(*keys).orderBy(*(up if ahead else down)).limit(int(size)).orderBy(*(down if ahead else up)).first()
+    if edge is None:
+        return rows.limit(0)
+    return rows.filter(~_beyond(keys, tuple(edge), ahead)).orderBy(*up)
+
+
+def page_after(df: DataFrame, order_by: str | Sequence[str], last_key, size: int) -> DataFrame:
+    """The page after ``last_key`` (``None`` for the first page, ``(None,)`` after
+    a null key); see :func:`page_by_cursor`."""
+    return page_by_cursor(df, order_by, last_key, size)

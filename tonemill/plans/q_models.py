@@ -26,6 +26,7 @@ from tonemill.plans.fixtures import (
     review_view_sql,
 )
 from tonemill.plans.registry import query
+from tonemill.session import scratch_path
 from tonemill.plans.sql import (
     VALENCE_TOKEN_SQL,
     binary_sql,
@@ -135,6 +136,25 @@ def q_label_with_loaded_model(spark, sf_dir):
     return out.select("doc_id", "label", "confidence")
 
 
+# --- U3, U4 with a stored answer table: the second run asks the model nothing ----
+@query("label_with_stored_scores", _scorer_sql(f"{review_view_sql()} UNION ALL SELECT doc_id, text, lang, source, n_chars FROM documents",
+                                               ternary_sql))
+def q_label_with_stored_scores(spark, sf_dir):
+    answers = scratch_path(spark, "scores")
+    reviews, plain = review_view(spark, sf_dir).select("doc_id", "text"), docs(spark, sf_dir).select("doc_id", "text")
+    scoring.label_with_scorer(reviews, demo_classifier, answers=answers, batches=2)  # fills the table
+    out = scoring.label_with_scorer(reviews.unionByName(plain), demo_classifier, answers=answers)
+    return out.select("doc_id", "label", "confidence")
+
+
+@query("label_sources", f"""WITH rv AS ({review_view_sql()}), s AS (SELECT *, {failing_classifier_sql(_IN512)[0]} AS m_label,
+{failing_classifier_sql(_IN512)[1]} AS m_score FROM rv), n AS (SELECT {binary_sql('m_label', 'm_score')[0]} AS n_label FROM s)
+SELECT CASE WHEN n_label IS NULL THEN 'rules' ELSE 'model' END AS source_of_label, count(*) AS documents FROM n GROUP BY ALL""")
+def q_label_sources(spark, sf_dir):
+    out = scoring.label_with_scorer(review_view(spark, sf_dir), failing_classifier, "binary", source_col="source_of_label")
+    return out.groupBy("source_of_label").agg(F.count(F.lit(1)).alias("documents"))
+
+
 # --- T17-T19, U4: answers ------------------------------------------------------
 
 
@@ -175,6 +195,25 @@ def q_label_with_responses(spark, sf_dir):
     return out.select("doc_id", "label", "confidence")
 
 
+@query("label_with_stored_answers", _answers_sql(review_view_sql(), demo_answer_sql(_USER), scored_answer_sql))
+def q_label_with_stored_answers(spark, sf_dir):
+    answers = scratch_path(spark, "answers")
+    reviews = review_view(spark, sf_dir)
+    scoring.respond(reviews, demo_responder, "chat", answers=answers, batches=3)
+    out = scoring.label_with_llm(reviews, demo_responder, "chat", answers=answers)
+    return out.select("doc_id", "label", "confidence")
+
+
+@query("label_with_repeated_answers", _answers_sql(
+    f"SELECT doc_id, text FROM documents", f"least({demo_answer_sql('text')}, 'Negative 75 ' || (doc_id % 7))", scored_answer_sql))
+def q_label_with_repeated_answers(spark, sf_dir):
+    # Two answers for every document: the smallest text counts.
+    first = responses_table(spark, sf_dir)
+    second = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Negative 75 "), (F.col("doc_id") % 7).cast("string")).alias("response"))
+    out = scoring.label_with_responses(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", first.unionByName(second), "scored")
+    return out.select("doc_id", "label", "confidence")
+
+
 @query("label_with_llm", _answers_sql(review_view_sql(), demo_answer_sql(_USER), scored_answer_sql))
 def q_label_with_llm(spark, sf_dir):
     out = scoring.label_with_llm(review_view(spark, sf_dir), demo_responder, "chat")
@@ -262,6 +301,23 @@ def _votes(spark, sf_dir):
     return ensemble.votes_from_results(staged, "doc_id", [("rules", "r"), ("valence", "v"), ("classifier", "c")])
 
 
+_GAPS = (f"{_ENS_BASE}, given AS (SELECT doc_id, ord, label, conf FROM votes WHERE ord < 2 UNION ALL "
+         f"SELECT doc_id, 2, n_label, n_conf FROM n WHERE n_label IS NOT NULL)")
+
+
+@query("vote_with_gaps", f"WITH {_GAPS} SELECT form, doc_id, e_label AS label, {pct('e_conf')} AS confidence "
+                         f"FROM {vote_sql('given', 'doc_id')} e, (VALUES ('wide'), ('long')) f(form)")
+def q_vote_with_gaps(spark, sf_dir):
+    # The classifier has no vote where it gave no result; both forms of the vote.
+    staged = with_rules_struct(review_view(spark, sf_dir).select("doc_id", "text"), "text", out="r")
+    staged = scoring.score_texts(valence.with_valence_struct(staged, DEMO_VALENCE, out="v"), demo_classifier)
+    staged = staged.withColumn("c", M.normalise_ternary("model_label", "model_score"))
+    wide = staged.select("doc_id", ensemble.ensemble_vote(F.col("r"), F.col("v"), F.col("c")).alias("e")).select("doc_id", "e.*")
+    long = ensemble.ensemble_vote_long(ensemble.votes_from_results(staged, "doc_id", [("rules", "r"), ("valence", "v"), ("classifier", "c")]), "doc_id")
+    both = wide.select(F.lit("wide").alias("form"), "*").unionByName(long.select(F.lit("long").alias("form"), "*"))
+    return both.select("form", "doc_id", "label", to_percent(F.col("confidence")).alias("confidence"))
+
+
 @query("votes_long", f"WITH {_ENS_BASE} SELECT doc_id, model, ord, label, {py_round_sql("conf", 9)} AS confidence "
                      f"FROM votes")
 def q_votes_long(spark, sf_dir):

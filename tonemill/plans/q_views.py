@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tonemill.functions.report import confidence_band
 from tonemill.lexicon import COVERAGE_LEXICON
 from tonemill.operators import labeling, report, schema, views
@@ -195,3 +200,24 @@ KEYSET_AFTER = 500
                      f"ORDER BY doc_id LIMIT {PAGE_SIZE}")
 def q_page_after(spark, sf_dir):
     return views.page_after(labeled_reviews(spark, sf_dir), "doc_id", KEYSET_AFTER, PAGE_SIZE)
+
+
+# --- W2: all pages of a table, forward and back, by keys that repeat and are null ----
+_WALKED = "CASE WHEN turn % 3 <> 0 THEN role END"
+
+
+@query("walk_pages", f"SELECT way, conv_id, turn, {_WALKED} AS speaker FROM conversations, (VALUES ('next'), ('previous')) w(way)")
+def q_walk_pages(spark, sf_dir):
+    # Keys (speaker, turn) repeat across conversations and are null; pages of an eighth of the rows.
+    conv = load_table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_WALKED} AS speaker")
+    size, pages = -(-conv.count() // 8), []
+    for way, end in (("next", -1), ("previous", 0)):
+        cursor = None
+        while True:
+            page = views.page_by_cursor(conv, ["speaker", "turn"], cursor, size, way)
+            edge = page.select("speaker", "turn").collect()[end:][:1]  # bounded by the page
+            if not edge:
+                break
+            pages.append(page.select(F.lit(way).alias("way"), "conv_id", "turn", "speaker"))
+            cursor = tuple(edge[0])
+    return reduce(DataFrame.unionByName, pages) if pages else conv.selectExpr("CAST(NULL AS STRING) AS way", "*")

@@ -21,15 +21,19 @@ The semantics follow a forgiving spreadsheet-style reader, file by file:
 Spark parses lazily, so the "try a parse, fall back" choices are made before:
 one distributed pass finds each file's header line and whether it is UTF-8. That
 table has a row per file and stays distributed; only the *different* headers
-come to the driver. The files of each kind are parsed with their own settings
-and picked by their path; with one kind, as usual, nothing is picked or united.
+come to the driver. The files of each kind are parsed with their own settings:
+each kind scans its own files only, so every file is read twice whatever the
+number of kinds. Beyond ``LISTED_FILES`` files, each kind scans all and picks its
+own by a join on the path. With one kind, as usual, nothing is picked or united.
 """
 
 from __future__ import annotations
 
 import csv
+import re
 from functools import reduce
 from operator import and_
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +66,7 @@ SAMPLE_REVIEWS = (
 
 _CORRUPT, _FILE = "__tm_raw", "__tm_file"
 MAX_KINDS = 1_000  # different (header, encoding) pairs in one input
-BROADCAST_FILES = 100_000  # file names sent to every task; more are joined by a shuffle
+LISTED_FILES = 200_000  # file names in the driver, which lists them anyway; with more, kinds are picked by a join
 
 
 class EmptyInputError(ValueError):
@@ -140,18 +144,19 @@ def read_reviews(
         raise EmptyInputError(f"no header line in {path}")
     if len(kinds) > MAX_KINDS:
         raise ValueError(f"the files have more than {MAX_KINDS} different headers")
-    n_files, parts = files.count(), []
+    named, parts = _paths_of_kinds(files) if len(kinds) > 1 else {}, []
     for kind in sorted(kinds):
         kind_sep = sep or ("\t" if "\t" in kind.header and "," not in kind.header else ",")
         fields = next(csv.reader([kind.header], delimiter=kind_sep, strict=True))
         names = mangle_header(fields)
-        part = _parsed(spark, path, names, kind_sep, kind.encoding, multi_line, extensions)
+        own_paths = named.get((kind.encoding, kind.header, kind.late), path)
+        part = _parsed(spark, own_paths, names, kind_sep, kind.encoding, multi_line, extensions)
         if kind.late:  # the parser took the line of blanks for the header, and the header for a record
             same = [F.coalesce(F.col(f"`{n}`"), F.lit("")) == F.lit(f) for n, f in zip(names, fields)]
             part = part.filter(~reduce(and_, same))
-        if len(kinds) > 1:
+        if len(kinds) > 1 and not named:
             own = files.where((F.col("encoding") == kind.encoding) & (F.col("header") == kind.header) & (F.col("late") == kind.late)).select(F.col("file").alias(_FILE))
-            part = part.join(F.broadcast(own) if n_files <= BROADCAST_FILES else own, _FILE, "left_semi")
+            part = part.join(own, _FILE, "left_semi")
         parts.append(_with_nulls(part, names, na_values))
     out = parts[0]
     for part in parts[1:]:
@@ -161,6 +166,16 @@ def read_reviews(
     return out
 
 
+def _paths_of_kinds(files: DataFrame) -> dict[tuple, list[str]]:
+    """The files of each kind, as paths a reader takes literally; nothing if
+    there are more than LISTED_FILES."""
+    rows = files.limit(LISTED_FILES + 1).collect()
+    out: dict[tuple, list[str]] = {}
+    for r in rows if len(rows) <= LISTED_FILES else []:
+        out.setdefault((r.encoding, r.header, r.late), []).append(re.sub(r"([*?\[\]{}\\^])", r"\\\1", unquote(r.file)))
+    return out
+
+
 def _parsed(spark: SparkSession, path, names: list[str], sep: str, encoding: str, multi_line: bool, extensions) -> DataFrame:
     """All files parsed with one header and separator, records with too many
     fields and blank lines dropped; the file's path comes along."""

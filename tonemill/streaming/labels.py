@@ -1,6 +1,6 @@
 """Labeling a stream of files with Structured Streaming.
 
-The rule and valence (inline) labelers are projections, so they apply to a
+The rule and valence (arrow) labelers are projections, so they apply to a
 streaming DataFrame unchanged; the running label counts are a stateful
 aggregate whose state is one row per label. Checkpoints go below the shared
 checkpoint folder unless a location is given.
