@@ -189,3 +189,41 @@ def test_entry_without_the_optional_part(tmp_out):
             "assert 'label_rules' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())\n")
     for hidden in ("{'tonemill.llm'}", "{'tonemill.llm', 'corpus_pipeline'}"):
         subprocess.run([sys.executable, "-c", f"HIDDEN = {hidden}\n{code}"], cwd=ROOT, check=True)
+
+
+def test_a_live_report_reads_new_files_only(spark, tmp_out, monkeypatch):
+    from tonemill.operators import live_report
+    from tonemill.operators.labeling import label_rules
+    from tonemill.operators.report import report_metrics
+
+    folder, asked = f"{tmp_out}/odd [in] a%20b", []
+    pattern = folder.replace("[", "\\[").replace("]", "\\]")
+
+    def read(paths):
+        asked.append(len(paths))
+        return spark.read.parquet(*paths)
+
+    kept = live_report.LiveReport(spark, f"{tmp_out}/store", read)
+    add = lambda words, mode="append": texts(spark, words).coalesce(1).write.mode(mode).parquet(folder)
+
+    def same():
+        got = kept.report(pattern).collect()
+        return got == report_metrics(label_rules(spark.read.parquet(pattern))).select(*got[0].asDict()).collect()
+
+    add(["good day", "bad day", "day", None])
+    assert same() and asked == [1]
+    add(["great great", "excellent amazing wonderful fantastic"])
+    assert same() and asked == [1, 1]
+    assert same() and asked == [1, 1]  # nothing new, nothing read
+    spark.createDataFrame([], "id long, text string").coalesce(1).write.mode("append").parquet(folder)
+    assert same()
+    read_so_far = len(asked)
+    add(["terrible"], "overwrite")  # the other files are gone
+    assert same() and len(asked) == read_so_far + 1
+    monkeypatch.setattr(live_report, "FILES_AT_ONCE", 2)
+    for k in range(5):
+        add([f"good {k}"])
+    assert same() and asked[read_so_far + 1:] == [2, 2, 1]
+    spark.read.parquet(kept.store).write.mode("append").parquet(f"{kept.store}-copy")
+    spark.read.parquet(f"{kept.store}-copy").write.mode("append").parquet(kept.store)  # stored twice counts once
+    assert same()

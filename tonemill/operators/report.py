@@ -25,25 +25,34 @@ def _cents(confidence: Column) -> Column:
     return F.round(confidence * F.lit(100.0)).cast("long")
 
 
+COUNTERS = ["total", *(label.lower() for label in LABELS), "cents", "n_confidence", "high_count", "very_high_count", "low_count"]
+
+
+def counters(label_col: str = "label", confidence_col: str = "confidence") -> list[Column]:
+    """The aggregates the report is made of, named as ``COUNTERS``; those of parts
+    of a table add up to those of the table."""
+    lab, conf = F.col(label_col), F.col(confidence_col)
+    found = [
+        F.count(F.lit(1)).cast("long"), *[_count_if(lab == F.lit(l)) for l in LABELS],
+        F.coalesce(F.sum(_cents(conf)), F.lit(0)).cast("long"), F.count(conf).cast("long"),
+        _count_if(conf >= HIGH), _count_if(conf >= VERY_HIGH), _count_if(conf < LOW_BELOW),
+    ]
+    return [c.alias(name) for c, name in zip(found, COUNTERS)]
+
+
+def metrics_of(counted: DataFrame) -> DataFrame:
+    """The report's numbers from a row of counters: the exact mean (whole cents
+    summed), and the 1-decimal value the report shows."""
+    mean = F.when(F.col("n_confidence") > 0, F.col("cents").cast("double") / F.col("n_confidence") / F.lit(100.0))
+    out = counted.withColumn("avg_confidence", mean)
+    return out.withColumn("avg_confidence_display", py_round(F.col("avg_confidence"), 1)).drop("cents", "n_confidence")
+
+
 def report_metrics(
     df: DataFrame, label_col: str = "label", confidence_col: str = "confidence"
 ) -> DataFrame:
     """Every number of the report in one row, from one aggregate."""
-    lab, conf = F.col(label_col), F.col(confidence_col)
-    total = F.count(F.lit(1)).cast("long")
-    out = df.agg(
-        total.alias("total"),
-        *[_count_if(lab == F.lit(l)).alias(l.lower()) for l in LABELS],
-        F.sum(_cents(conf)).cast("long").alias("__cents"),
-        F.count(conf).cast("long").alias("__nconf"),
-        _count_if(conf >= HIGH).alias("high_count"),
-        _count_if(conf >= VERY_HIGH).alias("very_high_count"),
-        _count_if(conf < LOW_BELOW).alias("low_count"),
-    )
-    # Exact mean (whole cents summed), and the 1-decimal value the report shows.
-    mean = F.when(F.col("__nconf") > 0, F.col("__cents").cast("double") / F.col("__nconf") / F.lit(100.0))
-    out = out.withColumn("avg_confidence", mean)
-    return out.withColumn("avg_confidence_display", py_round(F.col("avg_confidence"), 1)).drop("__cents", "__nconf")
+    return metrics_of(df.agg(*counters(label_col, confidence_col)))
 
 
 def confidence_stats(df: DataFrame, label_col: str = "label", confidence_col: str = "confidence") -> DataFrame:

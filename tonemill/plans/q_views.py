@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.report import confidence_band
 from tonemill.lexicon import COVERAGE_LEXICON
-from tonemill.operators import labeling, report, schema, views
+from tonemill.operators import labeling, live_report, report, schema, views
 from tonemill.plans.fixtures import review_view, review_view_sql
-from tonemill.plans.registry import query
+from tonemill.plans.registry import ORACLE, query
 from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_ctes
-from tonemill.session import keep_table
+from tonemill.session import keep_table, scratch_path
 from tonemill.sources.tables import load_table
 
 REVIEW_SRC = f"src AS ({review_view_sql()}),"
@@ -73,6 +73,17 @@ def q_report_reviews(spark, sf_dir):
     return report.report_metrics(labeled_reviews(spark, sf_dir))
 
 
+# --- A1-A5 kept up to date: two deliveries of files, the second one read alone ------
+@query("live_report", ORACLE["report_reviews"])
+def q_live_report(spark, sf_dir):
+    folder, rows = scratch_path(spark, "deliveries"), review_view(spark, sf_dir)
+    kept = live_report.LiveReport(spark, scratch_path(spark, "report"))
+    for k in range(2):
+        rows.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(folder)
+        kept.update(folder)
+    return kept.report(folder)
+
+
 # --- P6: confidence band -------------------------------------------------------
 @query("confidence_band", f"""{REVIEW_LABELED}
 SELECT doc_id, confidence, CASE WHEN confidence >= 85.0 THEN 'high' WHEN confidence >= 60.0 THEN 'medium'

@@ -166,13 +166,19 @@ def read_reviews(
     return out
 
 
+def literal_path(file: str) -> str:
+    """A ``_metadata.file_path`` as a path that readers take literally: decoded,
+    and its pattern characters escaped."""
+    return re.sub(r"([*?\[\]{}\\^])", r"\\\1", unquote(file))
+
+
 def _paths_of_kinds(files: DataFrame) -> dict[tuple, list[str]]:
     """The files of each kind, as paths a reader takes literally; nothing if
     there are more than LISTED_FILES."""
     rows = files.limit(LISTED_FILES + 1).collect()
     out: dict[tuple, list[str]] = {}
     for r in rows if len(rows) <= LISTED_FILES else []:
-        out.setdefault((r.encoding, r.header, r.late), []).append(re.sub(r"([*?\[\]{}\\^])", r"\\\1", unquote(r.file)))
+        out.setdefault((r.encoding, r.header, r.late), []).append(literal_path(r.file))
     return out
 
 
