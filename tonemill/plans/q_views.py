@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.report import confidence_band
 from tonemill.lexicon import COVERAGE_LEXICON
-from tonemill.operators import labeling, live_report, report, schema, views
+from tonemill.operators import labeling, lexicon_scan, live_report, report, schema, views
 from tonemill.plans.fixtures import review_view, review_view_sql
 from tonemill.plans.registry import ORACLE, query
 from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_ctes
@@ -232,3 +232,26 @@ def q_walk_pages(spark, sf_dir):
             pages.append(page.select(F.lit(way).alias("way"), "conv_id", "turn", "speaker"))
             cursor = tuple(edge[0])
     return reduce(DataFrame.unionByName, pages) if pages else conv.selectExpr("CAST(NULL AS STRING) AS way", "*")
+
+
+# --- T2, T4, T6 with a large lexicon: 20,000 words of the corpus and phrases --------
+LEXICON_WORDS = 20_000
+_CORPUS_LEXICON = f"""t AS (SELECT doc_id, {_LT} AS t FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS entry FROM t),
+words AS (SELECT entry FROM (SELECT DISTINCT entry FROM w WHERE entry <> '') ORDER BY md5(entry) LIMIT {LEXICON_WORDS}),
+phrases AS (SELECT DISTINCT s[1] || ' ' || s[2] AS entry FROM (SELECT string_split(t, ' ') AS s FROM t) WHERE len(s) > 1 AND s[1] <> '' AND s[2] <> ''),
+lex AS (SELECT entry, CASE WHEN md5(entry) < '8' THEN 'pos' ELSE 'neg' END AS kind FROM (SELECT * FROM words UNION SELECT * FROM phrases))"""
+
+
+@query("lexicon_hits_large", f"""WITH {_CORPUS_LEXICON},
+hits AS (SELECT w.doc_id, kind FROM w JOIN lex USING (entry)
+  UNION ALL SELECT t.doc_id, kind FROM t JOIN lex ON contains(entry, ' ') AND contains(' ' || t || ' ', ' ' || entry || ' ')),
+n AS (SELECT doc_id, count_if(kind = 'pos') AS p, count_if(kind = 'neg') AS n FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(p, 0) AS INTEGER) AS pos_hits, CAST(coalesce(n, 0) AS INTEGER) AS neg_hits FROM t LEFT JOIN n USING (doc_id)""")
+def q_lexicon_hits_large(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    parts = docs.select(F.split(F.lower(F.coalesce("text", F.lit("nan"))), " ").alias("s"))
+    words = parts.select(F.explode("s").alias("entry")).where("entry <> ''").distinct().orderBy(F.md5(F.col("entry").cast("binary"))).limit(LEXICON_WORDS)
+    phrases = parts.where("size(s) > 1 AND s[0] <> '' AND s[1] <> ''").select(F.concat_ws(" ", F.col("s")[0], F.col("s")[1]).alias("entry")).distinct()
+    entries = keep_table(words.union(phrases).select("entry", F.when(F.md5(F.col("entry").cast("binary")) < "8", "pos").otherwise("neg").alias("kind")))
+    return lexicon_scan.lexicon_counts(docs, entries, ["pos", "neg"]).select("doc_id", "pos_hits", "neg_hits")
