@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.report import confidence_band
 from tonemill.lexicon import COVERAGE_LEXICON
-from tonemill.operators import labeling, lexicon_scan, live_report, report, schema, views
+from tonemill.operators import labeling, lexicon_scan, live_report, report, row_index, schema, views
 from tonemill.plans.fixtures import review_view, review_view_sql
 from tonemill.plans.registry import ORACLE, query
 from tonemill.plans.sql import _any, _count, _hits, d, pct, py_round_sql, rules_ctes
@@ -158,6 +158,16 @@ def q_preview_page(spark, sf_dir):
     return views.page_at(labeled, "doc_id", PAGE_OFFSET, PAGE_SIZE)
 
 
+@query("pages_of_kept_index", f"{_INDEXED} SELECT doc_id, text, label, confidence, row_idx FROM ix WHERE row_idx = {ROW_AT} "
+                              f"OR (row_idx >= {PAGE_OFFSET} AND row_idx < {PAGE_OFFSET + PAGE_SIZE})")
+def q_pages_of_kept_index(spark, sf_dir):
+    # Built once; the row and the page are pruned scans of what was written.
+    path = scratch_path(spark, "row-index")
+    row_index.build(labeled_reviews(spark, sf_dir).select("doc_id", "text", "label", "confidence"), "doc_id", path)
+    index = row_index.RowIndex(spark, path)
+    return index.row_at(ROW_AT).drop("position").unionByName(index.page(PAGE_OFFSET, PAGE_SIZE)).distinct()
+
+
 @query("row_index", f"{_INDEXED} SELECT doc_id, text, label, row_idx FROM ix")
 def q_row_index(spark, sf_dir):
     return views.with_row_index(labeled_reviews(spark, sf_dir), "doc_id").select("doc_id", "text", "label", "row_idx")
