@@ -93,3 +93,18 @@ def test_query_sums_to_documents(spark, library):
         at += len(p) + 1
     n, c = brute(library, texts[7], [p for p in parts if p[0] < p[1]], "majority")
     assert [(r.n_tokens, r.n_crossing) for r in sorted(one, key=lambda r: r.section)] == list(zip(n, c))
+
+
+def test_sections_without_bounds_have_null_counts(spark, library):
+    text = "Some words here and there, 漢字 too."
+    parts = [("a", 0, 4), ("b", None, 9), None, ("c", 5, None), ("d", 5, 20), (None, 20, 33)]
+    rows = [(1, text, parts), (2, text, [("x", None, None)]), (3, None, [("y", 0, 0), None]), (None, text, parts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<name:string,start:int,end:int>>")
+    n, c = brute(library, text, [(0, 4), (5, 20), (20, 33)], "majority")
+    got = {(r.doc_id, r.section): tuple(r)[2:] for r in count_tokens(df, sections="parts").collect()}
+    total = len(library.encode(text, add_special_tokens=False).ids)
+    for i in (1, None):
+        assert [got[i, k] for k in range(6)] == [
+            ("a", 0, 4, n[0], c[0], total), ("b", None, None, None, None, total), (None, None, None, None, None, total),
+            ("c", None, None, None, None, total), ("d", 5, 20, n[1], c[1], total), (None, 20, 33, n[2], c[2], total)]
+    assert got[2, 0] == ("x", None, None, None, None, total) and got[3, 0] == ("y", 0, 0, 0, 0, 0) and got[3, 1][1:5] == (None,) * 4

@@ -19,8 +19,10 @@ of the text, each with its newline. Characters outside all sections belong to
 none: their tokens are counted in the document's ``n_tokens`` only.
 
 Defined cases: a null or empty text has one line section ``0`` of no tokens;
-null or empty section lists give no rows; tokens outside all sections count
-for no section; other columns are not carried along, only the key is.
+null or empty section lists give no rows; a section that is null or has a null
+bound keeps its row and name, with null bounds and counts, and takes no tokens;
+lists that are unsorted or overlap are an error; tokens outside all sections
+count for no section; other columns are not carried along, only the key is.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text_col: str = "text", sec
         encoder = source.get()
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            rows, sizes, totals = [], [], []
+            rows, sizes, totals, missing = [], [], [], []
             for a, b in chunks(offsets):
                 part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 ids, count = encoder.encode(part, at)
@@ -103,12 +105,13 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text_col: str = "text", sec
                 for i, (s, e) in enumerate(zip(last - count, last)):
                     text = part[at[i]:at[i + 1]]
                     first, final = char_spans(text, ends[s:e] - at[i])
-                    starts, stops = bounds(batch, a + i, text, sections)
-                    n, crossing = attribute(first, final, starts, stops, rule)
-                    rows.append((np.arange(len(starts)), starts, stops, n, crossing))
-                    sizes.append(len(starts))
+                    starts, stops, known = bounds(batch, a + i, text, sections)
+                    n, crossing = attribute(first, final, starts[known], stops[known], rule)
+                    rows.append((np.arange(len(known)), starts[known], stops[known], n, crossing))
+                    missing.append(~known)
+                    sizes.append(len(known))
                 totals.append(count)
-            values = [pa.array(np.concatenate([r[k] for r in rows]) if rows else [], kind) for k, kind in enumerate(kinds)]
+            values = filled(rows, missing, kinds)
             parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(values, names=names)).cast(lists)
             total = pa.array(np.concatenate(totals) if totals else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c not in ("text", "bounds")] + [total, parts], names=[c for c in batch.schema.names if c not in ("text", "bounds")] + ["doc_tokens", "parts"])
@@ -122,16 +125,29 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text_col: str = "text", sec
     return out.select(F.col("key").alias(key), "section", *name, "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens")
 
 
-def bounds(batch: pa.RecordBatch, row: int, text: np.ndarray, sections: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Section bounds of one document, in characters."""
+def filled(rows: list[tuple], missing: list[np.ndarray], kinds: list) -> list[pa.Array]:
+    """The columns of all sections: places, then values that are null where a
+    section is ``missing``."""
+    gone = np.concatenate(missing) if missing else np.zeros(0, bool)
+    out = [pa.array(np.concatenate([r[0] for r in rows]) if rows else [], kinds[0])]
+    for k, kind in enumerate(kinds[1:], 1):
+        values = np.zeros(len(gone), np.int64)
+        values[~gone] = np.concatenate([r[k] for r in rows]) if rows else []
+        out.append(pa.array(values, kind, mask=gone))
+    return out
+
+
+def bounds(batch: pa.RecordBatch, row: int, text: np.ndarray, sections: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Section bounds of one document, in characters, and whether both are known."""
     if not sections:
         lead = np.flatnonzero((text & 0xC0) != 0x80)
         ends = np.flatnonzero(text[lead] == 10) + 1
         if not len(ends) or ends[-1] < len(lead):
             ends = np.append(ends, len(lead))
-        return np.concatenate([[0], ends[:-1]]), ends
-    spans = batch.column("bounds")[row].as_py()
-    starts, ends = (np.array([s[k] for s in spans], np.int64) for k in ("start", "end"))
-    if (starts > ends).any() or (starts[1:] < ends[:-1]).any():
+        return np.concatenate([[0], ends[:-1]]), ends, np.ones(len(ends), bool)
+    spans = [s if s and s["start"] is not None and s["end"] is not None else None for s in batch.column("bounds")[row].as_py()]
+    known = np.array([s is not None for s in spans], bool)
+    starts, ends = (np.array([s[k] if s else 0 for s in spans], np.int64) for k in ("start", "end"))
+    if (starts[known] > ends[known]).any() or (starts[known][1:] < ends[known][:-1]).any():
         raise ValueError("sections must be sorted and must not overlap")
-    return starts, ends
+    return starts, ends, known
