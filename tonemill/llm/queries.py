@@ -126,20 +126,29 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    """Plain SQL for the license scan: every line against every template."""
+    """Plain SQL for the license scan: every block of every text that holds a
+    template's telling words against the template."""
     words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({i}, '{label}', '{body}')" for i, (label, body) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"({i}, '{t.label}', '{t.body}', '{t.telling}', '{t.barred}')" for i, t in enumerate(licenses.TEMPLATES))
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
 phrases AS (SELECT string_split(col0, ' ') AS p, col1 AS label FROM (VALUES {phrases})),
-templates AS (SELECT col0 AS template, col1 AS label, list_distinct(string_split(col2, ' ')) AS body FROM (VALUES {templates})),
+templates AS (
+  SELECT col0 AS template, col1 AS label, list_distinct(string_split(col2, ' ')) AS body, len(string_split(col2, ' ')) * 3 // 2 AS span, string_split(col3, ' ') AS telling,
+    string_split(col4, ' ') AS barred FROM (VALUES {templates})
+),
 starts AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM docs, phrases),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM starts GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM docs WHERE regexp_matches(text, '(?i)licen|software|redistribution|permission|public|work|mit|cc|apache|under')),
-held AS (SELECT doc_id, list_distinct({words.format('line')}) AS w FROM lines),
-near AS (SELECT doc_id, label, len(list_intersect(w, body)) AS n, len(body) AS size FROM held, templates),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS best FROM near WHERE n >= ceil({licenses.THRESHOLD} * size) GROUP BY doc_id)
+blocks AS (
+  SELECT doc_id, template, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(body, w[i])), lambda i: w[i:i + span - 1])) AS block
+  FROM docs JOIN templates ON list_has_all(w, telling)
+),
+near AS (
+  SELECT doc_id, label, len(list_intersect(list_distinct(block), body)) AS n, len(body) AS size FROM blocks JOIN templates USING (template)
+  WHERE list_has_all(block, telling) AND NOT list_has_any(block, barred)
+),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS best FROM near WHERE n >= ceil({licenses.THRESHOLD} * size - 1e-9) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
