@@ -38,6 +38,18 @@ def q_read_reviews(spark, sf_dir):
     return labeling.label_rules(read_reviews(spark, path))
 
 
+# --- S2: quoted newlines in files that many tasks share -----------------------
+_BROKEN = "replace(replace(text, ', ', ',' || chr(10)), '. ', '.' || chr(10) || '\"')"
+
+
+@query("read_quoted_newlines", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN {_BROKEN} IN ({_NA_SQL}) THEN NULL ELSE {_BROKEN} END AS text FROM documents")
+def q_read_quoted_newlines(spark, sf_dir):
+    path = scratch_path(spark, "quoted-newlines-csv")
+    broken = F.replace(F.replace("text", F.lit(", "), F.lit(",\n")), F.lit(". "), F.lit('.\n"'))
+    sinks.export_csv(load_table(spark, sf_dir, "documents").select("doc_id", broken.alias("text")), path)
+    return read_reviews(spark, path, multi_line="split").select("doc_id", "text")
+
+
 # --- S3: records with too many fields are skipped, short ones padded ----------
 BAD_EVERY, LONG_AT, SHORT_AT, BLANK_AT, INNER_AT, SPACES_AT = 13, 4, 7, 9, 5, 2
 HEADER = "doc_id,text"

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemill.session import keep_table
+from tonemill.sources.quoted import read_records
 
 EXTENSIONS = ("csv", "tsv", "txt")
 
@@ -127,7 +128,7 @@ def read_reviews(
     *,
     sep: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     na_values=NA_VALUES,
     extensions=EXTENSIONS,
     check_nonempty: bool = True,
@@ -135,8 +136,9 @@ def read_reviews(
     """Read delimited review files tolerantly (see the module docstring).
 
     ``encoding=None`` and ``sep=None`` decide per file. ``multi_line`` allows
-    quoted newlines but keeps each file in one task; pass ``False`` for huge
-    single files without embedded newlines so Spark can split them.
+    quoted newlines but keeps each file in one task; ``"split"`` allows them and
+    lets many tasks share a file, which is then scanned twice more
+    (``sources.quoted``); pass ``False`` for huge files without embedded newlines.
     """
     files = keep_table(file_kinds(spark, path, extensions, encoding), name="review-files")
     kinds = files.select("encoding", "header", "late").distinct().limit(MAX_KINDS + 1).collect()
@@ -151,7 +153,7 @@ def read_reviews(
         names = mangle_header(fields)
         own_paths = named.get((kind.encoding, kind.header, kind.late), path)
         part = _parsed(spark, own_paths, names, kind_sep, kind.encoding, multi_line, extensions)
-        if kind.late:  # the parser took the line of blanks for the header, and the header for a record
+        if kind.late and multi_line != "split":  # the parser took the line of blanks for the header, and the header for a record
             same = [F.coalesce(F.col(f"`{n}`"), F.lit("")) == F.lit(f) for n, f in zip(names, fields)]
             part = part.filter(~reduce(and_, same))
         if len(kinds) > 1 and not named:
@@ -182,29 +184,30 @@ def _paths_of_kinds(files: DataFrame) -> dict[tuple, list[str]]:
     return out
 
 
-def _parsed(spark: SparkSession, path, names: list[str], sep: str, encoding: str, multi_line: bool, extensions) -> DataFrame:
+def _parsed(spark: SparkSession, path, names: list[str], sep: str, encoding: str, multi_line: bool | str, extensions) -> DataFrame:
     """All files parsed with one header and separator, records with too many
     fields and blank lines dropped; the file's path comes along."""
     schema = T.StructType(
         [T.StructField(n, T.StringType(), True) for n in names] + [T.StructField(_CORRUPT, T.StringType(), True)]
     )
-    raw = (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", _glob(extensions))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    raw = raw.select("*", F.col("_metadata.file_path").alias(_FILE))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if multi_line == "split":
+        ddl = ", ".join("`" + f.name.replace("`", "``") + "` STRING" for f in schema.fields)
+        records = read_records(spark, path, sep, encoding, _glob(extensions))
+        raw = records.select(F.from_csv("record", ddl, options).alias("r"), F.col("file").alias(_FILE)).select("r.*", _FILE)
+    else:
+        raw = (
+            spark.read.schema(schema)
+            .options(**options)
+            .option("pathGlobFilter", _glob(extensions))
+            .option("header", True)
+            .option("enforceSchema", True)
+            .option("multiLine", multi_line)
+            .option("encoding", encoding)
+            .csv(path)
+        )
+        raw = raw.select("*", F.col("_metadata.file_path").alias(_FILE))
     # The parser flags records with too many *and* too few fields; keep the
     # short ones. Field count = delimiters outside quoted fields + 1. Without
     # its doubled quotes a quoted field is '"..."' after a delimiter or at the
