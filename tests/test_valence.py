@@ -160,3 +160,22 @@ def test_lexicon_over_the_broadcast_bound(spark, monkeypatch):
         valence_compound(df, LEX)
     assert valence_compound(df, LEX, strategy="join").first().compound == brute("good bad great")
     assert ensemble.label_ensemble(df, valence_lexicon=LEX, valence_strategy="join").count() == 1
+
+
+def test_join_strategy_moves_no_text(spark, monkeypatch):
+    from tonemill.functions.valence import BOOSTER_INCREMENT, EXCLAMATION_STEP, ValenceRules
+    from tonemill.operators import valence as op
+
+    df = spark.createDataFrame([(1, "good bad great"), (2, None), (3, ""), (4, "not very good! " * 50), (5, "other words")], "id long, text string")
+    rules = ValenceRules(negators=("not",), boosters={"very": BOOSTER_INCREMENT}, exclamation_step=EXCLAMATION_STEP)
+    for active in (None, rules):
+        small = valence_compound(df, LEX, strategy="join", rules=active)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "checkpoint" not in plan.lower()
+        want = {r.id: r.compound for r in valence_compound(df, LEX, rules=active).collect()}
+        assert {r.id: r.compound for r in small.collect()} == want
+        with monkeypatch.context() as m:
+            m.setattr(op, "BROADCAST_MAX", 0)
+            assert {r.id: r.compound for r in valence_compound(df, LEX, strategy="join", rules=active).collect()} == want
+    lex = spark.createDataFrame(list(LEX.items()), "token string, valence double")
+    assert {r.token for r in op.heard(df, lex).collect()} == {t for t in LEX if t in ("good", "bad", "great")}

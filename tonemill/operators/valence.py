@@ -8,9 +8,13 @@ picks the physical strategy; the results are the same:
   broadcast lexicon, one hashed ``index_in`` per Arrow batch. Only the token
   column crosses into Python; no shuffle, works on streams. The lexicon is
   broadcast, so it may have ``BROADCAST_MAX`` entries at most; more is an error.
-* ``join`` (any lexicon size): rows get an id and are checkpointed, tokens are
-  exploded, counted per row within each task, joined with the lexicon and summed
-  per row id; the sums are joined back, rows without a hit have sum zero.
+* ``join`` (any lexicon size): the corpus's distinct tokens, folded in each task
+  before they move, are joined with the lexicon; what is left of the lexicon, the
+  entries that some text holds, is written and looked up as in ``arrow``, so no
+  text is shuffled or stored. Only if more than ``BROADCAST_MAX`` entries are left,
+  rows get an id and are checkpointed, tokens are exploded, counted per row within
+  each task, joined with the lexicon and summed per row id; the sums are joined
+  back, rows without a hit have sum zero.
 
 Valences are decimals of ``VALENCE_DECIMALS`` places, summed as whole numbers, so
 the sum is exact and does not depend on the order of the tokens. With context
@@ -27,7 +31,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from tonemill.functions import valence as V
 from tonemill.functions.rules import to_percent
-from tonemill.session import checkpointed
+from tonemill.session import checkpointed, keep_table
 
 BROADCAST_MAX = 2_000_000  # lexicon entries broadcast to every task
 STRATEGIES = ("arrow", "join")
@@ -169,16 +173,18 @@ def valence_compound(
     n_entries = lex.count()
     active = rules if rules is not None and rules.active else None
     total = "__tm_vsum"
-    if strategy == "arrow":
-        if n_entries > BROADCAST_MAX:
-            raise ValueError(f"the lexicon has {n_entries} entries; over {BROADCAST_MAX} take strategy='join'")
+    if strategy == "join":
+        lex = heard(df, lex, text_col)
+        n_entries = lex.count()
+    elif n_entries > BROADCAST_MAX:
+        raise ValueError(f"the lexicon has {n_entries} entries; over {BROADCAST_MAX} take strategy='join'")
+    if n_entries <= BROADCAST_MAX:
         udf = _rules_sum(spark, lex, active) if active else _lexicon_sum(spark, lex)
         staged = df.withColumn(total, udf(V.valence_tokens(text_col)))
     else:
         # The id is fixed by the checkpoint: both uses below see the same rows.
         rows = checkpointed(df.withColumn(_ROW, F.monotonically_increasing_id()))
-        lex_side = F.broadcast(lex) if n_entries <= BROADCAST_MAX else lex
-        sums = _join_rules_sums(rows, lex_side, text_col, active) if active else _join_sums(rows, lex_side, text_col)
+        sums = _join_rules_sums(rows, lex, text_col, active) if active else _join_sums(rows, lex, text_col)
         staged = rows.join(sums.withColumnRenamed("sum", total), _ROW, "left").drop(_ROW)
     if not active:
         return staged.withColumn(out, V.compound_from_sum(total)).drop(total)
@@ -186,6 +192,12 @@ def valence_compound(
     return staged.withColumn(total, emphasised).withColumn(out, V.compound_from_double(total)).drop(total)
 
 
+def heard(df: DataFrame, lex: DataFrame, text_col: str = "text") -> DataFrame:
+    """The lexicon entries whose token stands in some text, as a written table."""
+    tokens = df.select(F.explode(F.array_distinct(V.valence_tokens(text_col))).alias("token")).distinct()
+    return keep_table(lex.join(tokens, "token", "left_semi"), name="heard-lexicon")
+
+
 def _join_sums(rows: DataFrame, lex_side: DataFrame, text_col: str) -> DataFrame:
     """(row id, sum). Repeated tokens of a row are folded inside each task
     before any token moves, and weigh by their count."""
