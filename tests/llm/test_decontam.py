@@ -9,7 +9,12 @@ import regex
 from tonemill.llm import decontam as dc
 from tonemill.llm.ragged import table
 
-SLOT = {"unit": rf"(?<=\p{{Nd}}|\p{{Nd}}\s)(?:{'|'.join(sorted(dc.UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])", "name": r"(?<=[^.!?\s]\s)\p{Lu}\p{Ll}+(?!\p{L})", "number": r"\p{Nd}+(?:[.,]\p{Nd}+)*"}
+COUNTS = "|".join(dc.NUMBER_WORDS)
+SLOT = {
+    "unit": rf"(?<=\p{{Nd}}|\p{{Nd}}\s|(?<![\p{{L}}\p{{M}}])(?i:{COUNTS})\s)(?:{'|'.join(sorted(dc.UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])",
+    "number": rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|(?<![\p{{L}}\p{{M}}])(?i:{COUNTS})(?![\p{{L}}\p{{M}}])",
+    "name": r"(?<![\p{L}\p{M}])\p{Lu}\p{Ll}+(?!\p{L})",
+}
 
 
 def plain_template(text):
@@ -17,7 +22,9 @@ def plain_template(text):
     out, at = [], 0
     for m in regex.finditer("|".join(f"(?P<{k}>{v})" for k, v in SLOT.items()), text):
         out += [(w, None) for w in regex.findall(r"[\p{L}\p{M}]+", text[at:m.start()].lower())]
-        out.append((f"<{m.lastgroup}>", m.group().lower()))
+        value = m.group().lower()
+        opens = m.lastgroup == "name" and value in dc.OPENERS
+        out.append((value, None) if opens else (f"<{m.lastgroup}>", str(dc.NUMBER_WORDS.get(value, value))))
         at = m.end()
     return out + [(w, None) for w in regex.findall(r"[\p{L}\p{M}]+", text[at:].lower())]
 
@@ -29,7 +36,7 @@ def brute(docs, items, window=8, literals=4, coverage=0.3, consistency=0.8):
         for item_id, item in items.items():
             parts = plain_template(item)
             size = min(window, len(parts))
-            if not size:
+            if not size or len(parts) + sum(t == "<number>" for t, _ in parts) < 5 and len(parts) != len(tokens):
                 continue
             grams = {}
             for i in range(len(parts) - size + 1):
@@ -119,6 +126,23 @@ def test_items_with_few_plain_words(spark):
     assert got[16, 4].coverage == 1 / 3 and got[15, 5].coverage == 1
 
 
+def test_brief_items(spark):
+    items = [(1, "Why?"), (2, "True or false?"), (3, "What is 2 + 2?"), (4, "Chapter 3"), (5, "?"), (6, None), (7, "Why?")]
+    docs = [(1, "Nobody knows why the sea is salt."), (2, "He said it was true or false"), (3, "Tell me: what is 2 + 2? Well."), (4, "In chapter 3 they meet."), (5, "WHY"), (6, "True, or false!"), (7, "Chapter three"), (8, "Chapter 4"), (9, "why why")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.matches(docs, bench).collect()} == {(3, 3), (5, 1), (5, 7), (6, 2), (7, 4)}
+    assert {tuple(r) for r in dc.brief_items(bench).collect()} == {(1, 1), (2, 3), (4, 2), (7, 1)}
+
+
+def test_number_words_and_opening_names(spark):
+    items = [(1, "Tom has 3 apples and eats 2 now"), (2, "How far does the red train go in three hours at 60 miles an hour?")]
+    docs = [(1, "Ann has 5 apples and eats 4 now"), (2, "So it goes. Ann has five apples and eats four now, he said."), (3, "Yesterday Tom has three apples and eats two now"),
+            (4, "Question: How far does the red train go in 3 hours at sixty miles an hour?"), (5, "How far does the red train go in Seven hours at forty miles an hour"), (6, "someone has threefold apples and eats two now")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.reworded for r in dc.matches(docs, bench).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (3, 1): False, (4, 2): False, (5, 2): True}
+
+
 def test_copy_after_an_inconsistent_one(spark):
     mixed = ITEMS[1].replace("named Alice", "named Clara").replace("way Alice", "way Edith").replace("does Alice", "does Ferdi")
     new = ITEMS[1].replace("Alice", "Clara").replace("12", "40").replace("3.50", "9").replace("Bob", "Dieter")

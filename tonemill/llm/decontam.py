@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation (DataFrame only).
 
-Numbers, names (capitalised words inside a sentence) and units after a number
-become typed placeholders; the rest is lower-cased words. Windows of ``window``
+Numbers (digits, and the words up to twenty and the tens, which stand for their
+digits), names (capitalised words wherever they stand, but for the ``OPENERS`` of
+sentences) and units after a number become typed placeholders; the rest is
+lower-cased words. Windows of ``window``
 tokens of these templates are hashed on both sides and joined, so a question
 whose numbers or names were exchanged still matches. Windows with fewer than
 ``LITERALS`` plain words (or, if shorter, with any slot) are too common as
@@ -20,7 +22,11 @@ any of three readings: the first place of each window in the whole document, a
 run of places in the item's order, or the places of one alignment (place less
 start). So a copy counts whatever else of the template stands in the document.
 The row gives the first of these readings that passes. Items with
-fewer tokens than ``window`` use one window of their own length.
+fewer tokens than ``window`` use one window of their own length. Brief items, of
+less than ``LEAST_EVIDENCE`` tokens (a number counts twice, as its value must be
+the same), are common phrases inside a text ("Why?", "True or false?"): they are
+found only in a document that is the item and nothing else. ``brief_items`` lists
+them.
 
 The window join carries keys, positions and hashes, no text. The benchmark's
 windows are broadcast only up to ``BROADCAST_ROWS`` of them, and the reported
@@ -30,7 +36,8 @@ broadcast windows, only places whose first ``LEAD`` tokens begin some item windo
 are hashed in full: the hash of these tokens, one for each place and cheap, meets
 the broadcast table first.
 
-Defined cases: null and empty texts and items match nothing; signs between words
+Defined cases: null and empty texts and items match nothing; a capitalised word
+that is no opener and its lower-case form are different tokens; signs between words
 do not count, so "12 * 34" is "12 + 34"; a repeated document row is reported
 once per distinct text of its key; repeated items with one id count as one.
 """
@@ -48,6 +55,7 @@ WINDOW = 8
 LITERALS = 4
 LEAD = 3
 BLOCK = 256
+LEAST_EVIDENCE = 5
 COVERAGE, CONSISTENCY = 0.3, 0.8
 BROADCAST_ROWS = 1_000_000
 OWNER = ["doc_id", "text_hash", "item_id"]
@@ -61,18 +69,37 @@ UNITS = (
     "seconds", "second", "s", "minutes", "minute", "min", "hours", "hour", "h", "days", "day", "weeks", "week", "months", "month", "years", "year",
     "dollars", "dollar", "cents", "cent", "euros", "euro", "percent", "degrees", "degree", "mph", "kmh", "watts", "watt", "volts", "volt",
 )
+# Number words, and what they stand for.
+NUMBER_WORDS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
+# Words that open sentences and are no names there.
+OPENERS = (
+    "a", "an", "the", "this", "that", "these", "those", "each", "every", "all", "both", "some", "any", "no", "none", "many", "most", "several", "few", "another", "other",
+    "i", "he", "she", "it", "we", "they", "you", "his", "her", "its", "our", "their", "your", "my",
+    "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "whether",
+    "is", "are", "was", "were", "am", "be", "do", "does", "did", "has", "have", "had", "can", "could", "will", "would", "shall", "should", "may", "might", "must",
+    "in", "on", "at", "by", "for", "from", "to", "of", "with", "without", "during", "after", "before", "since", "until", "under", "over", "between", "among", "into", "about", "as", "per",
+    "and", "or", "but", "nor", "so", "if", "then", "than", "because", "although", "though", "while", "once", "unless", "however", "therefore", "thus", "hence", "also", "now", "here", "there", "not", "only", "just", "later", "next", "finally", "first", "second", "last", "yes",
+    "true", "false", "answer", "question", "solve", "find", "compute", "calculate", "evaluate", "simplify", "determine", "prove", "show", "add", "subtract", "multiply", "divide", "let", "given", "suppose", "assume", "consider", "choose", "write", "explain", "describe", "name", "list", "complete",
+)
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-UNIT = rf"(\p{{Nd}}\s?)((?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}]))"
-NAME = r"\p{Lu}(?<=[^.!?\s]\s.)\p{Ll}+(?!\p{L})"
+NUMBER_WORD = rf"(?<![\p{{L}}\p{{M}}])(?=[e-zE-Z])(?i:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{M}}])"
+UNIT = rf"(\u0002(?:{NUMBER}\s?|\p{{L}}+\s))((?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}]))"
+NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?!(?i:{'|'.join([*OPENERS, *NUMBER_WORDS])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
 MARKS = "\u0001\u0002\u0003"  # name, number, unit
-PIECE = rf"\u0002{NUMBER}|[\u0001\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
+PIECE = rf"\u0002{NUMBER}|[\u0001-\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
 
 
 def pieces(text: Column) -> Column:
     """Lower-cased words of a text; a placeholder's mark stands before its value."""
     text = F.regexp_replace(F.translate(text, MARKS, "   "), NAME, "\u0001$0")
-    text = F.regexp_replace(F.regexp_replace(text, UNIT, "$1\u0003$2"), NUMBER, "\u0002$0")
-    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lower)
+    text = F.regexp_replace(F.regexp_replace(text, f"{NUMBER}|{NUMBER_WORD}", "\u0002$0"), UNIT, "$1\u0003$2")
+    digits = F.create_map(*[F.lit(f"\u0002{v}") for pair in NUMBER_WORDS.items() for v in pair])
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lower)
+    return F.transform(parts, lambda p: F.when(p.between("\u0002a", "\u0003"), F.coalesce(F.try_element_at(digits, p), p)).otherwise(p))
 
 
 def is_slot(piece: Column) -> Column:
@@ -119,15 +146,27 @@ def lead_at(i: Column, size: Column | int) -> Column:
     return F.xxhash64(F.least(F.lit(size), F.lit(LEAD)), *each)
 
 
+def is_brief(parts: Column) -> Column:
+    """Whether an item's pieces say too little to be looked for inside a text."""
+    numbers = F.size(F.filter(parts, lambda t: F.substring(t, 1, 1) == "\u0002"))
+    return F.size(parts) + numbers < LEAST_EVIDENCE
+
+
+def brief_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_tokens): items with a token that only whole documents match."""
+    parts = benchmark.where("text is not null").select("item_id", pieces(F.col("text")).alias("pieces")).where(F.size("pieces") > 0)
+    return parts.where(is_brief(F.col("pieces"))).select("item_id", F.size("pieces").alias("n_tokens")).distinct()
+
+
 def item_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, n_tokens, size, lead, hash, exact, starts, n_windows, n_all):
+    """(item_id, n_tokens, brief, size, lead, hash, exact, starts, n_windows, n_all):
     distinct windows of each item, ``starts`` counted from 0; ``n_windows`` are
     those not exact."""
-    parts = items.select("item_id", F.size("pieces").alias("n_tokens"), *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
+    parts = items.select("item_id", F.size("pieces").alias("n_tokens"), is_brief(F.col("pieces")).alias("brief"), *hashed(F.col("pieces"))).withColumn("size", F.least(F.size("tokens"), F.lit(window))).where("size > 0")
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
     each = F.transform(starts, lambda i: F.struct(i.alias("start"), lead_at(i, F.col("size")).alias("lead"), *window_at(i + 1, F.col("size"), literals)))
-    rows = parts.select("item_id", "n_tokens", "size", F.inline(each))
-    rows = rows.groupBy("item_id", "n_tokens", "size", "lead", "hash", "exact").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    rows = parts.select("item_id", "n_tokens", "brief", "size", F.inline(each))
+    rows = rows.groupBy("item_id", "n_tokens", "brief", "size", "lead", "hash", "exact").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     totals = rows.groupBy("item_id").agg(F.count_if(~F.col("exact")).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
     return rows.join(totals, "item_id")
 
@@ -137,11 +176,11 @@ def blocks(parts: DataFrame, window: int) -> DataFrame:
     that windows from there on reach."""
     begins = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
     cut = lambda b: F.struct((b - 1).alias("base"), *[F.slice(c, b, F.lit(BLOCK + window - 1)).alias(c) for c in ("tokens", "exact_tokens", "slot")])
-    return parts.select("doc_id", "text_hash", F.inline(F.transform(begins, cut)))
+    return parts.select("doc_id", "text_hash", F.size("tokens").alias("n_doc"), F.inline(F.transform(begins, cut)))
 
 
 def doc_windows(parts: DataFrame, leads: DataFrame | None, sizes: list[int], window: int, literals: int) -> DataFrame:
-    """(doc_id, text_hash, size, place, hash, exact): windows of all sizes from
+    """(doc_id, text_hash, n_doc, size, place, hash, exact): windows of all sizes from
     every place, or only from those where one of ``leads`` (lead, size) stands."""
     places = F.slice("tokens", 1, BLOCK)
     if leads is None:
@@ -152,7 +191,7 @@ def doc_windows(parts: DataFrame, leads: DataFrame | None, sizes: list[int], win
         at = [leading(n) for n in sorted({min(s, LEAD) for s in sizes})]
         rows = blocks(parts, window).select("*", F.inline(F.concat(*at))).join(F.broadcast(leads), "lead")
     rows = rows.where(F.col("place") + F.col("size") <= F.size("tokens"))
-    return rows.select("doc_id", "text_hash", "size", (F.col("base") + F.col("place")).alias("place"), *window_at(F.col("place") + 1, F.col("size"), literals))
+    return rows.select("doc_id", "text_hash", "n_doc", "size", (F.col("base") + F.col("place")).alias("place"), *window_at(F.col("place") + 1, F.col("size"), literals))
 
 
 def within(rows: int, df: DataFrame) -> DataFrame:
@@ -173,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col
     parts = texts.select("doc_id", "text_hash", pieces(F.col("text")).alias("pieces")).select("doc_id", "text_hash", *hashed(F.col("pieces")))
     leads = wanted.select("lead", "size").distinct() if n_wanted <= BROADCAST_ROWS else None
     found = doc_windows(parts, leads, sizes or [window], window, literals)
-    found = found.join(within(n_wanted, wanted.drop("lead")), ["size", "hash", "exact"])
+    found = found.join(within(n_wanted, wanted.drop("lead")), ["size", "hash", "exact"]).where("not brief or n_doc = n_tokens")
     found = found.groupBy(*OWNER, "hash", "exact", "place").agg(*[F.first(c).alias(c) for c in ("starts", "n_tokens", "n_windows", "n_all", "size")])
     found = in_runs(found).withColumn("read", F.explode(readings())).select("*", "read.*")
     total = F.when(F.col("reading") < ALL, F.col("n_windows")).otherwise(F.col("n_all"))
