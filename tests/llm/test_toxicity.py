@@ -38,8 +38,8 @@ def test_character_counts():
 def test_viterbi_is_the_best_path(model):
     from itertools import product
 
-    for word in ("m0r0n", "st11", "1d10t", "$ca", "oo7", "stuuup"):
-        choices = toxicity.lattice(word, False)
+    for word in ("m0r0n", "st11", "1d10t", "$ca", "oo7", "stuuup", "a s c u m", "s s s c", "u u m"):
+        choices = toxicity.lattice(word)
 
         def score(pieces):
             a, b, s = 0, 0, sum(w for _, w in pieces)
@@ -74,6 +74,22 @@ def test_restores_beside_punctuation(spark, model, seen, want):
     test_restores(spark, model, seen, want)
 
 
+@pytest.mark.parametrize("seen,want", [
+    ("i d i o t s c u m", "idiot scum"), ("a m o r o n", "a moron"), ("1 2 3 4 5 a b c d", "1 2 3 4 5 a b c d"), ("a b c d", "a b c d"), ("i d 1 0 t", "idiot"), ("s t u u u p i d", "stupid"),
+    ("s-t-u-u-u-p-i-d", "stupid"), ("i\u00b7d\u00b7i\u00b7o\u00b7t", "idiot"), ("i\u200bd\u200bi\u200bo\u200bt", "idiot"), ("id\u200b\u2060iot", "idiot"), ("s\u2022c\u2022u\u2022m!", "scum"),
+    ("thing\u2014another", "thing\u2014another"), ("x y z", "x y z"), ("l\u00a0o\u00a0s\u00a0e\u00a0r", "loser"),
+])
+def test_blanks_and_wide_separators(spark, model, seen, want):
+    got = toxicity.restore_texts(spark.createDataFrame([(f"Reand the {seen} of thing",)], "text string"), model).first().restored
+    assert got == f"reand the {want} of thing"
+
+
+def test_long_runs_of_single_characters(spark, model):
+    rows = [("s c u m " * 20_000,), ("q " * 100_000,), ("z\u200b" * 50_000,)]
+    out = [r.restored for r in toxicity.restore_texts(spark.createDataFrame(rows, "text string"), model).collect()]
+    assert out[0].count("scum") > 10_000 and out[1] == ("q " * 100_000).strip() and "\u200bz" not in out[2]
+
+
 def test_plain_text_stays(spark, model):
     rows = [("The a$$$ of,### Été über ñandú 12.5 wow!! I a",), (None,), ("",), ("ox " * 50_000,), ("a b",)]
     out = toxicity.restore_texts(spark.createDataFrame(rows, "text string"), model).collect()

@@ -5,8 +5,10 @@
 2. Words that may be disguised (look-alike digits and symbols among letters,
    letters spread over spaces or separators, letters repeated three times or
    more) become lattices: a look-alike may stand for each of its letters or for
-   itself, a separator may vanish, a repeated letter may stand once or twice.
-   Viterbi decoding under the trigram model picks the restored word.
+   itself, a separator (blanks between single characters, too) may vanish or end
+   a word, invisible characters vanish, a repeated letter may stand once or twice.
+   Viterbi decoding under the trigram model picks the restored word or words; a
+   run of single characters stays as it is if no decoding reads like words.
 3. Documents are scored on the restored text: words and word beginnings whose
    share ``p`` of toxic training documents is high and significant (signed G2
    statistic) add ``-log(1 - p)`` once per document. A logistic link, fitted on
@@ -49,6 +51,10 @@ BINS, SPAN = 1000, 5.0
 # Look-alike characters and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 SEPARATORS = " .-_*"
+# Other separators (no-break space, middle dot, hyphens and dashes, bullets) and invisible characters.
+WIDE_SEPARATORS = "\u00a0\u00b7\u2010\u2011\u2012\u2013\u2014\u2022\u2027"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+BETWEEN = re.compile(f"(?<=[A-Za-z0-9@$!|+])(?:[{WIDE_SEPARATORS}]|[{INVISIBLE}]+)(?=[A-Za-z0-9@$!|+])")
 # A spelled-out word: letters or look-alikes with one separator between, and
 # punctuation at its edges.
 EDGE = rb"(?:[!-/:-@\[-`{-~]|\xe2\x80[\x80-\xbf])*"
@@ -118,21 +124,25 @@ def interpolated(tri: np.ndarray) -> np.ndarray:
 
 # Log weights of the channel: a look-alike read as a letter, kept as a word
 # end, a symbol dropped at an edge, a separator dropped, a letter run shortened.
-AS_LETTER, AS_ITSELF, AT_EDGE, DROPPED, ONCE, TWICE, ONCE_OF_TWO = -0.7, -9.0, -0.3, -0.1, -0.4, -0.6, -6.0
+# A blank between single characters that ends a word costs KEPT.
+AS_LETTER, AS_ITSELF, AT_EDGE, DROPPED, ONCE, TWICE, ONCE_OF_TWO, KEPT = -0.7, -9.0, -0.3, -0.1, -0.4, -0.6, -6.0, -3.0
+# Least mean log weight of a symbol of a decoded run of single characters (letters in no order of words have less).
+LIKE_WORDS = -4.5
+# Longer words are decoded each time and not remembered.
+REMEMBERED = 64
 
 
-def lattice(word: str, spread: bool) -> list[list[tuple[str, float]]]:
-    """The (text, log weight) choices of each run of one character."""
+def lattice(word: str) -> list[list[tuple[str, float]]]:
+    """The (text, log weight) choices of each run of one character. A letter that
+    stands again behind a separator may repeat the one before."""
     runs, i = [], 0
-    if spread:
-        word = word[::2] if all(c in SEPARATORS for c in word[1::2]) else word
     while i < len(word):
         j = i
         while j < len(word) and word[j] == word[i]:
             j += 1
         runs.append((word[i], j - i))
         i = j
-    out = []
+    out, again = [], 1
     for k, (c, n) in enumerate(runs):
         edge = k in (0, len(runs) - 1)
         if c in LOOKALIKES:
@@ -141,9 +151,16 @@ def lattice(word: str, spread: bool) -> list[list[tuple[str, float]]]:
             if not c.isdigit() and edge:
                 choices.append(("", AT_EDGE * n))
         elif c in SEPARATORS:
-            choices = [("", DROPPED), (" ", AS_ITSELF)]
+            choices = [("", DROPPED), (" ", KEPT if c == " " else AS_ITSELF)]
         elif c.isalpha():
             choices = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, ONCE_OF_TWO)] if n == 2 else [(c, ONCE), (c * 2, TWICE)]
+            same = n == 1 and k > 1 and runs[k - 1][0] in SEPARATORS and runs[k - 2] == (c, 1)
+            again = again + 1 if same else 1
+            if again == 2:
+                third = k + 2 < len(runs) and runs[k + 1][0] in SEPARATORS and runs[k + 2] == (c, 1)
+                choices = [(c, TWICE), ("", ONCE)] if third else [(c, 0.0), ("", ONCE_OF_TWO)]
+            elif again > 2:
+                choices = [("", 0.0)]
         else:
             choices = [("", AT_EDGE)] if edge else [(" ", 0.0)]
         out.append(choices)
@@ -154,12 +171,13 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else END if c == " " else WIDE
 
 
-def viterbi(choices: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """Most probable text through the lattice, a word end before and after."""
-    best = {(END, END): (0.0, "")}
+def best_path(choices: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[float, str]:
+    """Log probability and text of the most probable path through the lattice, a
+    word end before and after."""
+    best = {(END, END): (0.0, None)}
     for options in [*choices, [(" ", 0.0)]]:
         after = {}
-        for (a, b), (score, text) in best.items():
+        for (a, b), (score, path) in best.items():
             for piece, weight in options:
                 x, y, s = a, b, score + weight
                 for c in piece:
@@ -169,9 +187,42 @@ def viterbi(choices: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                     s += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, text + piece)
+                    after[x, y] = (s, (path, piece))
         best = after
-    return max(best.values(), key=lambda v: (v[0], v[1]))[1].strip()
+    score, path = max(best.values(), key=lambda v: v[0])
+    parts = []
+    while path:
+        path, piece = path
+        parts.append(piece)
+    return float(score), "".join(reversed(parts)).strip()
+
+
+def viterbi(choices: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """Most probable text through the lattice."""
+    return best_path(choices, model)[1]
+
+
+def joined(word: str) -> str:
+    """A word without invisible characters between its letters, other separators
+    as hyphens if it is spelled out with them."""
+    plain = BETWEEN.sub(lambda m: "" if m.group()[0] in INVISIBLE else m.group(), word)
+    hyphens = BETWEEN.sub("-", plain)
+    return hyphens if hyphens == plain or SPELLED.fullmatch(hyphens.encode()) else plain
+
+
+def restored(word: str, spread: bool, model: np.ndarray) -> str:
+    """A disguised word decoded; a ``spread`` run of single characters only if
+    that reads like words."""
+    score, text = best_path(lattice(joined(word)), model)
+    return word if spread and score < LIKE_WORDS * (len(text) + 1) else text
+
+
+def wide_between(text: np.ndarray) -> np.ndarray:
+    """Places of bytes that may begin one of the wider separators or invisible
+    characters: the lead bytes of any, an ASCII unit before them."""
+    leads = np.unique([c.encode()[0] for c in WIDE_SEPARATORS + INVISIBLE]).astype(np.uint8)
+    ascii_before = np.concatenate([[False], text[:-1] < 0x80])
+    return np.flatnonzero((text >= 0x80) & ascii_before & np.isin(text, leads))
 
 
 class Restorer:
@@ -179,7 +230,10 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.decode = lru_cache(100_000)(lambda word, spread: viterbi(lattice(word, spread), model))
+        self.known = lru_cache(100_000)(lambda word, spread: restored(word, spread, model))
+
+    def decode(self, word: str, spread: bool) -> str:
+        return self.known(word, spread) if len(word) <= REMEMBERED else restored(word, spread, self.model)
 
     def flags(self, text: np.ndarray, at: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Masks over words: may be disguised; is one character of a spread word."""
@@ -202,6 +256,9 @@ class Restorer:
         seps = np.bincount(of, np.isin(text, [ord(c) for c in SEPARATORS[1:]]) & between, minlength=n)
         for i in np.flatnonzero(~suspect & (seps >= 2) & (letters >= 2)):
             suspect[i] = SPELLED.fullmatch(text[at[i]:at[i + 1] - 1].tobytes()) is not None
+        for i in np.unique(of[wide_between(text)]):
+            word = text[at[i]:at[i + 1] - 1].tobytes().decode("utf-8", "replace")
+            suspect[i] |= joined(word) != word
         single = (length == 1) & unit[at[:-1]]
         head = np.zeros(n + 1, bool)
         head[ranges] = True
@@ -215,7 +272,7 @@ class Restorer:
         spread = np.zeros(n, bool)
         if len(size):
             real = np.bincount(run[part], letter[at[:-1]][part], minlength=len(size))
-            spread[part] = ((size >= 4) & (real >= 2))[run[part]]
+            spread[part] = ((size >= 3) & (real >= 2))[run[part]]
         return suspect, spread
 
     def restore(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +291,7 @@ class Restorer:
                 while k + 1 < len(todo) and todo[k + 1] == j and spread[j] and doc[k + 1] == doc[k] and at[j] - at[j - 1] == 2:
                     k, j = k + 1, j + 1
             word = raw[at[i]:at[j] - 1].decode("utf-8", "replace")
-            joined = word.replace(" ", "") if spread[i] else word
-            new = self.decode(joined, not spread[i] and len(word) % 2 == 1 and all(c in SEPARATORS for c in word[1::2])).encode()
+            new = self.decode(word, bool(spread[i])).encode()
             pieces += [raw[done:at[i]], new, b" "]
             done = at[j]
             shift.append((ends[doc[k]], len(new) + 1 - (at[j] - at[i])))
