@@ -11,7 +11,7 @@ from tonemill.llm.ragged import table
 
 COUNTS = "|".join(dc.NUMBER_WORDS)
 SLOT = {
-    "unit": rf"(?<=\p{{Nd}}|\p{{Nd}}\s|(?<![\p{{L}}\p{{M}}])(?i:{COUNTS})\s)(?:{'|'.join(sorted(dc.UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])",
+    "unit": rf"(?<=\p{{Nd}}|\p{{Nd}}\s|(?<![\p{{L}}\p{{M}}])(?i:{COUNTS})[^\p{{L}}\p{{M}}\p{{Nd}}]+)(?:{'|'.join(sorted(dc.UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}])",
     "number": rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|(?<![\p{{L}}\p{{M}}])(?i:{COUNTS})(?![\p{{L}}\p{{M}}])",
     "name": r"(?<![\p{L}\p{M}])\p{Lu}\p{Ll}+(?!\p{L})",
 }

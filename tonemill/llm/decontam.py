@@ -86,20 +86,33 @@ OPENERS = (
     "true", "false", "answer", "question", "solve", "find", "compute", "calculate", "evaluate", "simplify", "determine", "prove", "show", "add", "subtract", "multiply", "divide", "let", "given", "suppose", "assume", "consider", "choose", "write", "explain", "describe", "name", "list", "complete",
 )
 NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-NUMBER_WORD = rf"(?<![\p{{L}}\p{{M}}])(?=[e-zE-Z])(?i:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{M}}])"
-UNIT = rf"(\u0002(?:{NUMBER}\s?|\p{{L}}+\s))((?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}]))"
-NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?!(?i:{'|'.join([*OPENERS, *NUMBER_WORDS])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
+UNIT = rf"(\u0002{NUMBER}\s?)((?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{Nd}}]))"
+NAME = r"\p{Lu}(?<![\p{L}\p{M}].)\p{Ll}+(?!\p{L})"
 MARKS = "\u0001\u0002\u0003"  # name, number, unit
-PIECE = rf"\u0002{NUMBER}|[\u0001-\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
+PIECE = rf"\u0002{NUMBER}|[\u0001\u0003]\p{{L}}+|[\p{{L}}\p{{M}}]+"
 
 
 def pieces(text: Column) -> Column:
     """Lower-cased words of a text; a placeholder's mark stands before its value."""
     text = F.regexp_replace(F.translate(text, MARKS, "   "), NAME, "\u0001$0")
-    text = F.regexp_replace(F.regexp_replace(text, f"{NUMBER}|{NUMBER_WORD}", "\u0002$0"), UNIT, "$1\u0003$2")
-    digits = F.create_map(*[F.lit(f"\u0002{v}") for pair in NUMBER_WORDS.items() for v in pair])
+    text = F.regexp_replace(F.regexp_replace(text, NUMBER, "\u0002$0"), UNIT, "$1\u0003$2")
     parts = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.lower)
-    return F.transform(parts, lambda p: F.when(p.between("\u0002a", "\u0003"), F.coalesce(F.try_element_at(digits, p), p)).otherwise(p))
+    return F.element_at(F.transform(F.array(parts), read_words), 1)
+
+
+def read_words(parts: Column) -> Column:
+    """Openers among the pieces are plain words, number words numbers in digits,
+    and a unit that is the next word after one its placeholder."""
+    openers, counts = [f"\u0001{w}" for w in OPENERS], [m + w for w in NUMBER_WORDS for m in ("", "\u0001")]
+    digits = F.create_map(*[F.lit(v) for w in counts for v in (w, f"\u0002{NUMBER_WORDS[w.lstrip(MARKS)]}")])
+
+    def read(piece: Column, i: Column) -> Column:
+        number = F.when(piece.isin(*counts), F.try_element_at(digits, piece))
+        unit = piece.isin(*UNITS) & F.get(parts, i - 1).isin(*counts)
+        known = number.when(piece.isin(*openers), F.substr(piece, F.lit(2))).when(unit, F.concat(F.lit("\u0003"), piece)).otherwise(piece)
+        return F.when(piece.isin(*counts, *openers, *UNITS), known).otherwise(piece)  # one lookup for most pieces
+
+    return F.transform(parts, read)
 
 
 def is_slot(piece: Column) -> Column:
