@@ -7,6 +7,8 @@ grows with the table.
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -175,5 +177,7 @@ def q_export_tiers(spark, sf_dir):
 @query("label_rules_stream", _labeled_sql("SELECT doc_id, text, lang, source, n_chars FROM documents",
                                           "doc_id, text, lang, source, n_chars"))
 def q_label_rules_stream(spark, sf_dir):
+    # The table is a file or a folder of files. A stream takes a folder as it is, a
+    # single file only as a pattern that matches it.
     docs = load_table(spark, sf_dir, "documents")
-    return label_files_once(spark, sf_dir, docs.schema, path_glob="documents.parquet")
+    return label_files_once(spark, os.path.join(sf_dir, "documents.parque[t]"), docs.schema)

@@ -55,8 +55,8 @@ def write_stream(stream: DataFrame, out_path: str, checkpoint: str | None = None
 def label_files_once(spark: SparkSession, in_dir: str, schema, out_path: str | None = None,
                      fmt: str = "parquet", text_col: str = "text", lexicon: Lexicon = DEFAULT_LEXICON,
                      path_glob: str | None = None) -> DataFrame:
-    """Label every file in the folder ``in_dir`` (optionally only names
-    matching ``path_glob``) through the streaming engine (available-now
+    """Label every file in ``in_dir``, a folder or a pattern of files and folders
+    (optionally only file names matching ``path_glob``), through the streaming engine (available-now
     trigger) and return the written result as a table."""
     out = out_path or scratch_path(spark, "stream-out")
     opts = {"pathGlobFilter": path_glob} if path_glob else {}
