@@ -263,7 +263,8 @@ def corpus_lexicon(spark, sf_dir):
 
 @query("valence_corpus_arrow", f"WITH {_CORPUS_VAL} SELECT doc_id, v_compound AS compound FROM v")
 def q_valence_corpus_arrow(spark, sf_dir):
-    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), corpus_lexicon(spark, sf_dir))
+    out = valence.valence_compound(docs(spark, sf_dir).select("doc_id", "text"), corpus_lexicon(spark, sf_dir),
+                                   over="join")
     return out.select("doc_id", "compound")
 
 
