@@ -79,3 +79,12 @@ def test_short_long_blank_and_unclosed(spark, tmp_out, small_splits):
     got, want = rows(read_reviews(spark, tmp_out, multi_line="split")), rows(read_reviews(spark, tmp_out))
     assert got[1:] == want[1:] and got[0] == ("1", "open\nto the, end")
     assert want[0] == ("1", "open\nto the, end\n")  # never closed: only the file's last line end differs
+
+
+def test_lines_are_walked_twice_however_often_records_are_read(spark, tmp_out):
+    folder = os.path.join(tmp_out, "walked")
+    put(folder, "a.csv", random_file(3).encode())
+    records = read_records(spark, folder, ",", "UTF-8", "*")
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "Python" not in plan and "Exchange" not in plan
+    assert records.count() == records.count() > 0

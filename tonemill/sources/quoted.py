@@ -8,9 +8,11 @@ the lines are read twice, in splits:
 1. each task walks its splits for both beginnings and gives one row per split:
    where the split ends for either, and where the record begins that is open
    there. A window over a file's splits then tells how each really begins;
-2. each task walks its splits again, now from the real beginning. A line that is
-   a record of its own (nearly all are) stays where it is; only the lines of
-   records over several lines are shuffled and joined.
+2. each task walks its splits again, now from the real beginning, and writes the
+   lines with the record each belongs to. A line that is a record of its own stays
+   where it is; only the lines of records over several lines are shuffled and
+   joined, once, and these records are written too. So however often the records
+   are read, the lines are walked twice.
 
 Only flags of the lines go to Python, never their text. The table of splits (a
 row per split, at most ``MAX_SPLITS``) is broadcast; a split that it does not
@@ -128,14 +130,15 @@ def _flagged(spark: SparkSession, path, sep: str, encoding: str, glob: str) -> D
     esc = "\\t" if sep == "\t" else "\\" + sep
     raw = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     text = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
-    lines = raw.select(F.regexp_replace(text, "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    cut = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r$", "")).otherwise(text)
+    lines = raw.select(cut.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     single = F.replace("value", F.lit('""'), F.lit(""))  # a doubled quote opens and closes nothing
     quoted = F.contains("value", F.lit('"'))
     opened = lambda text: F.regexp_replace(text, f'(^|{esc})"[^"]*"', "$1").rlike(f'(^|{esc})"')
     # What follows the closing quote belongs to the same field up to the next separator.
     rest = F.regexp_replace(single, '^[^"]*"', "x")
     return lines.select(
-        "value", "file", F.xxhash64("file").alias("fid"), "block", (F.trim(F.translate("value", "\t", " ")) == "").alias("blank"),
+        "value", "file", F.xxhash64("file").alias("fid"), "block", (F.btrim("value", F.lit(" \t")) == "").alias("blank"),
         (quoted & opened(single)).alias("opens"), F.when(quoted & F.contains(single, F.lit('"')), opened(rest)).otherwise(True).alias("stays"))
 
 
@@ -167,11 +170,12 @@ def read_records(spark: SparkSession, path, sep: str, encoding: str, glob: str)
     start = F.coalesce("start", F.raise_error(F.lit("the files were split otherwise than before; read them again")).cast("int"))
     place = pandas_udf(_places, _PLACES, PandasUDFType.SCALAR_ITER).asNondeterministic()
     placed = lines.select("value", "file", "block", "rblock", "rrecord", place("fid", "block", "blank", "opens", "stays", start).alias("at"))
-    placed = placed.where(F.col("at.record") != DROPPED)
+    placed = keep_table(placed.where(F.col("at.record") != DROPPED), name="placed-lines")
     whole = placed.where("at.whole").select(F.col("value").alias("record"), "file")
     inside = F.col("at.record") == CARRIED
     parts = placed.where(~F.col("at.whole")).select(
         "file", F.when(inside, F.col("rblock")).otherwise(F.col("block")).alias("b"), F.when(inside, F.col("rrecord")).otherwise(F.col("at.record")).alias("r"),
         F.struct("block", F.col("at.line").alias("line"), "value").alias("part"))
     joined = parts.groupBy("file", "b", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["value"]), "\n").alias("record"))
-    return whole.unionByName(joined.select("record", "file")).where("record <> ''")
+    joined = keep_table(joined.select("record", "file"), name="joined-records")
+    return whole.unionByName(joined).where("record <> ''")
