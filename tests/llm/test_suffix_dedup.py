@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonemill.llm import suffix_dedup as sd
@@ -174,3 +175,34 @@ def test_short_runs_stay():
     assert sd.cut(raw, [4], [4], 9, False, least_words=3) == ([raw], 0, 0)
     assert sd.cut(raw, [4], [4], 9, False, least_words=2) == ([b"one ", raw[13:]], 9, 1)
     assert sd.cut(raw, [], [], 9, True) == ([b"", b""], len(raw), 1)
+
+
+def last_step(monkeypatch, df, **options):
+    """The function that cuts the texts, as the last step runs it."""
+    steps, real = [], sd.in_batches
+    monkeypatch.setattr(sd, "in_batches", lambda *step: (steps.append(step[1]), real(*step))[1])
+    out = sd.strip_repeats(df, length=32, **options)
+    return out, steps[-1]
+
+
+def test_batches_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    """Texts that compress well do not leave a small batch as one huge one."""
+    _, run = last_step(monkeypatch, spark.createDataFrame([(1, "ab")], "doc_id long, text string"))
+    texts = [bytes([97 + k]) * (1 << 20) for k in range(26)]
+    columns = {"row": [{"doc_id": k} for k in range(26)], "packed": [sd.squeezed(t) for t in texts], "low": [[0]] * 26, "high": [[k] for k in range(26)], "whole": [None] * 26}
+    batch = pa.RecordBatch.from_pydict(columns, pa.schema([("row", pa.struct([("doc_id", pa.int64())])), ("packed", pa.binary()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64())), ("whole", pa.bool_())]))
+    assert batch.nbytes < 20_000
+    out = list(run([batch]))
+    assert max(b.num_rows for b in out) <= 5
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["row"]["doc_id"] for r in rows] == list(range(26))
+    assert all(r["kept"] == t[32 + k:] and r["n_removed"] == 32 + k and r["original"] == t for k, (r, t) in enumerate(zip(rows, texts)))
+
+
+def test_columns_left_out_are_not_built(spark, monkeypatch):
+    shared = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, "é" + shared + "x", "z"), (2, shared, None), (3, None, "y")], "doc_id long, text string, other string")
+    every = sd.strip_repeats(df, length=32)
+    out, _ = last_step(monkeypatch, df, without=("text", "kept"))
+    assert out.columns == [c for c in every.columns if c not in ("text", "kept")]
+    assert sorted(out.collect()) == sorted(every.select(*out.columns).collect())
